@@ -323,27 +323,24 @@ def with_scores(history: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     return history.withColumn("_scores", _scores(params)).select("*", "_scores.*").drop("_scores")
 
 
-def frame_metrics(
-    tracks: DataFrame,
-    frames: DataFrame,
+def with_results(
+    history: DataFrame,
     params: Params = DEFAULTS,
-    keys: Sequence[str] = CAMERA,
     forecast: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """The whole result of a frame, flat. ``result_document`` nests it.
+    """Add scores, alerts and the forecast counts to frames with their history.
 
-    A forecast is read from the ``predicted`` column of ``frames``, or computed by ``forecast``
-    from the array of the last base counts.
+    Looks at one row at a time, so it also runs on the stream of a ``camera_processor``.
     """
-    flat = with_scores(with_history(frame_counts(tracks, frames, params, keys), params, keys), params)
+    flat = with_scores(history, params)
     if forecast is not None:
         prediction = forecast(F.col("count_history"))
-    elif "predicted" in frames.columns:
+    elif "predicted" in history.columns:
         prediction = F.col("predicted").cast("double")
     else:
         prediction = F.lit(None).cast("double")
     blend = blend_forecast(F.col("base_count"), prediction, F.size("count_history"), params)
-    density = F.col("density_count") if "density_count" in frames.columns else F.lit(None)
+    density = F.col("density_count") if "density_count" in history.columns else F.lit(None)
     return flat.select(
         *[c for c in flat.columns if c not in ("density_count", "predicted")],
         F.greatest(F.coalesce(density.cast("long"), F.col("current_count")), F.lit(0))
@@ -352,6 +349,22 @@ def frame_metrics(
     ).select("*", "_blend.*").drop("_blend")
 
 
+def frame_metrics(
+    tracks: DataFrame,
+    frames: DataFrame,
+    params: Params = DEFAULTS,
+    keys: Sequence[str] = CAMERA,
+    forecast: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """The whole result of a frame, flat. ``result_document`` nests it.
+
+    A forecast is read from the ``predicted`` column of ``frames``, or computed by ``forecast``
+    from the array of the last base counts.
+    """
+    history = with_history(frame_counts(tracks, frames, params, keys), params, keys)
+    return with_results(history, params, forecast)
+
+
 def result_document(metrics: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """``frame_metrics`` as the nested document described in ``schemas.FRAME_RESULT``."""
     return metrics.select(
