@@ -99,7 +99,7 @@ class Derived:
         in_frame = W.partitionBy("camera_id", "frame_id").orderBy("e", "k")
         return boxes.select(
             "camera_id", "frame_id",
-            (F.row_number().over(in_frame) - 1).alias("det_idx"),
+            (F.row_number().over(in_frame) - 1).cast("long").alias("det_idx"),
             F.when(e % 17 == 0, 1).otherwise(0).alias("class_id"),
             x.cast("double").alias("x1"), y.cast("double").alias("y1"),
             (x + F.col("bw")).cast("double").alias("x2"),
@@ -161,6 +161,71 @@ class Derived:
             (_div("value", 4) - 2).alias("current_count"),
         )
 
+    def live_service(self) -> DataFrame:
+        """Counts of four live services, each of which serves one source at a time."""
+        return self.table("events").select(
+            (F.col("event_id") % 4).alias("service"),
+            F.concat(F.lit("src-"), (_div("event_id", 400) % 3).cast("string")).alias("source"),
+            F.col("event_id").alias("frame_id"),
+            (_div("value", 4) - 2).alias("current_count"),
+            (F.col("user_id") % 9).alias("smoothed_count"),
+            (F.col("event_id") * 40).alias("updated_ms"),
+        )
+
+    def alert_log(self) -> DataFrame:
+        event = F.col("event_id")
+        return self.table("events").select(
+            F.concat(F.lit("a-"), event.cast("string")).alias("alert_id"),
+            (F.col("user_id") % 5).alias("user_id"),
+            (F.col("user_id") % 25).alias("camera_id"),
+            (event * 100).alias("created_ms"),
+            F.col("event_type").alias("type"),
+            F.concat(F.lit("seen by "), (F.col("user_id") % 2).cast("string")).alias("message"),
+            F.when(event % 1000 < 500, "High").otherwise("Low").alias("risk"),
+            F.lit(1).cast("long").alias("count"),
+        )
+
+    def stored_cameras(self) -> DataFrame:
+        """Cameras with metrics as last stored; some fields are missing."""
+        key = F.col("camera_id")
+        return self.cameras().select(
+            "*",
+            F.when(key % 4 != 0, key % 40).alias("current_count"),
+            F.when(key % 5 != 0, key % 41).alias("count"),
+            F.when(key % 3 != 0, key % 300).alias("total_count"),
+            F.when(key % 6 != 0, key % 30).alias("density_count"),
+            F.when(key % 7 != 0, key % 45).alias("final_count"),
+            F.when(key % 4 == 0, "Critical").when(key % 4 == 1, "High").when(key % 4 == 2, "Low")
+            .alias("risk"),
+            F.when(key % 8 != 0, key % 90).alias("frame_id"),
+            ((key % 21) / 20.0).alias("congestion_score"),
+            F.when(key % 3 != 1, key * 100).alias("updated_ms"),
+            F.when(key % 5 != 1, key * 90).alias("last_frame_ms"),
+            (key * 80).alias("last_started_ms"),
+        )
+
+    def live_stats(self) -> DataFrame:
+        key = F.col("camera_id")
+        return self.cameras().filter(key % 2 == 0).select(
+            F.col("stream_url").alias("source"),
+            F.when(key % 8 != 0, key % 50).alias("current_count"),
+            (key % 500).alias("total_count"),
+            F.when(key % 10 != 0, key % 35).alias("density_count"),
+            (key % 55).alias("final_count"),
+            F.lit("Low").alias("risk"),
+            (key % 1000).alias("frame_id"),
+            F.when(key % 4 == 0, key * 110).alias("updated_ms"),
+        )
+
+    def density_maps(self) -> DataFrame:
+        """One small map per order: a row of cells per line, some cells negative."""
+        cells = F.array(F.col("l_quantity") - 20.0, F.col("l_discount") * 100.0,
+                        F.col("l_tax") * 50.0 - 1.0)
+        rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", cells.alias("c"))))
+        return self.table("lineitem").groupBy(F.col("l_orderkey").alias("map_id")).agg(
+            F.transform(rows, lambda r: r["c"]).alias("density_map")
+        )
+
 
 def _div(column: str, by: int) -> Column:
     return F.floor(F.col(column) / by).cast("long")

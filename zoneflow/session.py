@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +40,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
             spark.conf.get(CHECKPOINT_DIR, None) or tempfile.mkdtemp(prefix="zoneflow-checkpoint-")
         )
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="zoneflow-code-"), "zoneflow"), "zip",
+        root_dir=os.path.dirname(package), base_dir=os.path.basename(package),
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)

@@ -9,9 +9,12 @@ from pyspark.sql.streaming import DataStreamWriter
 POINTER = "_current"
 
 
+def _child(spark: SparkSession, path: str, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
+
+
 def _pointer(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path, POINTER)
+    target = _child(spark, path, POINTER)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
@@ -26,8 +29,10 @@ def current_version(spark: SparkSession, path: str) -> int | None:
         stream.close()
 
 
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> int:
-    """Replace the table at ``path``; returns the new version.
+def write_table(
+    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), versions: int = 3
+) -> int:
+    """Replace the table at ``path``; returns the new version and keeps the last ``versions``.
 
     The rows go to a new version folder and a pointer is moved afterwards, so the old version can
     be read while the new one is made from it, and a failed job changes nothing.
@@ -44,6 +49,8 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
         stream.writeInt(version)
     finally:
         stream.close()
+    if version > versions:
+        fs.delete(_child(spark, path, f"v{version - versions}"), True)
     return version
 
 
