@@ -122,8 +122,8 @@ def frame_counts(
 
     counted = rows.groupBy(*keys, SPAN, "frame_id").agg(
         F.max(F.when(F.col("_kind") == SPINE, F.col("_frame"))).alias("_frame"),
-        F.array_sort(F.collect_set(F.when(tracked, F.col("track_id")))).alias("active_track_ids"),
-        F.array_sort(F.collect_list(F.when(tracked, detection))).alias("detections"),
+        F.sort_array(F.collect_set(F.when(tracked, F.col("track_id")))).alias("active_track_ids"),
+        F.sort_array(F.collect_list(F.when(tracked, detection))).alias("detections"),
         F.count_if(first_third).alias("zone_left"),
         F.count_if(~first_third & second_third).alias("zone_center"),
         F.count_if(~second_third).alias("zone_right"),
@@ -242,18 +242,21 @@ def blend_forecast(
 
     Without a prediction, or with too short a history, all three are the base count.
     """
-    usable = prediction.isNotNull() & (samples >= params.forecast_min)
+    def blended(s: Column) -> Column:
+        usable = s["prediction"].isNotNull() & (samples >= params.forecast_min)
+        expected = F.greatest(s["prediction"], F.lit(0.0))
+        mixed = F.greatest(
+            s["floor"] * (1.0 - params.forecast_blend) + expected * params.forecast_blend, F.lit(0.0)
+        )
+        final = F.rint(F.when(usable, mixed).otherwise(s["floor"])).cast("long")
+        return F.struct(
+            exact_round(F.when(usable, expected).otherwise(s["floor"]), 2).alias("predicted_crowd"),
+            final.alias("smoothed_count"),
+            final.alias("final_count"),
+        )
+
     floor = F.greatest(base.cast("double"), F.lit(0.0))
-    expected = F.greatest(prediction, F.lit(0.0))
-    blended = F.greatest(
-        floor * (1.0 - params.forecast_blend) + expected * params.forecast_blend, F.lit(0.0)
-    )
-    final = F.rint(F.when(usable, blended).otherwise(floor)).cast("long")
-    return F.struct(
-        exact_round(F.when(usable, expected).otherwise(floor), 2).alias("predicted_crowd"),
-        final.alias("smoothed_count"),
-        final.alias("final_count"),
-    )
+    return bind(F.struct(floor.alias("floor"), prediction.alias("prediction")), blended)
 
 
 def live_smoothed(

@@ -481,7 +481,7 @@ def dedup_consecutive(d):
 @query()
 def confirmed_tracks(d):
     clean = detections.nms(detections.filter_detections(d.detections()))
-    return tracking.confirmed_tracks(tracking.track(clean, SHORT, warm_up=14))
+    return tracking.confirmed_tracks(tracking.track(clean, LONG, warm_up=32))
 
 
 # ---- alerts ------------------------------------------------------------------------------
@@ -526,7 +526,7 @@ SUPPRESS_SQL = """with recursive keyed as (
 
 @query(SUPPRESS_SQL.format(window=15000))
 def suppress_repeats(d):
-    return al.suppress_repeats(d.alert_log(), span_ms=60_000).select("alert_id")
+    return al.suppress_repeats(d.alert_log(), span_ms=400_000).select("alert_id")
 
 
 @query("""with recursive ordered as (
@@ -541,7 +541,7 @@ def suppress_repeats(d):
     select alert_id from walk where ok""")
 def throttle(d):
     return al.throttle(
-        d.alert_log(), ["camera_id"], "created_ms", ["alert_id"], span_ms=60_000
+        d.alert_log(), ["camera_id"], "created_ms", ["alert_id"], span_ms=400_000
     ).select("alert_id")
 
 

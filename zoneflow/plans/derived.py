@@ -219,8 +219,8 @@ class Derived:
 
     def density_maps(self) -> DataFrame:
         """One small map per order: a row of cells per line, some cells negative."""
-        cells = F.array(F.col("l_quantity") - 20.0, F.col("l_discount") * 100.0,
-                        F.col("l_tax") * 50.0 - 1.0)
+        cells = F.array(F.col("l_quantity") - 20.0, F.rint(F.col("l_discount") * 100.0) / 4,
+                        F.rint(F.col("l_tax") * 100.0) / 2 - 1.0)
         rows = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", cells.alias("c"))))
         return self.table("lineitem").groupBy(F.col("l_orderkey").alias("map_id")).agg(
             F.transform(rows, lambda r: r["c"]).alias("density_map")

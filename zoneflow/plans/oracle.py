@@ -114,11 +114,11 @@ DERIVED_SQL = {
         union all
         select l_orderkey, row_number() over
             (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) - 1, 1,
-          greatest(l_discount * 100.0e0, 0) from lineitem
+          greatest(round_even(l_discount * 100.0e0, 0) / 4, 0) from lineitem
         union all
         select l_orderkey, row_number() over
             (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) - 1, 2,
-          greatest(l_tax * 50.0e0 - 1.0e0, 0) from lineitem""",
+          greatest(round_even(l_tax * 100.0e0, 0) / 2 - 1.0e0, 0) from lineitem""",
 }
 
 

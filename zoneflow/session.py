@@ -1,10 +1,11 @@
-"""Session settings and the reliable checkpoint that long jobs cut their lineage with."""
+"""Session settings, and the shared folder where long jobs write what they go on from."""
 
 from __future__ import annotations
 
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording the Python line of every expression makes long plans slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -27,19 +30,29 @@ def build_session(name: str = "zoneflow", **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder all executors reach: ``spark.checkpoint.dir``, which the cluster names.
 
-    The cluster names the folder in ``spark.checkpoint.dir``. Where nobody set one (a local
-    session) a folder of this process is used.
+    Where nobody set one (a local session) a folder of this process is used.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(
             spark.conf.get(CHECKPOINT_DIR, None) or tempfile.mkdtemp(prefix="zoneflow-checkpoint-")
         )
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and go on from the written table.
+
+    Cuts the lineage, survives the loss of executors, and later steps read only the columns they
+    name.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[str] = set()
