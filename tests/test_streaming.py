@@ -61,7 +61,7 @@ def test_camera_stream_equals_batch(spark, replay, tmp_path):
     got = spark.read.parquet(path)
     assert got.select("batch").distinct().count() > 1
     expected = values(batch_metrics(table))
-    assert values(got) == expected and any("'High'" in str(r) or "Medium" in str(r) for r in expected)
+    assert values(got) == expected and any(r[3] != "0" for r in expected)
     last = got.filter("camera_id = 1 and frame_id = 80").first()
     assert 0 < len(last.heatmap_points) <= 250
 

@@ -13,17 +13,16 @@ from zoneflow import schemas
 def _documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A file or folder of JSON documents (one array or one document per file).
 
-    A missing path gives an empty table; files that do not parse give no rows.
+    A missing path gives an empty table; text that does not parse gives no rows. A document is
+    addressed by its ``id``; one without it is not a document.
     """
-    marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    reader = spark.read.schema(marked).option("multiLine", True)
     try:
-        rows = reader.option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        rows = spark.read.schema(schema).option("multiLine", True).json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return rows.filter(F.col("_corrupt").isNull()).drop("_corrupt")
+    return rows.filter(F.col("id").isNotNull())
 
 
 def epoch_ms(text: Column) -> Column:

@@ -23,7 +23,7 @@ from zoneflow.operators.tracker import Live
 from zoneflow.operators.tracking import _live_from, _live_rows
 from zoneflow.params import DEFAULTS, Params
 
-DAY_MS = 24 * 3600 * 1000
+EVENT_TIME = "_event_time"
 LONGS = T.ArrayType(T.LongType())
 
 COUNTERS = ("last_frame", "next_slot", "entry", "exit", "total", "last_count")
@@ -201,23 +201,37 @@ def camera_processor(frames: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 
 class _Pace(StatefulProcessor):
-    def __init__(self, time: str, tie: Sequence[str], window_ms: int, ttl_ms: int) -> None:
-        self.order, self.window_ms, self.ttl_ms = [time, *tie], window_ms, ttl_ms
+    def __init__(
+        self, time: str, tie: Sequence[str], window_ms: int, columns: Sequence[str]
+    ) -> None:
+        self.order, self.window_ms, self.columns = [time, *tie], window_ms, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("last", T.LongType())])
-        self.state = handle.getValueState("accepted", schema, self.ttl_ms)
+        self.handle = handle
+        self.state = handle.getValueState(
+            "accepted", T.StructType([T.StructField("last", T.LongType())])
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.state.get()[0] if self.state.exists() else None
+        before = self.state.get()[0] if self.state.exists() else None
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        keep = []
+        keep, last = [], before
         for t in batch[self.order[0]].tolist():
             accepted = last is None or t - last >= self.window_ms
             keep.append(accepted)
             last = t if accepted else last
-        self.state.update((int(last),))
-        yield batch[keep]
+        if last != before:
+            self.state.update((int(last),))
+            self.handle.registerTimer(int(last) + self.window_ms)
+        yield batch.loc[keep, self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # Whatever comes after the watermark is accepted without knowing the last one.
+        if self.state.exists():
+            over = self.state.get()[0] + self.window_ms
+            if over <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
@@ -229,19 +243,22 @@ def suppress_stream(
     time: str = "created_ms",
     tie: Sequence[str] = ("alert_id",),
     window_ms: int = DEFAULTS.suppress_ms,
-    ttl_ms: int = DAY_MS,
+    delay: str = "10 minutes",
 ) -> DataFrame:
-    """``suppress_repeats`` on a stream. A key unused for ``ttl_ms`` of wall-clock time is
-    forgotten; that time has to exceed the window plus any delay of the stream."""
+    """``suppress_repeats`` on a stream whose rows are at most ``delay`` late.
+
+    The state of a key is dropped when the watermark has passed its window.
+    """
     columns = alerts.columns
     signed = alerts
     if "signature" in keys and "signature" not in columns:
         signed = alerts.withColumn("signature", alert_signature())
+    timed = signed.withColumn(EVENT_TIME, F.timestamp_millis(time)).withWatermark(EVENT_TIME, delay)
     return (
-        signed.groupBy(*keys)
+        timed.groupBy(*keys)
         .transformWithStateInPandas(
-            statefulProcessor=_Pace(time, tie, window_ms, ttl_ms), outputStructType=signed.schema,
-            outputMode="append", timeMode="ProcessingTime",
+            statefulProcessor=_Pace(time, tie, window_ms, signed.columns),
+            outputStructType=signed.schema, outputMode="append", timeMode="EventTime",
         )
         .select(*columns)
     )
