@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import naive
 from zoneflow.operators import alerts, detections, series
-from zoneflow.operators.ordered import with_running
+from zoneflow.operators.ordered import with_recent, with_running
 from zoneflow.operators.pacing import keep_paced
 
 
@@ -96,3 +96,11 @@ def test_counters_restart_with_the_source(spark):
     got = sorted((r.frame_id, r.run_id, r.total_count)
                  for r in series.reset_on_source_change(df, span=2).collect())
     assert got == [(0, 1, 3), (1, 1, 5), (2, 2, 2), (3, 3, 4), (4, 3, 6)]
+
+
+def test_recent_values_cross_short_spans(spark):
+    times = [1, 2, 3, 40, 41, 90, 91, 92, 200]
+    df = spark.createDataFrame([("a", t, t * 2) for t in times], "k string, t long, v long")
+    got = {r.t: r.last for r in with_recent(df, ["k"], ["t"], "last", F.col("v"), 4, span=10).collect()}
+    for i, t in enumerate(times):
+        assert got[t] == [x * 2 for x in times[max(0, i - 3):i + 1]]

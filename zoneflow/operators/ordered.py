@@ -64,6 +64,42 @@ def with_running(
     return out.select(*df.columns, *added)
 
 
+def with_recent(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str,
+    value: Column,
+    rows: int,
+    span: int = SPAN_ROWS,
+) -> DataFrame:
+    """Add the array of the last ``rows`` values of the key, the current one last.
+
+    ``value`` is never null. The order columns must be unique within a key.
+    """
+    keys, order = list(keys), list(order)
+
+    def last(values: Column, n: int) -> Column:
+        return F.slice(values, F.greatest(F.size(values) - (n - 1), F.lit(1)), n)
+
+    spanned = df.withColumn("_value", value).withColumn(SPAN, span_of(F.col(order[0]), span))
+    in_order = F.sort_array(F.collect_list(F.struct(*order, "_value")))["_value"]
+    tails = spanned.groupBy(*keys, SPAN).agg(in_order.alias("_all")).select(
+        *keys, SPAN, last(F.col("_all"), rows).alias("_tail")
+    )
+    # Every span has a row, so ``rows`` spans hold the last ``rows`` values.
+    near = W.partitionBy(*keys).orderBy(SPAN).rowsBetween(-rows, -1)
+    carry = tails.select(
+        *keys, SPAN, last(F.flatten(F.collect_list("_tail").over(near)), rows).alias("_earlier")
+    )
+    inside = W.partitionBy(*keys, SPAN).orderBy(*order).rowsBetween(1 - rows, 0)
+    return (
+        spanned.join(carry, [*keys, SPAN], "left")
+        .withColumn("_own", F.collect_list("_value").over(inside))
+        .select(*df.columns, last(F.concat("_earlier", "_own"), rows).alias(name))
+    )
+
+
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, span: int = SPAN_ROWS
 ) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zoneflow.functions.risk import LEVELS
-from zoneflow.operators.frames import latest_by
-from zoneflow.operators.ordered import SPAN_ROWS, with_running
+from zoneflow.operators.frames import latest_by, live_smoothed
+from zoneflow.operators.ordered import SPAN_ROWS, with_recent, with_running
+from zoneflow.params import DEFAULTS, Params
 
 
 def running_arrivals(
@@ -32,6 +33,21 @@ def running_arrivals(
     return with_running(compared, keys, order, sums={"total_count": rise}, span=span).drop("_before")
 
 
+def smoothed_counts(
+    series: DataFrame,
+    forecast: Callable[[Column], Column],
+    params: Params = DEFAULTS,
+    keys: Sequence[str] = ("source",),
+    order: Sequence[str] = ("frame_id",),
+    span: int = SPAN_ROWS,
+) -> DataFrame:
+    """``smoothed_count``: the count blended with a forecast from the last counts of the source."""
+    count = F.greatest(F.coalesce("current_count", F.lit(0)), F.lit(0)).cast("long")
+    recent = with_recent(series, keys, order, "_recent", count, params.live_length, span)
+    smoothed = live_smoothed(count, forecast(F.col("_recent")), F.size("_recent"), params)
+    return recent.withColumn("smoothed_count", smoothed).drop("_recent")
+
+
 def with_source_runs(
     series: DataFrame,
     keys: Sequence[str] = (),

@@ -262,16 +262,9 @@ def blend_forecast(d):
         avg(greatest(current_count, 0)) over (partition by source order by frame_id
           rows between 9 preceding and current row) mean from count_series)""")
 def live_smoothed(d):
-    from pyspark.sql import Window as W
-
-    recent = W.partitionBy("source").orderBy("frame_id").rowsBetween(-9, 0)
-    n = F.greatest(F.col("current_count"), F.lit(0))
-    rows = d.count_series().select(
-        "source", "frame_id", n.alias("n"), F.count("*").over(recent).alias("k"),
-        F.avg(n).over(recent).alias("mean"),
+    return series.smoothed_counts(d.count_series(), frames.mean_of_history, span=1000).select(
+        "source", "frame_id", "smoothed_count"
     )
-    smoothed = frames.live_smoothed(F.col("n"), F.col("mean"), F.col("k"))
-    return rows.select("source", "frame_id", smoothed.alias("smoothed_count"))
 
 
 @query("""select camera_id, frame_id, n current_count, total_count, risk from metrics
@@ -686,7 +679,7 @@ def active_streams(d):
 
 
 @query("""select job_id, array_to_string(list(path order by first), '|') paths
-    from (select job_id, path, min(seq) first from (select o_orderkey % 500 job_id, o_orderkey seq,
+    from (select job_id, path, min(seq) first from (select o_orderkey // 8 job_id, o_orderkey seq,
         case when o_custkey % 4 = 0 then '' else '/tmp/' || o_custkey % 7 end path from orders)
       where path <> '' group by 1, 2) group by 1""")
 def distinct_paths(d):
@@ -694,7 +687,7 @@ def distinct_paths(d):
     path = F.when(customer % 4 == 0, "").otherwise(
         F.concat(F.lit("/tmp/"), (customer % 7).cast("string"))
     )
-    jobs = d.table("orders").groupBy((order % 500).alias("job_id")).agg(
+    jobs = d.table("orders").groupBy(F.floor(order / 8).alias("job_id")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct(order.alias("seq"), path.alias("p")))),
                     lambda s: s["p"]).alias("paths")
     )
