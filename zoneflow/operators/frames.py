@@ -80,15 +80,17 @@ def frame_counts(
     frames: DataFrame,
     params: Params = DEFAULTS,
     keys: Sequence[str] = CAMERA,
+    boxes: bool = True,
 ) -> DataFrame:
     """Everything about a frame that needs no other frame than the last one of each track.
 
     Adds to the columns of ``frames``: current_count, active_track_ids, detections, zone counts,
     bbox_density, movement (mean step of its tracks), and the frame's own entries, exits and
-    first-seen tracks.
+    first-seen tracks. Without ``boxes`` the two arrays are left out.
     """
     span = params.frames_per_span
-    seen = tracks.select(*keys, "frame_id", "track_id", *BOX).withColumn(
+    box = BOX if boxes else BOX[2:]
+    seen = tracks.select(*keys, "frame_id", "track_id", *box).withColumn(
         SPAN, span_of(F.col("frame_id"), span)
     )
     spine = frames.select(
@@ -118,12 +120,15 @@ def frame_counts(
     first_third, second_third = cx < width / 3, cx < 2 * width / 3
     tracked = F.col("_kind") == TRACK
     area = F.greatest(F.col("w"), F.lit(0)).cast("long") * F.greatest(F.col("h"), F.lit(0))
-    detection = F.struct(F.col("track_id").alias("id"), F.array("x", "y", "w", "h").alias("bbox"))
+    arrays = []
+    if boxes:
+        item = F.struct(F.col("track_id").alias("id"), F.array("x", "y", "w", "h").alias("bbox"))
+        arrays = [F.sort_array(F.collect_list(F.when(tracked, item))).alias("detections")]
 
     counted = rows.groupBy(*keys, SPAN, "frame_id").agg(
         F.max(F.when(F.col("_kind") == SPINE, F.col("_frame"))).alias("_frame"),
         F.sort_array(F.collect_set(F.when(tracked, F.col("track_id")))).alias("active_track_ids"),
-        F.sort_array(F.collect_list(F.when(tracked, detection))).alias("detections"),
+        *arrays,
         F.count_if(first_third).alias("zone_left"),
         F.count_if(~first_third & second_third).alias("zone_center"),
         F.count_if(~second_third).alias("zone_right"),
@@ -140,7 +145,8 @@ def frame_counts(
         SPAN,
         *[c if c in grouped else F.col("_frame")[c].alias(c) for c in frames.columns],
         F.size("active_track_ids").cast("long").alias("current_count"),
-        "active_track_ids", "detections", "zone_left", "zone_center", "zone_right",
+        *(["active_track_ids", "detections"] if boxes else []),
+        "zone_left", "zone_center", "zone_right",
         F.least(F.col("bbox_area") / pixels, F.lit(1.0)).alias("bbox_density"),
         "movement", "entries", "exits", "first_seen",
     )
@@ -358,13 +364,15 @@ def frame_metrics(
     params: Params = DEFAULTS,
     keys: Sequence[str] = CAMERA,
     forecast: Callable[[Column], Column] | None = None,
+    boxes: bool = True,
 ) -> DataFrame:
     """The whole result of a frame, flat. ``result_document`` nests it.
 
     A forecast is read from the ``predicted`` column of ``frames``, or computed by ``forecast``
     from the array of the last base counts.
     """
-    history = with_history(frame_counts(tracks, frames, params, keys), params, keys)
+    counts = frame_counts(tracks, frames, params, keys, boxes)
+    history = with_history(counts, params, keys)
     return with_results(history, params, forecast)
 
 

@@ -45,11 +45,13 @@ def _counts(d: Derived) -> DataFrame:
 
 
 def _history(d: Derived) -> DataFrame:
-    return frames.with_history(_counts(d), SHORT)
+    return frames.with_history(
+        frames.frame_counts(d.tracks(), d.frames(), SHORT, boxes=False), SHORT
+    )
 
 
 def _metrics(d: Derived) -> DataFrame:
-    return frames.frame_metrics(d.tracks(), d.frames(), SHORT)
+    return frames.frame_metrics(d.tracks(), d.frames(), SHORT, boxes=False)
 
 
 def _current_cameras(d: Derived) -> DataFrame:
@@ -240,7 +242,7 @@ FLAT = ("camera_id", "frame_id", "current_count", "zone_left", "zone_center", "z
       zr zone_right, line_entry, line_exit, total_count, last_count, density_score, movement_score,
       congestion_score, hotspot_ratio, risk_score, risk from metrics_big""")
 def frame_metrics_flat(d):
-    return frames.frame_metrics(d.tracks_big(), d.frames_big(), LONG).select(*FLAT)
+    return frames.frame_metrics(d.tracks_big(), d.frames_big(), LONG, boxes=False).select(*FLAT)
 
 
 @query(f"""select camera_id, frame_id, {rounded('predicted', 2)} predicted_crowd,
