@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = os.environ.get("QUERY_DATA", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = {name: q for name, q in entry.queries().items() if name in entry.catalog.QUERIES}
+SQL = {name: q for name, q in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")

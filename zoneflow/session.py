@@ -33,26 +33,53 @@ def build_session(name: str = "zoneflow", **extra: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors reach: ``spark.checkpoint.dir``, which the cluster names.
 
-    Where nobody set one (a local session) a folder of this process is used.
+    Where nobody set one, a local session uses a folder of this process; on a cluster each executor
+    would write to its own disk, so that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get(CHECKPOINT_DIR, None) or tempfile.mkdtemp(prefix="zoneflow-checkpoint-")
-        )
+        folder = spark.conf.get(CHECKPOINT_DIR, None)
+        if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that all executors reach")
+            folder = tempfile.mkdtemp(prefix="zoneflow-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def _path(spark: SparkSession, name: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new name in the shared folder, removed when the application ends."""
+    name = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = _path(spark, name)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return name
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written table.
 
     Cuts the lineage, survives the loss of executors, and later steps read only the columns they
-    name.
+    name. ``release`` gives the space back early; the rest goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    name = f"{new_folder(spark)}/table"
+    df.write.parquet(name)
+    written = spark.read.schema(df.schema).parquet(name)
+    written._folder = name
+    return written
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables made by ``materialize`` that nothing reads any more."""
+    for df in written:
+        spark, path = df.sparkSession, _path(df.sparkSession, df._folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _shipped: set[str] = set()
