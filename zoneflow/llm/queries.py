@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zoneflow.llm import exact, mixing, tokens, urls
+from zoneflow.llm import exact, mixing, simhash, tokens, urls
 from zoneflow.session import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_simhash(spark, folder):
+    return simhash.simhash_components(table(spark, folder, "documents"))
+
+
 URL_RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
