@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zoneflow.llm import exact, mixing, simhash, tokens, urls
+from zoneflow.llm import decontaminate, exact, mixing, simhash, tokens, urls
 from zoneflow.session import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,33 @@ def op1_simhash(spark, folder):
     return simhash.simhash_components(table(spark, folder, "documents"))
 
 
+@query(r"""with d as (select doc_id, coalesce(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
+  b as (select item_id, regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null),
+  starts as (select item_id, w, least(10, len(w)) l, unnest(range(1, len(w) - least(10, len(w)) + 2)) i
+    from b where len(w) > 0),
+  g as (select distinct item_id, l, array_to_string(w[i:i + l - 1], ' ') win from starts),
+  places as (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) i
+    from d, (select distinct l from g) where len(w) >= l),
+  dw as (select doc_id, i, l, array_to_string(w[i:i + l - 1], ' ') win from places),
+  h as (select dw.doc_id, dw.i, dw.l, g.item_id from dw join g on g.win = dw.win and g.l = dw.l),
+  covered as (select distinct doc_id, unnest(range(i, i + l)) p from h),
+  n as (select doc_id, count(*) n_hit from covered group by 1),
+  t as (select doc_id, count(*) n_items, sha256(string_agg(item, ',' order by item)) s
+    from (select distinct doc_id, cast(item_id as varchar) item from h) group by 1)
+  select d.doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit,
+    coalesce(n_items, 0) n_items, coalesce(s, sha256('')) items_sha256, n_hit is not null contaminated
+  from d left join n on n.doc_id = d.doc_id left join t on t.doc_id = d.doc_id""")
+def op2_decontamination(spark, folder):
+    found = decontaminate.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+    return found.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
 URL_RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
