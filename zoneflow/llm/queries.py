@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import decontaminate, exact, mixing, simhash, tokens, urls
+from zoneflow.llm import decontaminate, exact, mixing, simhash, substring, tokens, urls
 from zoneflow.session import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,6 +106,21 @@ def op8_exact_dedup(spark, folder):
     return exact.exact_dedup(table(spark, folder, "documents"))
 
 
+@query(r"""with d as (select doc_id, coalesce(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), []) w
+    from documents),
+  places as (select doc_id, unnest(range(1, len(w) - 18)) i from d where len(w) >= 20),
+  win as (select doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) h from places join d using (doc_id)),
+  ranked as (select doc_id, i, row_number() over (partition by h order by doc_id, i) r from win),
+  gone as (select distinct doc_id, unnest(range(i, i + 20)) p from ranked where r > 1),
+  words as (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d),
+  kept as (select doc_id, count(*) n, string_agg(x, ' ' order by p) t
+    from words anti join gone using (doc_id, p) group by 1)
+  select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed,
+    sha256(coalesce(t, '')) kept_sha256 from d left join kept using (doc_id)""")
+def op9_substring_dedup(spark, folder):
+    return substring.substring_dedup(table(spark, folder, "documents"), texts=False)
+
+
 @query()
 def op10_mixing(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source", "rate", "copies")
