@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import decontaminate, exact, mixing, simhash, substring, tokens, urls
+from zoneflow.llm import decontaminate, exact, mixing, sharding, simhash, substring, tokens, urls
 from zoneflow.session import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,6 +90,12 @@ def op4_url_filters(spark, folder):
     return urls.url_filter(table(spark, folder, "pages"), rules)
 
 
+@query()
+def op5_sharding(spark, folder):
+    placed = sharding.shard_documents(table(spark, folder, "documents"), shards=40)
+    return placed.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 @query()
 def op7_token_counts(spark, folder):
     import public_tokenizers
