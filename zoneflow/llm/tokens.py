@@ -8,6 +8,7 @@ counts of all rows are then joined from the cache.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from zoneflow.session import new_folder
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
-MEMO_WORDS = 400_000  # counts of single words a worker keeps; it starts anew when they are more
+MEMO_WORDS = 100_000  # counts of single words a worker keeps; it starts anew when they are more
 
 
 class WordCounts:
@@ -119,6 +120,8 @@ def _encode_missing(
     kind = WordCounts if by_word else WholeCounts
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A task has one core; threads of the library would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = kind(definition.value.decode())
         for batch in batches:
             texts = batch.column("content").cast(pa.binary())
