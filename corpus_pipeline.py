@@ -1,15 +1,61 @@
-"""The corpus pipeline: five stages from raw documents to shards."""
+"""The corpus pipeline: from raw documents to shards.
+
+Each stage takes the session, what the stage before kept, and the folder of the tables. All but the
+last give back the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from zoneflow.llm import decontaminate, mixing, sharding, simhash, toxicity
+from zoneflow.session import materialize, ship_code
+
+SHARDS = 40
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it learns from those of them with a label."""
+    ship_code(spark)
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, labels))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each SimHash component: the one with the smallest id."""
+    ship_code(spark)
+    return simhash.simhash_dedup(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    ship_code(spark)
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    ship_code(spark)
+    return mixing.repeat_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Every row of the mix with its shard and slot."""
+    ship_code(spark)
+    return sharding.shard_documents(docs, shards=SHARDS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated), ("mixing", mix), ("sharding", shard),
+]
+
+# Two stages are models or iterations; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

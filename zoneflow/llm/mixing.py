@@ -124,7 +124,7 @@ def solve_tilts(sizes: DataFrame, sources: DataFrame, cap: float) -> DataFrame:
 def mix_sources(
     docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
     id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
-    rows_per_slot: int = ROWS_PER_SLOT,
+    rows_per_slot: int = ROWS_PER_SLOT, keep_place: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, source, ``size``, ``source_size``, ``target``, ``rate``,
     ``copies``, ``taken`` (words taken, repeats counted).
@@ -139,7 +139,7 @@ def mix_sources(
     sized = materialize(docs.select(
         F.col(id_column).alias("id"), F.col(source_column).alias("source"),
         word_count(F.col(text_column)).alias("size"),
-        F.xxhash64(F.col(id_column), F.col(text_column)).alias("place"),
+        _place(id_column, text_column, source_column),
     ).select("*", key))
     sizes = materialize(
         sized.groupBy("key", "source", "size").agg(F.count("*").alias("n"))
@@ -155,8 +155,40 @@ def mix_sources(
     chosen = _chosen(sized, copies)
     return chosen.select(
         F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size",
-        "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"),
+        "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"), "place",
+    ).drop(*([] if keep_place else ["place"]))
+
+
+def _place(id_column: str, text_column: str, source_column: str) -> Column:
+    return F.xxhash64(F.col(id_column), F.col(text_column), F.col(source_column)).alias("place")
+
+
+def repeat_documents(
+    docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0,
+    id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix_sources`` has copies of it, all columns as they
+    were."""
+    mixed = mix_sources(
+        docs, weights, cap, id_column, text_column, source_column, keep_place=True
+    ).select(
+        F.col(id_column).alias("_id"), F.col("place").alias("_place"),
+        F.col("copies").cast("int").alias("_copies"),
+    )
+    same = W.partitionBy("_id", "_place").orderBy("_copies")
+    mixed = mixed.withColumn("_copy", F.row_number().over(same))
+    same_docs = W.partitionBy("_id", "_place").orderBy(F.lit(1))
+    rows = docs.select(
+        "*", F.col(id_column).alias("_id"),
+        _place(id_column, text_column, source_column).alias("_place"),
+    ).withColumn("_copy", F.row_number().over(same_docs))
+    joined = rows.alias("r").join(
+        mixed.alias("m"), F.expr("r._id <=> m._id and r._place = m._place and r._copy = m._copy")
     )
+    return joined.select(
+        *[F.col(f"r.`{c}`") for c in docs.columns],
+        F.explode(F.array_repeat(F.lit(1), F.col("m._copies"))).alias("_again"),
+    ).drop("_again")
 
 
 def _rounded(

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import decontaminate, exact, mixing, sharding, simhash, substring, tokens, urls
+from zoneflow.llm import decontaminate, exact, mixing, quality, sharding, simhash, substring
+from zoneflow.llm import tokens, toxicity, urls
 from zoneflow.session import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,12 +91,26 @@ def op4_url_filters(spark, folder):
     return urls.url_filter(table(spark, folder, "pages"), rules)
 
 
+@query()
+def op3_quality(spark, folder):
+    return quality.quality_scores(
+        table(spark, folder, "documents"), table(spark, folder, "labels")
+    )
+
+
 @query()
 def op5_sharding(spark, folder):
     placed = sharding.shard_documents(table(spark, folder, "documents"), shards=40)
     return placed.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query()
+def op6_toxicity(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"))
+    return toxicity.toxicity_scores(docs, model)
+
+
 @query()
 def op7_token_counts(spark, folder):
     import public_tokenizers
