@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from zoneflow.session import materialize, release
 
 SEPARATORS = r" \t\n\x0B\f\r"
-ROWS_PER_SLOT = 20_000
+ROWS_PER_SLOT = 1_000
 PHASES = 16
 MAX_STEPS = 80
 TOLERANCE = 1e-9

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from zoneflow.session import materialize, release
 
 ROUNDS = 4
-ROWS_PER_LOT = 20_000
+ROWS_PER_LOT = 2_000
 
 
 def _text(name: str) -> Column:
