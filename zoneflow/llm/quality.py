@@ -27,7 +27,7 @@ from zoneflow.session import materialize
 
 MAX_ROWS = 200_000  # trusted positives
 BINS = 200
-STEPS = 10
+STEPS = 14  # passes over the measures
 RIDGE = 1e-3
 LEAST_SHARE = 0.02  # of the positives above a score that may estimate the prior
 
@@ -118,7 +118,7 @@ class Model:
 
 
 def _newton(measured, mean, scale, positives: float, others: float, prior: float | None, weights):
-    """Newton steps on the risk; without a prior, on the loss of telling positives from unlabelled
+    """Newton steps on the risk, halved where it grows; without a prior, on the loss of telling positives from unlabelled
     documents, both classes of equal weight."""
     d = SIZE + 1
 
@@ -137,25 +137,33 @@ def _newton(measured, mean, scale, positives: float, others: float, prior: float
         ])
 
     ridge = RIDGE * np.append(np.ones(SIZE), 0.0)
+    best, best_risk = weights, math.inf
     for _ in range(STEPS):
         s = _summed(measured, statistic, 3 * d + 3 + 2 * d * d)
         all_p, own_x, own_p = s[:d] / others, s[d:2 * d] / positives, s[2 * d:3 * d] / positives
-        risk_u, risk_p_negative, _ = s[3 * d:3 * d + 3] / np.array([others, positives, positives])
+        risk_u, risk_n, risk_p = s[3 * d:3 * d + 3] / np.array([others, positives, positives])
         matrix = s[3 * d + 3:3 * d + 3 + d * d].reshape(d, d) / others
         own_matrix = s[3 * d + 3 + d * d:].reshape(d, d) / positives
+        penalty = (ridge * weights * weights).sum() / 2
         if prior is None:
+            risk = (risk_u + risk_p) / 2
             gradient, hessian = (all_p + own_p - own_x) / 2, (matrix + own_matrix) / 2
-        elif risk_u - prior * risk_p_negative >= 0:
+        elif risk_u - prior * risk_n >= 0:
+            risk = prior * risk_p + risk_u - prior * risk_n
             gradient, hessian = all_p - prior * own_x, matrix
-        else:  # the risk of negatives has turned negative: a step that raises it again
-            gradient, hessian = prior * own_p - all_p, matrix
-        gradient = gradient + ridge * weights
-        step = np.linalg.solve(hessian + np.diag(ridge + 1e-6), gradient)
+        else:  # the risk of negatives has turned negative and counts as nothing
+            risk = prior * risk_p
+            gradient, hessian = prior * (own_p - own_x), prior * own_matrix
+        if risk + penalty > best_risk:
+            weights = (weights + best) / 2
+            continue
+        best, best_risk = weights, risk + penalty
+        step = np.linalg.solve(hessian + np.diag(ridge + 1e-6), gradient + ridge * weights)
         length = np.abs(step).max()
-        weights = weights - step * min(1.0, 2.0 / max(length, 1e-12))
         if length < 1e-4:
             break
-    return weights
+        weights = weights - step * min(1.0, 2.0 / length)
+    return best
 
 
 def estimate_prior(measured, mean, scale, weights) -> float:
