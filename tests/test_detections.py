@@ -14,7 +14,7 @@ def make(spark, rows):
     return spark.createDataFrame(full, DETECTION_ROWS)
 
 
-def crowd(seed, frames, people=6, noise=6.0, cameras=(1, 2), skip=0.15):
+def crowd(seed, frames, people=6, noise=6.0, cameras=(1, 2), skip=0.15, pauses=True):
     """Persons walking with noise, seen most of the time."""
     rng = random.Random(seed)
     rows = []
@@ -27,7 +27,7 @@ def crowd(seed, frames, people=6, noise=6.0, cameras=(1, 2), skip=0.15):
                 p[1] += rng.uniform(-noise, noise)
                 if rng.random() < 0.01:
                     p[:] = [rng.uniform(0, 900), rng.uniform(0, 500)]
-                if rng.random() < skip or 40 < frame % 90 < 58:
+                if rng.random() < skip or pauses and 40 < frame % 90 < 58:
                     continue
                 rows.append((camera, frame, idx, p[0], p[1], p[0] + 60, p[1] + 120,
                              round(rng.uniform(0.41, 0.99), 3)))
@@ -141,3 +141,18 @@ def test_parallel_spans_equal_one_sequential_run(spark):
         for r in got:
             track_id, hits, box = expected[(r.camera_id, r.frame_id, r.det_idx)]
             assert (r.track_id, r.hits, [r.x1, r.y1, r.x2, r.y2]) == (track_id, hits, box)
+
+
+def test_wrong_guesses_take_few_rounds(spark):
+    """64 spans of a jittering crowd, followed without a warm-up: each guess is wrong at first."""
+    rows = crowd(seed=2, frames=64 * 16 - 1, noise=12.0, people=5, cameras=(1,), pauses=False)
+    frames, expected, rounds = {}, {}, []
+    for r in rows:
+        frames.setdefault(r[1], []).append(r[3:7])
+    for frame, items in naive.tracker(frames, max(frames)).items():
+        for i, item in enumerate(items):
+            expected[(frame, i)] = item
+    got = tracking.track(make(spark, rows), Params(frames_per_span=16), warm_up=1, wrong_guesses=rounds)
+    assert {(r.frame_id, r.det_idx): (r.track_id, r.hits, [r.x1, r.y1, r.x2, r.y2])
+            for r in got.collect()} == expected
+    assert rounds[0] >= 40 and len(rounds) <= 7

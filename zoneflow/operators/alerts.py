@@ -81,7 +81,7 @@ def explode_alerts(metrics: DataFrame, cameras: DataFrame) -> DataFrame:
     """One row per alert with zone and tenant of its camera.
 
     ``metrics`` has camera_id, frame_id, ts_ms, current_count, risk and alerts; ``cameras`` has
-    one row per camera_id with user_id and zone_name. The id is a hash of camera, frame and type.
+    one row per camera_id with user_id and zone_name. The id is a hash of camera, frame, type and place in the array.
     """
     places = cameras.select("camera_id", "user_id", "zone_name")
     raised = metrics.select("camera_id", "frame_id", "ts_ms", "current_count", "risk", "alerts")
@@ -100,7 +100,7 @@ def explode_alerts(metrics: DataFrame, cameras: DataFrame) -> DataFrame:
         F.col("_alert.message"), F.concat(zone, F.lit(" reported "), level, F.lit(" crowd density"))
     )
     identity = F.concat_ws("|", F.col("camera_id").cast("string"),
-                           F.col("frame_id").cast("string"), kind)
+                           F.col("frame_id").cast("string"), kind, F.col("_nth").cast("string"))
     return rows.select(
         F.sha2(identity, 256).alias("alert_id"), "user_id", "camera_id", "zone_name", "frame_id",
         F.col("ts_ms").alias("created_ms"), kind.alias("type"), message.alias("message"),

@@ -352,8 +352,8 @@ def with_results(
     density = F.col("density_count") if "density_count" in history.columns else F.lit(None)
     return flat.select(
         *[c for c in flat.columns if c not in ("density_count", "predicted")],
-        F.greatest(F.coalesce(density.cast("long"), F.col("current_count")), F.lit(0))
-        .alias("density_count"),
+        # The density model is asked in dense frames only.
+        base_count(F.col("current_count"), density.cast("long"), params).alias("density_count"),
         blend.alias("_blend"),
     ).select("*", "_blend.*").drop("_blend")
 

@@ -83,10 +83,13 @@ def with_recent(
         return F.slice(values, F.greatest(F.size(values) - (n - 1), F.lit(1)), n)
 
     spanned = df.withColumn("_value", value).withColumn(SPAN, span_of(F.col(order[0]), span))
-    in_order = F.sort_array(F.collect_list(F.struct(*order, "_value")))["_value"]
-    tails = spanned.groupBy(*keys, SPAN).agg(in_order.alias("_all")).select(
-        *keys, SPAN, last(F.col("_all"), rows).alias("_tail")
+    # Only the last rows of a span are gathered.
+    backwards = W.partitionBy(*keys, SPAN).orderBy(*[F.desc(c) for c in order])
+    ending = spanned.withColumn("_from_end", F.row_number().over(backwards)).filter(
+        F.col("_from_end") <= rows
     )
+    in_order = F.sort_array(F.collect_list(F.struct(*order, "_value")))["_value"]
+    tails = ending.groupBy(*keys, SPAN).agg(in_order.alias("_tail"))
     # Every span has a row, so ``rows`` spans hold the last ``rows`` values.
     near = W.partitionBy(*keys).orderBy(SPAN).rowsBetween(-rows, -1)
     carry = tails.select(

@@ -117,24 +117,25 @@ def merge_metrics(previous: DataFrame, new: DataFrame, key: str = "camera_id") -
     is not a finite number keeps the previous total; a missing risk becomes Low.
     """
     joined = previous.alias("p").join(new.withColumn("_new", F.lit(True)).alias("n"), key, "left")
-    fields = _fields(new)
+    fields = {c: F.col(f"n.{c}") if c in new.columns else F.lit(None).cast(kind)
+              for c, kind in (("current_count", "long"), ("count", "long"), ("people_count", "long"),
+                              ("total_count", "double"), ("risk", "string"))}
     arrived = F.col("n._new").isNotNull()
-    count = live_count({c: F.col(f"n.{c}") if c in new.columns else fields[c]
-                        for c in ("current_count", "count", "people_count")})
+    count = live_count({c: fields[c] for c in ("current_count", "count", "people_count")})
     out = []
     for name in dict.fromkeys([*previous.columns, *new.columns]):
         if name == key:
             out.append(F.col(key))
             continue
         old = F.col(f"p.{name}") if name in previous.columns else F.lit(None)
-        if name not in new.columns:
-            fresh = old
-        elif name in ("count", "current_count"):
+        if name in ("count", "current_count"):
             fresh = count
         elif name == "total_count":
-            fresh = F.coalesce(finite(F.col("n.total_count")), old, F.lit(0))
+            fresh = F.coalesce(finite(fields["total_count"]), old, F.lit(0))
         elif name == "risk":
-            fresh = filled(F.col("n.risk"), F.lit(LEVELS[0]))
+            fresh = filled(fields["risk"], F.lit(LEVELS[0]))
+        elif name not in new.columns:
+            fresh = old
         else:
             fresh = F.coalesce(F.col(f"n.{name}"), old)
         out.append(F.when(arrived, fresh).otherwise(old).alias(name))

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from zoneflow.functions.risk import LEVELS
 from zoneflow.operators.frames import empty_metrics, latest_by
+from zoneflow.operators.ordered import with_running
 
+DAY_MS = 86_400_000
 TERMINAL = ("completed", "failed")
 STARTED = "processing_started"
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str, *order: str) -> DataFrame:
     """``base`` with rows replaced or added by the last change of each key."""
-    latest = latest_by(changes, [key], *order).select(*base.columns)
-    return base.join(changes.select(key).distinct(), key, "left_anti").unionByName(latest)
+    # One grouping over both: a change, of any age, comes after the row of the base.
+    stored = base.withColumn("_age", F.lit(0)).withColumns(
+        {c: F.lit(None).cast(changes.schema[c].dataType) for c in order if c not in base.columns}
+    )
+    new = changes.select(*base.columns, *[c for c in order if c not in base.columns])
+    both = stored.unionByName(new.withColumn("_age", F.lit(1)))
+    return latest_by(both, [key], "_age", *order).select(*base.columns)
 
 
 def delete_keys(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -29,13 +36,13 @@ def reset_statuses(cameras: DataFrame) -> DataFrame:
 def camera_state(events: DataFrame) -> DataFrame:
     """State of every camera that is not deleted, from add / start / stop / delete events.
 
-    Both a start and a stop zero the metrics, so only status and times survive from the events.
+    A start of a camera that runs already does nothing. Both a start and a stop zero the metrics, so only status and times survive from the events.
     Columns: camera_id, tenant_id, status, last_started_ms, last_event_ms, and the zero metrics.
     """
     order = F.struct("ts_ms", "seq")
     action = F.col("action")
-    starts = action == "start"
-    last = events.groupBy("camera_id").agg(
+    starts = (action == "start") & ~F.col("_before").eqNullSafe("start")
+    last = _with_action_before(events).groupBy("camera_id").agg(
         F.max_by("tenant_id", order).alias("tenant_id"),
         F.max_by("action", order).alias("_action"),
         F.max("ts_ms").alias("last_event_ms"),
@@ -56,6 +63,12 @@ def camera_state(events: DataFrame) -> DataFrame:
     )
 
 
+def _with_action_before(events: DataFrame) -> DataFrame:
+    return with_running(
+        events, ["camera_id"], ["ts_ms", "seq"], previous={"_before": F.col("action")}, span=DAY_MS
+    )
+
+
 def distinct_paths(df: DataFrame, column: str = "paths") -> DataFrame:
     """Non-empty distinct clean-up paths of each job, first occurrence first."""
     given = F.filter(F.coalesce(column, F.array().cast("array<string>")),
@@ -86,12 +99,16 @@ def jobs_with_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def active_streams(events: DataFrame) -> DataFrame:
-    """Cameras whose last start or stop event is a start."""
+    """Cameras whose last start or stop event is a start, with the time they have been running since.
+
+    A start of a camera that runs already does nothing.
+    """
     switches = events.filter(F.col("action").isin("start", "stop", "delete"))
+    starts = (F.col("action") == "start") & ~F.col("_before").eqNullSafe("start")
     return (
-        switches.groupBy("camera_id")
+        _with_action_before(switches).groupBy("camera_id")
         .agg(F.max_by("action", F.struct("ts_ms", "seq")).alias("_action"),
-             F.max(F.when(F.col("action") == "start", F.col("ts_ms"))).alias("started_ms"))
+             F.max(F.when(starts, F.col("ts_ms"))).alias("started_ms"))
         .filter(F.col("_action") == "start")
         .select("camera_id", "started_ms")
     )

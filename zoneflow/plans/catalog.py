@@ -206,14 +206,15 @@ def heat_recency(d):
     )
 
 
-@query("""select camera_id, frame_id, case when n < 15 then n
+@query("""select camera_id, frame_id, base_count, base_count density_count from (
+      select *, case when n < 15 then n
       else greatest(case when frame_id % 4 <> 0 then (frame_id * 7) % 60 else n end, 0) end
-      base_count from counted""")
+      base_count from counted)""")
 def base_count(d):
     model = F.when(F.col("frame_id") % 4 != 0, (F.col("frame_id") * 7) % 60)
     spine = d.frames().withColumn("density_count", model)
     return frames.frame_metrics(d.tracks(), spine, SHORT).select(
-        "camera_id", "frame_id", "base_count"
+        "camera_id", "frame_id", "base_count", "density_count"
     )
 
 
@@ -260,9 +261,9 @@ def blend_forecast(d):
         greatest(cast(round_even(n * 0.7e0 + {rounded('mean', 2)} * 0.3e0, 0) as bigint), 0)
         else n end smoothed_count
     from (select source, frame_id, greatest(current_count, 0) n,
-        cast(least(row_number() over (partition by source order by frame_id), 10) as bigint) k,
+        row_number() over (partition by source order by frame_id) k,
         avg(greatest(current_count, 0)) over (partition by source order by frame_id
-          rows between 9 preceding and current row) mean from count_series)""")
+          rows between 7 preceding and current row) mean from count_series)""")
 def live_smoothed(d):
     return series.smoothed_counts(d.count_series(), frames.mean_of_history, span=1000).select(
         "source", "frame_id", "smoothed_count"
@@ -489,7 +490,10 @@ def alerts_each(d):
     )
 
 
-@query("""select sha256(r.camera_id || '|' || r.frame_id || '|' || r.type) alert_id, c.user_id,
+@query("""select sha256(r.camera_id || '|' || r.frame_id || '|' || r.type || '|' ||
+        (row_number() over (partition by r.camera_id, r.frame_id order by case r.type
+          when 'overcrowding' then 0 when 'sudden_spike' then 1 when 'density_hotspot' then 2
+          when 'movement_surge' then 3 else 4 end) - 1)) alert_id, c.user_id,
       r.camera_id, c.zone_name, r.frame_id, r.ts_ms created_ms, r."type", r.message, r.risk,
       r."count"
     from raised r join cameras c on c.camera_id = r.camera_id""")
@@ -585,17 +589,21 @@ def reset_on_source_change(d):
     )
 
 
-@query("""select a.service, a.source, case when a.source = s.source then n else 0 end current_count,
-      case when a.source = s.source then coalesce(nullif(s.smoothed_count, 0), n) else 0 end
-        final_count,
-      case when a.source = s.source then s.frame_id else 0 end frame_id, s.updated_ms
-    from (select distinct service, source from live_service) a
+@query("""select a.service, coalesce(a.source, s.source) source,
+      case when coalesce(a.source, s.source) = s.source then n else 0 end current_count,
+      case when coalesce(a.source, s.source) = s.source
+        then coalesce(nullif(s.smoothed_count, 0), n) else 0 end final_count,
+      case when coalesce(a.source, s.source) = s.source then s.frame_id else 0 end frame_id,
+      s.updated_ms
+    from (select distinct service, case when frame_id % 2 = 0 then source end source
+      from live_service) a
     join (select *, greatest(current_count, 0) n from live_service
       qualify row_number() over (partition by service order by frame_id desc) = 1) s
       on s.service = a.service""")
 def stats_by_source(d):
     totals = series.reset_on_source_change(d.live_service(), ["service"], span=1000)
-    asked = d.live_service().select("service", "source").distinct()
+    named = F.when(F.col("frame_id") % 2 == 0, F.col("source")).alias("source")
+    asked = d.live_service().select("service", named).distinct()
     return series.stats_by_source(asked, totals).select(
         "service", "source", "current_count", "final_count", "frame_id", "updated_ms"
     )
@@ -606,14 +614,13 @@ def stats_by_source(d):
 
 @query("""select camera_id, name from (
       select camera_id, 'new-' || camera_id || '-' || seq as name from (select * from camera_events
-        where camera_id % 2 = 0
         qualify row_number() over (partition by camera_id order by ts_ms desc, seq desc) = 1)
       union all
       select camera_id, name from cameras
-        where camera_id not in (select camera_id from camera_events where camera_id % 2 = 0))""")
+        where camera_id not in (select camera_id from camera_events))""")
 def upsert(d):
     camera = F.col("camera_id")
-    changes = d.camera_events().filter(camera % 2 == 0).select(
+    changes = d.camera_events().select(
         "camera_id", "ts_ms", "seq",
         F.concat(F.lit("new-"), camera.cast("string"), F.lit("-"), F.col("seq").cast("string"))
         .alias("name"),
@@ -636,8 +643,10 @@ def reset_statuses(d):
 
 @query("""select camera_id, tenant_id, case when "action" = 'start' then 'running' else 'stopped' end
       status, last_started_ms, ts_ms last_event_ms
-    from (select *, (select max(s.ts_ms) from camera_events s where s.camera_id = e.camera_id
-        and s."action" = 'start' and not exists (select 1 from camera_events x
+    from (select *, (select max(s.ts_ms) from (select *, lag("action") over
+          (partition by camera_id order by ts_ms, seq) before from camera_events) s
+        where s.camera_id = e.camera_id and s."action" = 'start'
+        and s.before is distinct from 'start' and not exists (select 1 from camera_events x
           where x.camera_id = s.camera_id and x."action" = 'delete'
           and (x.ts_ms, x.seq) > (s.ts_ms, s.seq))) last_started_ms
       from camera_events e
@@ -660,11 +669,9 @@ def job_ledger(d):
 
 @query(f"""select j.job_id, coalesce(r.status, 'processing_started') status, r.seq
     from (select distinct job_id from job_events) j left join (select * from {LEDGER_SQL}
-      where status <> 'processing_started' and job_id % 3 <> 0) r on r.job_id = j.job_id""")
+      where status <> 'processing_started') r on r.job_id = j.job_id""")
 def jobs_with_results(d):
-    done = tables.job_ledger(d.job_events()).filter(
-        (F.col("status") != tables.STARTED) & (F.col("job_id") % 3 != 0)
-    )
+    done = tables.job_ledger(d.job_events()).filter(F.col("status") != tables.STARTED)
     jobs = d.job_events().select("job_id").distinct()
     return tables.jobs_with_results(jobs, done.select("job_id", "status", "seq")).select(
         "job_id", "status", "seq"
@@ -672,9 +679,10 @@ def jobs_with_results(d):
 
 
 @query("""select camera_id, started_ms from (select camera_id, "action", max(case when "action" = 'start'
-        then ts_ms end) over (partition by camera_id) started_ms,
+        and before is distinct from 'start' then ts_ms end) over (partition by camera_id) started_ms,
       row_number() over (partition by camera_id order by ts_ms desc, seq desc) rn
-      from camera_events where "action" in ('start', 'stop', 'delete'))
+      from (select *, lag("action") over (partition by camera_id order by ts_ms, seq) before
+        from camera_events where "action" in ('start', 'stop', 'delete')))
     where rn = 1 and "action" = 'start'""")
 def active_streams(d):
     return tables.active_streams(d.camera_events())
@@ -893,6 +901,22 @@ def merge_metrics(d):
                          F.col("total_count").cast("double").alias("total_count"), "risk")
 
 
+@query("""select camera_id, case when n.camera_id is null then c.current_count else n.m end current_count,
+      case when n.camera_id is null then c.risk else 'Low' end risk,
+      case when n.camera_id is null then c.total_count else coalesce(c.total_count, 0) end total_count
+    from stored_cameras c left join (select camera_id, cast(max(people_count) as bigint) m
+      from predictions group by 1) n using (camera_id)""")
+def merge_partial(d):
+    """A prediction without a total, a risk or the first of the counts."""
+    newest = d.predictions().groupBy("camera_id").agg(
+        F.max("people_count").cast("long").alias("people_count")
+    )
+    merged = projections.merge_metrics(
+        d.stored_cameras().select("camera_id", "current_count", "total_count", "risk"), newest
+    )
+    return merged.select("camera_id", "current_count", "risk", F.col("total_count").cast("long"))
+
+
 @query("""select camera_id, coalesce(l.current_count, c.current_count, 0) current_count,
       coalesce(l.current_count, c.cnt, 0) live, coalesce(l.total_count, c.total_count, 0) total_count,
       coalesce(l.density_count, c.density_count, 0) density_count,
