@@ -56,7 +56,7 @@ def batch_metrics(table):
 def test_camera_stream_equals_batch(spark, replay, tmp_path):
     folder, table = replay
     stream = readers.read_detections_stream(spark, folder, files_per_batch=1)
-    results = frames.with_results(processors.camera_processor(stream))
+    results = frames.with_results(processors.camera_processor(stream, delay="0 seconds"))
     path = to_folder(results, tmp_path, "results")
     got = spark.read.parquet(path)
     assert got.select("batch").distinct().count() > 1
@@ -66,20 +66,63 @@ def test_camera_stream_equals_batch(spark, replay, tmp_path):
     assert 0 < len(last.heatmap_points) <= 250
 
 
+def shuffled_files(df, folder, last):
+    """Rows of one key spread over the micro-batches, then one late row that moves the watermark on."""
+    for i in range(4):
+        df.filter(F.pmod(F.xxhash64(*df.columns[:3]), F.lit(4)) == i).coalesce(1).write.mode(
+            "append").parquet(folder)
+    last.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_rows_shuffled_across_batches(spark, replay, tmp_path):
+    """Frames, alerts and counts in any micro-batch within the delay give the batch result."""
+    _, table = replay
+    far = 10_000_000
+    folder = str(tmp_path / "frames")
+    end = spark.createDataFrame([(9, 9, 1, far, 1280, 720, [])], FRAME_STREAM)
+    shuffled_files(table, folder, end)
+    stream = readers.read_detections_stream(spark, folder, files_per_batch=1)
+    results = frames.with_results(processors.camera_processor(stream, delay="2 minutes"))
+    path = to_folder(results, tmp_path, "frames-out")
+    assert values(spark.read.parquet(path).filter("camera_id < 9")) == values(batch_metrics(table))
+
+    alert_rows = [(f"a{i:03}", i % 2, 1000 + 700 * i, "spike", "m", "Low", 9) for i in range(150)]
+    schema = ("alert_id string, camera_id long, created_ms long, type string, message string, "
+              "risk string, count long")
+    df = spark.createDataFrame(alert_rows, schema)
+    folder = str(tmp_path / "alerts")
+    shuffled_files(df, folder, spark.createDataFrame([("end", 9, far, "x", "m", "Low", None)], schema))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    path = to_folder(processors.suppress_stream(stream, delay="5 minutes"), tmp_path, "alerts-out")
+    got = {r.alert_id for r in spark.read.parquet(path).collect()} - {"end"}
+    assert got == {r.alert_id for r in alerts.suppress_repeats(df, span_ms=60_000).collect()}
+
+    schema = "source string, frame_id long, current_count long, updated_ms long"
+    counts = [(f"s{i % 2}", i, (i * 7) % 11 - 1, 1000 + i) for i in range(120)]
+    df = spark.createDataFrame(counts, schema)
+    folder = str(tmp_path / "counts")
+    shuffled_files(df, folder, spark.createDataFrame([("end", 1, None, far)], schema))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    path = to_folder(processors.count_stream(stream, delay="1 minute"), tmp_path, "counts-out")
+    names = ("source", "frame_id", "current_count", "total_count")
+    got = {tuple(r) for r in spark.read.parquet(path).filter("source <> 'end'").select(*names).collect()}
+    assert got == {tuple(r) for r in series.running_arrivals(df).select(*names).collect()}
+
+
 def test_late_frames_are_dropped(spark, replay, tmp_path):
     _, table = replay
     folder = str(tmp_path / "in")
     table.filter("frame_id between 1 and 10").coalesce(1).write.mode("append").parquet(folder)
     table.filter("frame_id between 8 and 12").coalesce(1).write.mode("append").parquet(folder)
     stream = readers.read_detections_stream(spark, folder, files_per_batch=1)
-    path = to_folder(processors.camera_processor(stream), tmp_path, "results")
+    path = to_folder(processors.camera_processor(stream, delay="0 seconds"), tmp_path, "results")
     got = spark.read.parquet(path).groupBy("camera_id").agg(F.count("*"), F.count_distinct("frame_id"))
     assert {tuple(r)[1:] for r in got.collect()} == {(12, 12)}
 
 
 def test_suppression_stream_equals_batch(spark, tmp_path):
     rng = random.Random(2)
-    times = sorted(rng.sample(range(0, 4000), 700))
+    times = sorted(rng.sample(range(1, 4000), 700))
     rows = [(f"a{t}", t % 3, t * 100, "spike", f"m{t % 2}", "Low", 9) for t in times]
     schema = ("alert_id string, camera_id long, created_ms long, type string, message string, "
               "risk string, count long")
@@ -89,7 +132,7 @@ def test_suppression_stream_equals_batch(spark, tmp_path):
         part = df.filter(F.col("created_ms").between(i * 100_000, i * 100_000 + 99_999))
         part.orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    path = to_folder(processors.suppress_stream(stream), tmp_path, "out")
+    path = to_folder(processors.suppress_stream(stream, delay="0 seconds"), tmp_path, "out")
     got = {r.alert_id for r in spark.read.parquet(path).collect()}
     assert got == {r.alert_id for r in alerts.suppress_repeats(df, span_ms=60_000).collect()}
     assert 0 < len(got) < len(rows)
@@ -97,13 +140,13 @@ def test_suppression_stream_equals_batch(spark, tmp_path):
 
 def test_count_stream_equals_batch(spark, tmp_path):
     rng = random.Random(7)
-    rows = [(f"s{i % 3}", i, rng.randrange(-3, 20)) for i in range(300)]
-    df = spark.createDataFrame(rows, "source string, frame_id long, current_count long")
+    rows = [(f"s{i % 3}", i, rng.randrange(-3, 20), 1000 + i) for i in range(300)]
+    df = spark.createDataFrame(rows, "source string, frame_id long, current_count long, updated_ms long")
     folder = str(tmp_path / "in")
     for i in range(3):
         df.filter(F.floor(F.col("frame_id") / 100) == i).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    path = to_folder(processors.count_stream(stream), tmp_path, "out")
+    path = to_folder(processors.count_stream(stream, delay="0 seconds"), tmp_path, "out")
     names = ("source", "frame_id", "current_count", "total_count")
     got = {tuple(r) for r in spark.read.parquet(path).select(*names).collect()}
     assert got == {tuple(r) for r in series.running_arrivals(df).select(*names).collect()}
@@ -115,7 +158,7 @@ def test_latest_table_and_dashboard(spark, replay, tmp_path):
         [(1, 1, "running"), (2, 0, "running"), (3, 1, "stopped")],
         "camera_id long, user_id long, status string")
     stream = readers.read_detections_stream(spark, folder, files_per_batch=2)
-    results = frames.with_results(processors.camera_processor(stream))
+    results = frames.with_results(processors.camera_processor(stream, delay="0 seconds"))
     latest, summary = str(tmp_path / "latest"), str(tmp_path / "summary")
     drain(tables.dashboard_stream(results, cameras, latest, summary, str(tmp_path / "c")))
     current = {r.camera_id: r for r in sinks.read_table(spark, latest).collect()}

@@ -2,6 +2,11 @@
 
 State lives in RocksDB and is bounded: live tracks and their positions, the last few movements,
 counts and points, and counters. A micro-batch gives a key only its new rows.
+
+Rows are held until the watermark has passed them and are then handled in the order of their times,
+so rows of one key may come in any order and in any micro-batch within the delay. What comes later
+than that Spark leaves out before it reaches an operator, and counts in ``numRowsDroppedByWatermark``
+of the query's progress.
 """
 
 from __future__ import annotations
@@ -139,47 +144,133 @@ class _Camera:
         }
 
 
-class CameraProcessor(StatefulProcessor):
-    def __init__(self, params: Params = DEFAULTS) -> None:
-        self.params = params
+def _plain(value, kind: T.DataType):
+    """A value of a pandas column as the state store takes it."""
+    if isinstance(kind, T.ArrayType):
+        return None if value is None else [_plain(v, kind.elementType) for v in value]
+    if value is None or pd.isna(value):
+        return None
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return int(value)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return float(value)
+    if isinstance(kind, T.BooleanType):
+        return bool(value)
+    if isinstance(kind, T.TimestampType):
+        return value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
+    return value
+
+
+class _InOrder(StatefulProcessor):
+    """Holds the rows of a key until the watermark has passed them; ``ready`` gets them in order.
+
+    One timer is set, for the earliest row that waits or for ``forget_at``.
+    """
+
+    def __init__(self, held: T.StructType, time: str, order: Sequence[str]) -> None:
+        self.held, self.time = held, held.names.index(time)
+        self.order = [held.names.index(c) for c in order]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("camera", STATE)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.held)
+        self.start(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for batch in rows:
+            columns = [[_plain(v, f.dataType) for v in batch[f.name]] for f in self.held]
+            new = list(zip(*columns, strict=True))
+            self.waiting.appendList(new)
+            first = min(r[self.time] for r in new)
+            earliest = first if earliest is None else min(earliest, first)
+        if earliest is not None:
+            self.handle.registerTimer(earliest)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.waiting.get()) if self.waiting.exists() else []
+        now = [r for r in rows if r[self.time] <= passed]
+        later = [r for r in rows if r[self.time] > passed]
+        if now:
+            if later:
+                self.waiting.put(later)
+            else:
+                self.waiting.clear()
+            now.sort(key=lambda r: tuple((r[i] is not None, r[i]) for i in self.order))
+            yield self.ready(key, now)
+        else:
+            yield pd.DataFrame()
+        following = [r[self.time] for r in later]
+        forget = self.forget_at(passed)
+        if forget is not None:
+            following.append(forget)
+        if following:
+            self.handle.registerTimer(min(following))
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        """Open the state of the processor."""
+        raise NotImplementedError
+
+    def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def forget_at(self, passed: int) -> int | None:
+        """When the state of the key may be dropped; drops it if that time has passed."""
+        return None
+
+    def close(self) -> None:
+        pass
+
+
+def _watermarked(df: DataFrame, time: str, delay: str) -> DataFrame:
+    return df.withColumn(EVENT_TIME, F.timestamp_millis(time)).withWatermark(EVENT_TIME, delay)
+
+
+class CameraProcessor(_InOrder):
+    def __init__(self, held: T.StructType, params: Params = DEFAULTS) -> None:
+        super().__init__(held, "ts_ms", ["frame_id"])
+        self.params = params
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("camera", STATE)
+
+    def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
         stored = None
         if self.state.exists():
             stored = dict(zip(STATE.names, self.state.get()))
-        camera = _Camera(self.params, stored)
-        batch = pd.concat(list(rows)).sort_values("frame_id", kind="stable")
-        out = []
-        for row in batch.itertuples(index=False):
-            if row.frame_id <= camera.last_frame:
-                continue  # late: the frames after it have been counted already
-            boxes = np.array([getattr(row, c) for c in CORNERS], dtype=np.float32).T.reshape(-1, 4)
-            result = camera.frame(int(row.frame_id), int(row.width), int(row.height), boxes)
-            out.append({"user_id": key[0], "camera_id": key[1], "ts_ms": row.ts_ms, **result})
+        camera, out = _Camera(self.params, stored), []
+        for values in rows:
+            row = dict(zip(self.held.names, values))
+            if row["frame_id"] <= camera.last_frame:
+                continue  # a repeated frame, or one whose time contradicts its number
+            boxes = np.array([row[c] for c in CORNERS], dtype=np.float32).T.reshape(-1, 4)
+            result = camera.frame(row["frame_id"], row["width"], row["height"], boxes)
+            out.append({"user_id": key[0], "camera_id": key[1], "ts_ms": row["ts_ms"], **result})
         self.state.update(camera.stored())
-        yield pd.DataFrame(out, columns=OUTPUT.names)
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out, columns=OUTPUT.names)
 
 
-def camera_processor(frames: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def camera_processor(
+    frames: DataFrame, params: Params = DEFAULTS, delay: str = "10 seconds"
+) -> DataFrame:
     """Frames with raw detections in, frames with tracks and history out (see ``with_results``).
 
-    ``frames`` is a stream in the shape of ``schemas.FRAME_STREAM``. Filtering and overlap
-    suppression run before the only shuffle. A frame not after the last one seen is dropped.
+    ``frames`` is a stream in the shape of ``schemas.FRAME_STREAM``; ``ts_ms`` is its event time.
+    Filtering and overlap suppression run before the only shuffle. A frame is handled once the
+    watermark has passed it; a repeated frame is dropped.
     """
     clean = nms_frames(frames, params)
     boxes = [F.col("detections")[c].alias(c) for c in CORNERS]
+    given = clean.select("user_id", "camera_id", "frame_id", "ts_ms", "width", "height", *boxes)
+    held = T.StructType([f for f in given.schema if f.name not in ("user_id", "camera_id")])
     counted = (
-        clean.select("user_id", "camera_id", "frame_id", "ts_ms", "width", "height", *boxes)
+        _watermarked(given, "ts_ms", delay)
         .groupBy("user_id", "camera_id")
         .transformWithStateInPandas(
-            statefulProcessor=CameraProcessor(params), outputStructType=OUTPUT,
-            outputMode="append", timeMode="None",
+            statefulProcessor=CameraProcessor(held, params), outputStructType=OUTPUT,
+            outputMode="append", timeMode="EventTime",
         )
     )
     detections = F.transform(
@@ -200,41 +291,34 @@ def camera_processor(frames: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-class _Pace(StatefulProcessor):
-    def __init__(
-        self, time: str, tie: Sequence[str], window_ms: int, columns: Sequence[str]
-    ) -> None:
-        self.order, self.window_ms, self.columns = [time, *tie], window_ms, list(columns)
+class _Pace(_InOrder):
+    def __init__(self, held: T.StructType, time: str, tie: Sequence[str], window_ms: int) -> None:
+        super().__init__(held, time, [time, *tie])
+        self.window_ms = window_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+    def start(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState(
             "accepted", T.StructType([T.StructField("last", T.LongType())])
         )
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        before = self.state.get()[0] if self.state.exists() else None
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        keep, last = [], before
-        for t in batch[self.order[0]].tolist():
-            accepted = last is None or t - last >= self.window_ms
-            keep.append(accepted)
-            last = t if accepted else last
-        if last != before:
-            self.state.update((int(last),))
-            self.handle.registerTimer(int(last) + self.window_ms)
-        yield batch.loc[keep, self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Whatever comes after the watermark is accepted without knowing the last one.
-        if self.state.exists():
-            over = self.state.get()[0] + self.window_ms
-            if over <= expiredTimerInfo.getExpiryTimeInMs():
-                self.state.clear()
-        yield pd.DataFrame()
-
-    def close(self) -> None:
-        pass
+    def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
+        last, kept = self.state.get()[0] if self.state.exists() else None, []
+        for row in rows:
+            if last is None or row[self.time] - last >= self.window_ms:
+                last = row[self.time]
+                kept.append(row)
+        self.state.update((int(last),))
+        return pd.DataFrame(kept, columns=self.held.names, dtype=object)
+
+    def forget_at(self, passed: int) -> int | None:
+        # Whatever comes after the watermark is then accepted without knowing the last one.
+        if not self.state.exists():
+            return None
+        over = self.state.get()[0] + self.window_ms
+        if over <= passed:
+            self.state.clear()
+            return None
+        return over
 
 
 def suppress_stream(
@@ -247,51 +331,48 @@ def suppress_stream(
 ) -> DataFrame:
     """``suppress_repeats`` on a stream whose rows are at most ``delay`` late.
 
-    The state of a key is dropped when the watermark has passed its window.
+    An alert is decided on once the watermark has passed it. The state of a key is dropped when the
+    watermark has passed its window.
     """
     columns = alerts.columns
     signed = alerts
     if "signature" in keys and "signature" not in columns:
         signed = alerts.withColumn("signature", alert_signature())
-    timed = signed.withColumn(EVENT_TIME, F.timestamp_millis(time)).withWatermark(EVENT_TIME, delay)
     return (
-        timed.groupBy(*keys)
+        _watermarked(signed, time, delay).groupBy(*keys)
         .transformWithStateInPandas(
-            statefulProcessor=_Pace(time, tie, window_ms, signed.columns),
+            statefulProcessor=_Pace(signed.schema, time, tie, window_ms),
             outputStructType=signed.schema, outputMode="append", timeMode="EventTime",
         )
         .select(*columns)
     )
 
 
-class _Arrivals(StatefulProcessor):
-    def __init__(self, order: str) -> None:
-        self.order = order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
+class _Arrivals(_InOrder):
+    def start(self, handle: StatefulProcessorHandle) -> None:
         schema = T.StructType([T.StructField(c, T.LongType()) for c in ("last", "total")])
         self.state = handle.getValueState("arrivals", schema)
+        self.count = self.held.names.index("current_count")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
         last, total = self.state.get() if self.state.exists() else (0, 0)
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        counts = batch["current_count"].fillna(0).clip(lower=0).astype("int64")
-        rises = counts.diff()
-        rises.iloc[0] = counts.iloc[0] - last
-        totals = total + rises.clip(lower=0).cumsum().astype("int64")
-        self.state.update((int(counts.iloc[-1]), int(totals.iloc[-1])))
-        yield batch.assign(current_count=counts, total_count=totals)
-
-    def close(self) -> None:
-        pass
+        out = []
+        for row in rows:
+            count = max(row[self.count] or 0, 0)
+            total += max(count - last, 0)
+            last = count
+            out.append((*row[:self.count], count, *row[self.count + 1:], total))
+        self.state.update((int(last), int(total)))
+        return pd.DataFrame(out, columns=[*self.held.names, "total_count"], dtype=object)
 
 
 def count_stream(
-    series: DataFrame, keys: Sequence[str] = ("source",), order: str = "frame_id"
+    series: DataFrame, keys: Sequence[str] = ("source",), order: str = "frame_id",
+    time: str = "updated_ms", delay: str = "10 seconds",
 ) -> DataFrame:
-    """``running_arrivals`` on a stream whose rows arrive in order."""
+    """``running_arrivals`` on a stream whose rows are at most ``delay`` late by ``time``."""
     schema = T.StructType([*series.schema.fields, T.StructField("total_count", T.LongType())])
-    return series.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Arrivals(order), outputStructType=schema, outputMode="append",
-        timeMode="None",
+    return _watermarked(series, time, delay).groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=_Arrivals(series.schema, time, [order]), outputStructType=schema,
+        outputMode="append", timeMode="EventTime",
     )

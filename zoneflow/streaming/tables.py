@@ -25,11 +25,16 @@ def latest_table(
 ) -> DataStreamWriter:
     """Keep the newest row per key at ``path`` (one row per camera; repeating a batch is safe)."""
     def update(batch: DataFrame, batch_id: int) -> None:
-        current = read_table(batch.sparkSession, path)
-        rows = batch if current is None else current.unionByName(batch)
-        write_table(latest_by(rows, keys, *order), path)
-        if then is not None:
-            then(batch, batch_id)
+        # Several actions read the batch; without this each would run the query below again.
+        batch = batch.persist()
+        try:
+            current = read_table(batch.sparkSession, path)
+            rows = batch if current is None else current.unionByName(batch)
+            write_table(latest_by(rows, keys, *order), path)
+            if then is not None:
+                then(batch, batch_id)
+        finally:
+            batch.unpersist()
 
     return results.writeStream.option("checkpointLocation", checkpoint).foreachBatch(update)
 
