@@ -167,3 +167,15 @@ def test_plan_shares_one_pass_and_never_crosses(spark):
     assert "ReusedExchange" in final
     for text in (final, plan(metrics)):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_tracks_of_missing_frames_count_nowhere(spark):
+    tracks = tracks_df(spark, [(1, 1, 5, 100, 100), (1, 2, 5, 100, 400), (1, 3, 5, 100, 420), (1, 2, 9, 50, 50)])
+    got = frames.frame_metrics(tracks, frames_df(spark, 1, [1, 3]), Params(frames_per_span=2))
+    assert ordered(got, "frame_id", "total_count", "line_entry") == [(1, 1, 0), (3, 1, 1)]
+
+
+def test_density_is_the_track_count_in_sparse_frames(spark):
+    spine = frames_df(spark, 1, [1]).withColumn("density_count", F.lit(40))
+    row = frames.frame_metrics(tracks_df(spark, [(1, 1, 1, 10, 10)]), spine).first()
+    assert (row.density_count, row.base_count) == (1, 1)

@@ -77,3 +77,12 @@ def test_the_two_count_orders_differ(spark):
     row = {c: F.col(c) for c in df.columns}
     got = [tuple(r) for r in df.select(values.live_count(row), values.normalized_count(row)).collect()]
     assert got == [(5.0, 3.0), (3.0, 3.0), (0.0, 0.0), (2.0, 2.0)]
+
+
+def test_large_numbers_stay_as_they_are(spark):
+    from zoneflow.functions.rounding import exact_round
+
+    values = [2.0**52, 1e300, -1e18, 4503599627370.25]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r.r for r in df.select(exact_round(F.col("v"), 2).alias("r")).collect()]
+    assert got == values

@@ -104,3 +104,32 @@ def test_recent_values_cross_short_spans(spark):
     got = {r.t: r.last for r in with_recent(df, ["k"], ["t"], "last", F.col("v"), 4, span=10).collect()}
     for i, t in enumerate(times):
         assert got[t] == [x * 2 for x in times[max(0, i - 3):i + 1]]
+
+
+def test_arrivals_read_their_input_twice_at_most(spark, tmp_path):
+    import random as rnd
+
+    from zoneflow.operators import series
+
+    rng = rnd.Random(6)
+    rows = [(i % 2, f"s{rng.randrange(3)}", i, rng.randrange(-2, 9)) for i in range(300)]
+    path = str(tmp_path / "series")
+    spark.createDataFrame(rows, "service long, source string, frame_id long, current_count long").write.parquet(path)
+    df = spark.read.parquet(path)
+    for result in (series.running_arrivals(df, ["service"], span=7),
+                   series.reset_on_source_change(df, ["service"], span=7)):
+        plan = result._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") <= 2
+    got = {r.frame_id: (r.run_id, r.total_count)
+           for r in series.reset_on_source_change(df, ["service"], span=7).collect()}
+    for service in (0, 1):
+        run = total = last = 0
+        before = None
+        for s, source, frame, count in rows:
+            if s != service:
+                continue
+            if source != before:
+                run, total, last, before = run + 1, 0, 0, source
+            count = max(count, 0)
+            total, last = total + max(count - last, 0), count
+            assert got[frame] == (run, total)

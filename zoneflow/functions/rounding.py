@@ -42,10 +42,13 @@ def _units(value: Column, digits: int) -> Column:
 
 
 def exact_round(value: Column, digits: int) -> Column:
-    """Nearest multiple of 10**-digits; for magnitudes below 2**52 / 10**digits."""
+    """Nearest multiple of 10**-digits. From 2**52 / 10**digits on a double has no more decimals
+    than that, and stays as it is."""
     return bind(
         value.cast("double"),
-        lambda v: F.signum(v) * _units(F.abs(v), digits) / F.lit(10.0**digits),
+        lambda v: F.when(F.abs(v) >= 2.0**52 / 10.0**digits, v).otherwise(
+            F.signum(v) * _units(F.abs(v), digits) / F.lit(10.0**digits)
+        ),
     )
 
 

@@ -15,6 +15,9 @@ from zoneflow.operators.pacing import keep_paced
 from zoneflow.params import DEFAULTS, Params
 
 
+# The names of the alerts and the wording of their messages, below.
+
+
 def _alert(kind: str, message: Column, risk: Column, count: Column) -> Column:
     return F.struct(
         F.lit(kind).alias("type"), message.alias("message"), risk.alias("risk"),

@@ -86,13 +86,15 @@ def frame_counts(
 
     Adds to the columns of ``frames``: current_count, active_track_ids, detections, zone counts,
     bbox_density, movement (mean step of its tracks), and the frame's own entries, exits and
-    first-seen tracks. Without ``boxes`` the two arrays are left out.
+    first-seen tracks. Without ``boxes`` the two arrays are left out. Tracks in a frame that
+    ``frames`` lacks count nowhere, also not as an earlier position.
     """
     span = params.frames_per_span
     box = BOX if boxes else BOX[2:]
-    seen = tracks.select(*keys, "frame_id", "track_id", *box).withColumn(
-        SPAN, span_of(F.col("frame_id"), span)
-    )
+    known = frames.select(*keys, "frame_id")
+    seen = tracks.select(*keys, "frame_id", "track_id", *box).join(
+        known, [*keys, "frame_id"], "left_semi"
+    ).withColumn(SPAN, span_of(F.col("frame_id"), span))
     spine = frames.select(
         *keys, "frame_id", span_of(F.col("frame_id"), span).alias(SPAN), "width", "height",
         F.struct(*frames.columns).alias("_frame"), F.lit(SPINE).alias("_kind"),

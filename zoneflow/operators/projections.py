@@ -249,8 +249,8 @@ def valid_uploads(
     """(accepted, rejected with reason): video files of at most 250 MiB."""
     reason = F.when(
         ~F.coalesce(F.col("mime").isin(*VIDEO_TYPES), F.lit(False)),
-        "Only video uploads are supported",
-    ).when(F.col("size_bytes") > params.max_upload_bytes, "File too large")
+        "not a video",
+    ).when(F.col("size_bytes") > params.max_upload_bytes, "larger than allowed")
     judged = manifest.withColumn("reason", reason)
     return (
         judged.filter(F.col("reason").isNull()).drop("reason"),

@@ -10,19 +10,34 @@ from pyspark.sql import types as T
 from zoneflow import schemas
 
 
-def _documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A file or folder of JSON documents (one array or one document per file).
+def _documents(
+    spark: SparkSession, path: str, schema: T.StructType, one_per_line: bool = False
+) -> DataFrame:
+    """A file or folder of JSON documents (one array or one document per file, or one per line).
 
     A missing path gives an empty table; text that does not parse gives no rows. A document is
-    addressed by its ``id``; one without it is not a document.
+    addressed by its ``id``; those without one are in ``rejected_documents``.
     """
+    return _parsed(spark, path, schema, one_per_line).filter(F.col("id").isNotNull())
+
+
+def _parsed(
+    spark: SparkSession, path: str, schema: T.StructType, one_per_line: bool = False
+) -> DataFrame:
     try:
-        rows = spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", not one_per_line).json(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-    return rows.filter(F.col("id").isNotNull())
+
+
+def rejected_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The documents that ``read_cameras`` and ``read_alerts`` leave out: those without an ``id``.
+
+    Text that does not parse gives a row of nulls here.
+    """
+    return _parsed(spark, path, schema).filter(F.col("id").isNull())
 
 
 def epoch_ms(text: Column) -> Column:
@@ -56,8 +71,8 @@ def read_cameras(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    return _documents(spark, path, schemas.ALERT_DOCUMENT).select(
+def read_alerts(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return _documents(spark, path, schemas.ALERT_DOCUMENT, one_per_line).select(
         F.col("id").alias("alert_id"), F.col("userId").alias("user_id"),
         F.col("cameraId").alias("camera_id"), F.col("zoneName").alias("zone_name"),
         epoch_ms(F.col("createdAt")).alias("created_ms"), "type", "message", "risk", "count",

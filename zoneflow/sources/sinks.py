@@ -6,51 +6,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-POINTER = "_current"
+MARK = "_version-"  # an empty file per finished version
+KEEP_MS = 3_600_000
 
 
-def _child(spark: SparkSession, path: str, name: str):
-    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, name)
+def _path(spark: SparkSession, *parts: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(*parts)
 
 
-def _pointer(spark: SparkSession, path: str):
-    target = _child(spark, path, POINTER)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+def _system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, int]:
+    """Finished versions and when they were finished (epoch ms)."""
+    fs, folder = _system(spark, path), _path(spark, path)
+    if not fs.exists(folder):
+        return {}
+    found = {}
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith(MARK):
+            found[int(name.removeprefix(MARK))] = status.getModificationTime()
+    return found
 
 
 def current_version(spark: SparkSession, path: str) -> int | None:
-    fs, target = _pointer(spark, path)
-    if not fs.exists(target):
-        return None
-    stream = fs.open(target)
-    try:
-        return stream.readInt()
-    finally:
-        stream.close()
+    return max(_versions(spark, path), default=None)
 
 
 def write_table(
-    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), versions: int = 3
+    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), versions: int = 3,
+    keep_ms: int = KEEP_MS,
 ) -> int:
-    """Replace the table at ``path``; returns the new version and keeps the last ``versions``.
+    """Replace the table at ``path``; returns the new version.
 
-    The rows go to a new version folder and a pointer is moved afterwards, so the old version can
-    be read while the new one is made from it, and a failed job changes nothing.
+    The rows go to a new version folder, and an empty file with the number of the version makes it
+    the current one in a single step; so the old version can be read while the new one is made from
+    it, and a failed job changes nothing. The last ``versions`` stay, and older ones until they have
+    been replaced for ``keep_ms``, which has to be longer than any read of the table takes.
     """
     spark = df.sparkSession
-    version = (current_version(spark, path) or 0) + 1
+    known = _versions(spark, path)
+    version = max(known, default=0) + 1
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{path}/v{version}")
-    fs, target = _pointer(spark, path)
-    stream = fs.create(target, True)
-    try:
-        stream.writeInt(version)
-    finally:
-        stream.close()
-    if version > versions:
-        fs.delete(_child(spark, path, f"v{version - versions}"), True)
+    fs = _system(spark, path)
+    fs.create(_path(spark, path, f"{MARK}{version}"), False).close()
+    now = fs.getFileStatus(_path(spark, path, f"{MARK}{version}")).getModificationTime()
+    for old in known:
+        replaced = known.get(old + 1, now)
+        if old <= version - versions and now - replaced >= keep_ms:
+            fs.delete(_path(spark, path, f"{MARK}{old}"), False)
+            fs.delete(_path(spark, path, f"v{old}"), True)
     return version
 
 
