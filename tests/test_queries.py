@@ -36,7 +36,7 @@ def canonical(rows):
 
 def test_names_agree():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"confirmed_tracks"}
+    assert set(QUERIES) - set(SQL) == {"confirmed_tracks", "end_to_end"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -55,3 +55,34 @@ def test_entry(spark):
     if not os.path.isdir(entry.ENTRY_DATA):
         pytest.skip("no data")
     assert entry.entry(spark).count() > 0
+
+
+def test_end_to_end_equals_the_steps_on_collected_rows(spark):
+    """Alerts by the plain tracker of ``naive`` and the metrics of its tracks."""
+    import naive
+    from zoneflow.operators import alerts as al
+    from zoneflow.operators import detections, frames
+    from zoneflow.plans.derived import Derived
+
+    if not os.path.isdir(DATA):
+        pytest.skip(f"no data at {DATA}")
+    d = Derived(spark, DATA)
+    boxes = {}
+    clean = detections.nms(detections.filter_detections(d.detections()))
+    for r in sorted(clean.collect(), key=lambda r: (r.camera_id, r.frame_id, r.det_idx)):
+        boxes.setdefault(r.camera_id, {}).setdefault(r.frame_id, []).append((r.x1, r.y1, r.x2, r.y2))
+    rows = []
+    for camera, by_frame in boxes.items():
+        for frame, items in naive.tracker(by_frame, max(by_frame)).items():
+            for track, hits, box in items:
+                if hits >= 3:
+                    x1, y1, x2, y2 = (int(round(v)) for v in box)
+                    x, y = max(x1, 0), max(y1, 0)
+                    w, h = max(x2, x) - x, max(y2, y) - y
+                    rows.append((camera, frame, track, x, y, w, h, x + w // 2, y + h // 2))
+    tracks = spark.createDataFrame(
+        rows, "camera_id long, frame_id long, track_id long, x int, y int, w int, h int, cx int, cy int")
+    raised = al.explode_alerts(frames.frame_metrics(tracks, d.frames()), d.cameras())
+    columns = ("camera_id", "frame_id", "type", "message", "risk")
+    expected = sorted(tuple(r[c] for c in columns) for r in al.suppress_repeats(raised).collect())
+    assert sorted(tuple(r) for r in QUERIES["end_to_end"](spark, DATA).collect()) == expected

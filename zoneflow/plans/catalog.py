@@ -485,6 +485,17 @@ def confirmed_tracks(d):
     return tracking.confirmed_tracks(tracking.track(clean, LONG, warm_up=32))
 
 
+@query()
+def end_to_end(d):
+    """From raw detections to the alerts that are left: filter, overlap suppression, tracks, frame
+    metrics, alerts, repeats."""
+    clean = detections.nms(detections.filter_detections(d.detections()))
+    tracks = tracking.confirmed_tracks(tracking.track(clean, LONG, warm_up=32))
+    metrics = frames.frame_metrics(tracks, d.frames(), LONG, boxes=False)
+    raised = al.explode_alerts(metrics, d.cameras())
+    return al.suppress_repeats(raised).select("camera_id", "frame_id", "type", "message", "risk")
+
+
 # ---- alerts ------------------------------------------------------------------------------
 
 
