@@ -37,7 +37,7 @@ FEATURES = 4096  # buckets the model uses
 MIN_DOCUMENTS = 4  # labelled texts that must hold a feature
 PREFIXES = (4, 5, 6, 7)
 MEMO_WORDS = 100_000
-STEPS, RATE, DECAY, FAIRNESS = 400, 0.05, 2e-4, 1.0
+STEPS, RATE, DECAY, FAIRNESS = 600, 0.05, 3e-5, 1.0
 SWAPS = 3
 
 _PART = re.compile(r"[^\W\d_]+")
