@@ -12,7 +12,9 @@ from zoneflow.streaming import processors, tables
 
 FIELDS = ("user_id", "camera_id", "frame_id", "current_count", "zone_left", "zone_center", "zone_right",
           "line_entry", "line_exit", "total_count", "last_count", "base_count", "density_score",
-          "movement_score", "congestion_score", "risk_score", "risk", "active_track_ids")
+          "movement_score", "congestion_score", "risk_score", "risk", "active_track_ids",
+          "density_count", "predicted_crowd", "final_count")
+DENSE = 3  # low, so that the small crowd has dense frames
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,8 @@ def replay(spark, tmp_path_factory):
     boxes = {}
     for c, f, i, *box, s in crowd(seed=11, frames=80, people=5):
         boxes.setdefault((c, f), []).append((i, 0, *map(float, box), s))
-    rows = [(c % 2, c, f, f * 1000, 1280, 720, boxes.get((c, f), [])) for c in (1, 2) for f in range(1, 81)]
+    rows = [(c % 2, c, f, f * 1000, 1280, 720, boxes.get((c, f), []), f % 50 if f % 3 else None,
+             f / 2 if f % 4 else None) for c in (1, 2) for f in range(1, 81)]
     table = spark.createDataFrame(rows, FRAME_STREAM).cache()
     for start in range(1, 81, 16):
         part = table.filter(F.col("frame_id").between(start, start + 15)).orderBy(F.rand(3))
@@ -49,14 +52,16 @@ def batch_metrics(table):
     clean = detections.nms_frames(table)
     rows = clean.select("camera_id", "frame_id", F.inline("detections"))
     tracks = tracking.confirmed_tracks(tracking.track(rows, Params(frames_per_span=32), warm_up=20))
-    spine = table.select("user_id", "camera_id", "frame_id", "ts_ms", "width", "height")
-    return frames.frame_metrics(tracks, spine, Params(frames_per_span=32))
+    spine = table.drop("detections")
+    return frames.frame_metrics(tracks, spine, Params(frames_per_span=32, dense_count=DENSE))
 
 
 def test_camera_stream_equals_batch(spark, replay, tmp_path):
     folder, table = replay
     stream = readers.read_detections_stream(spark, folder, files_per_batch=1)
-    results = frames.with_results(processors.camera_processor(stream, delay="0 seconds"))
+    results = frames.with_results(
+        processors.camera_processor(stream, Params(dense_count=DENSE), delay="0 seconds"),
+        Params(dense_count=DENSE))
     path = to_folder(results, tmp_path, "results")
     got = spark.read.parquet(path)
     assert got.select("batch").distinct().count() > 1
@@ -79,10 +84,12 @@ def test_rows_shuffled_across_batches(spark, replay, tmp_path):
     _, table = replay
     far = 10_000_000
     folder = str(tmp_path / "frames")
-    end = spark.createDataFrame([(9, 9, 1, far, 1280, 720, [])], FRAME_STREAM)
+    end = spark.createDataFrame([(9, 9, 1, far, 1280, 720, [], None, None)], FRAME_STREAM)
     shuffled_files(table, folder, end)
     stream = readers.read_detections_stream(spark, folder, files_per_batch=1)
-    results = frames.with_results(processors.camera_processor(stream, delay="2 minutes"))
+    results = frames.with_results(
+        processors.camera_processor(stream, Params(dense_count=DENSE), delay="2 minutes"),
+        Params(dense_count=DENSE))
     path = to_folder(results, tmp_path, "frames-out")
     assert values(spark.read.parquet(path).filter("camera_id < 9")) == values(batch_metrics(table))
 
@@ -158,7 +165,9 @@ def test_latest_table_and_dashboard(spark, replay, tmp_path):
         [(1, 1, "running"), (2, 0, "running"), (3, 1, "stopped")],
         "camera_id long, user_id long, status string")
     stream = readers.read_detections_stream(spark, folder, files_per_batch=2)
-    results = frames.with_results(processors.camera_processor(stream, delay="0 seconds"))
+    results = frames.with_results(
+        processors.camera_processor(stream, Params(dense_count=DENSE), delay="0 seconds"),
+        Params(dense_count=DENSE))
     latest, summary = str(tmp_path / "latest"), str(tmp_path / "summary")
     drain(tables.dashboard_stream(results, cameras, latest, summary, str(tmp_path / "c")))
     current = {r.camera_id: r for r in sinks.read_table(spark, latest).collect()}

@@ -99,4 +99,7 @@ FRAME_STREAM = T.StructType([
     T.StructField("width", T.IntegerType()),
     T.StructField("height", T.IntegerType()),
     T.StructField("detections", T.ArrayType(DETECTION)),
+    # What the density model and the forecast said about the frame; null where they were not asked.
+    T.StructField("density_count", T.LongType()),
+    T.StructField("predicted", T.DoubleType()),
 ])

@@ -49,8 +49,9 @@ OUTPUT = T.StructType([
     *[T.StructField(c, T.LongType())
       for c in ("frame_id", "ts_ms", "width", "height", "current_count", "zone_left",
                 "zone_center", "zone_right", "line_entry", "line_exit", "total_count",
-                "base_count", "last_count")],
-    *[T.StructField(c, T.DoubleType()) for c in ("bbox_density", "movement", "smoothed_movement")],
+                "base_count", "last_count", "density_count")],
+    *[T.StructField(c, T.DoubleType())
+      for c in ("bbox_density", "movement", "smoothed_movement", "predicted")],
     T.StructField("count_history", LONGS),
     *[T.StructField(f"_{c}", LONGS) for c in TRACKED],
     T.StructField("_heat_x", LONGS),
@@ -103,7 +104,9 @@ class _Camera:
         return sorted(zip(slot[ready].tolist(), low[ready, 0].tolist(), low[ready, 1].tolist(),
                           size[ready, 0].tolist(), size[ready, 1].tolist()))
 
-    def frame(self, number: int, width: int, height: int, boxes: np.ndarray) -> dict:
+    def frame(
+        self, number: int, width: int, height: int, boxes: np.ndarray, density: int | None = None
+    ) -> dict:
         p = self.params
         self.live.idle(number - self.last_frame - 1, p)
         tracks = self._tracked(boxes)
@@ -128,14 +131,17 @@ class _Camera:
         self.seen = {k: v for k, v in self.seen.items() if k in alive}
         movement = sum(steps) / len(steps) if steps else 0.0
         self.movements.append(movement)
-        self.counts.append(len(tracks))
+        # The density model's count stands in dense frames only.
+        dense = len(tracks) >= p.dense_count and density is not None
+        base = max(density, 0) if dense else len(tracks)
+        self.counts.append(base)
         last_count, self.last_count = self.last_count, len(tracks)
         self.last_frame = number
         return {
             "frame_id": number, "width": width, "height": height, "current_count": len(tracks),
             "zone_left": zones[0], "zone_center": zones[1], "zone_right": zones[2],
             "line_entry": self.entry, "line_exit": self.exit, "total_count": self.total,
-            "base_count": len(tracks), "last_count": last_count,
+            "base_count": base, "last_count": last_count,
             "bbox_density": min(area / max(width * height, 1), 1.0), "movement": movement,
             "smoothed_movement": sum(self.movements) / len(self.movements),
             "count_history": list(self.counts),
@@ -246,10 +252,15 @@ class CameraProcessor(_InOrder):
             if row["frame_id"] <= camera.last_frame:
                 continue  # a repeated frame, or one whose time contradicts its number
             boxes = np.array([row[c] for c in CORNERS], dtype=np.float32).T.reshape(-1, 4)
-            result = camera.frame(row["frame_id"], row["width"], row["height"], boxes)
-            out.append({"user_id": key[0], "camera_id": key[1], "ts_ms": row["ts_ms"], **result})
+            result = camera.frame(
+                row["frame_id"], row["width"], row["height"], boxes, row["density_count"]
+            )
+            own = {c: row[c] for c in ("ts_ms", "density_count", "predicted")}
+            out.append({"user_id": key[0], "camera_id": key[1], **own, **result})
         self.state.update(camera.stored())
-        return pd.DataFrame(out, columns=OUTPUT.names)
+        return pd.DataFrame(out, columns=OUTPUT.names).astype(
+            {"density_count": "Int64", "predicted": "Float64"}
+        )
 
 
 def camera_processor(
@@ -263,7 +274,13 @@ def camera_processor(
     """
     clean = nms_frames(frames, params)
     boxes = [F.col("detections")[c].alias(c) for c in CORNERS]
-    given = clean.select("user_id", "camera_id", "frame_id", "ts_ms", "width", "height", *boxes)
+    said = [
+        (F.col(c) if c in frames.columns else F.lit(None)).cast(kind).alias(c)
+        for c, kind in (("density_count", "long"), ("predicted", "double"))
+    ]
+    given = clean.select(
+        "user_id", "camera_id", "frame_id", "ts_ms", "width", "height", *boxes, *said
+    )
     held = T.StructType([f for f in given.schema if f.name not in ("user_id", "camera_id")])
     counted = (
         _watermarked(given, "ts_ms", delay)
