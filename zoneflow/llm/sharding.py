@@ -66,23 +66,31 @@ def propagate(
     rows: DataFrame, shards: int, rounds: int = ROUNDS, rows_per_lot: int = ROWS_PER_LOT
 ) -> tuple[DataFrame, int]:
     """``rows`` (id, hub, place, ...) with ``shard``, and their number; shards differ by one row at
-    most."""
+    most. Rounds end when no hub calls a member, after ``rounds`` at the latest."""
     total = rows.count()
     capacity, extra = divmod(total, shards)
     linked_hubs = rows.groupBy("hub").agg(F.count("*").alias("members")).filter("members > 1")
-    linked_hubs = linked_hubs.select("hub")
+    # Written tables: Spark can then split a hub that many rows share when it joins.
+    linked_hubs = materialize(linked_hubs.select("hub"))
     begin = F.pmod(F.col("place"), F.lit(shards)).cast("int").alias("shard")
     linked = materialize(rows.join(linked_hubs, "hub", "left_semi").select("*", begin))
     for _ in range(rounds):
-        moved = materialize(_round(linked, shards, capacity, rows_per_lot))
-        release(linked)
+        asked = materialize(_asked(linked))
+        calls = _counts(asked.filter("shard <> goal"), "goal")
+        if not calls:
+            release(asked)
+            break
+        room = {s: max(0, capacity - n) for s, n in _counts(asked, "shard").items()}
+        lots = [-(-calls.get(s, 0) // rows_per_lot) for s in range(shards)]
+        moved = materialize(_moved(asked, [room.get(s, capacity) for s in range(shards)], lots))
+        release(linked, asked)
         linked = moved
     # A shard may begin with more linked rows than its goal; those are levelled like unlinked ones.
     goal = F.lit(capacity) + (F.col("shard") < extra).cast("long")
     lots = max(1, -(-total // (shards * rows_per_lot)))
     linked = materialize(_ranked(linked, ["shard"], lots).withColumn("fits", F.col("rank") < goal))
     kept = linked.filter("fits").drop("rank", "fits")
-    held = {r["shard"]: r["count"] for r in kept.groupBy("shard").count().collect()}
+    held = _counts(kept, "shard")
     ends, end = [], 0  # of the room of each shard: one number per shard
     for shard in range(shards):
         end += capacity + (shard < extra) - held.get(shard, 0)
@@ -96,36 +104,43 @@ def propagate(
     return kept.unionByName(levelled), total
 
 
-def _round(linked: DataFrame, shards: int, capacity: int, rows_per_lot: int) -> DataFrame:
-    """One round: each hub calls its members to the shard where most of them are.
+def _counts(rows: DataFrame, column: str) -> dict[int, int]:
+    """Rows per shard: one number per shard comes to the driver."""
+    return {r[column]: r["count"] for r in rows.groupBy(column).count().collect()}
 
-    Movers to a shard are dealt into lots, and each lot may move its part of the room there, those
-    with the strongest pull first.
-    """
+
+def _asked(linked: DataFrame) -> DataFrame:
+    """``linked`` with the shard (``goal``) that most members of the hub are in, and their number."""
     votes = linked.groupBy("hub", "shard").agg(F.count("*").alias("n"))
     first = F.max(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard"))
-    called = votes.groupBy("hub").agg(first.alias("best")).select(
+    called = materialize(votes.groupBy("hub").agg(first.alias("best")).select(
         "hub", F.col("best.shard").alias("goal"), F.col("best.n").alias("pull")
-    )
-    asked = linked.join(called, "hub")
-    held = linked.groupBy(F.col("shard").alias("goal")).count()
-    demand = asked.filter("shard <> goal").groupBy("goal").agg(F.count("*").alias("movers")).join(
-        held, "goal", "left"
-    ).select(
-        "goal", F.ceil(F.col("movers") / rows_per_lot).alias("lots"),
-        F.greatest(F.lit(0), F.lit(capacity) - F.coalesce("count", F.lit(0))).alias("room"),
-    )
-    dealt = asked.filter("shard <> goal").join(demand, "goal").withColumn(
-        "lot", F.pmod(F.xxhash64("place"), F.col("lots"))
-    )
+    ))
+    return linked.join(called, "hub")
+
+
+def _moved(asked: DataFrame, room: list[int], lots: list[int]) -> DataFrame:
+    """One round: members move to the goal of their hub as far as there is room.
+
+    Movers to a shard are dealt into lots, and each lot may move its part of the room there, those
+    with the strongest pull first. ``room`` and ``lots`` have one number per shard.
+    """
+    columns = [c for c in asked.columns if c not in ("goal", "pull")]
+
+    def of_goal(numbers: list[int]) -> Column:
+        return F.element_at(F.array(*[F.lit(n).cast("long") for n in numbers]), F.col("goal") + 1)
+
+    dealt = asked.filter("shard <> goal").withColumn("room", of_goal(room)).withColumn(
+        "lots", of_goal(lots)
+    ).withColumn("lot", F.pmod(F.xxhash64("place"), F.col("lots")))
     quota = F.floor(F.col("room") / F.col("lots")) + (
         F.col("lot") < F.col("room") % F.col("lots")
     ).cast("long")
     in_lot = W.partitionBy("goal", "lot").orderBy(F.desc("pull"), "hub", "place", "id")
     moved = dealt.withColumn("quota", quota).withColumn("rank", F.row_number().over(in_lot))
     shard = F.when(F.col("rank") <= F.col("quota"), F.col("goal")).otherwise(F.col("shard"))
-    return asked.filter("shard = goal").select(*linked.columns).unionByName(
-        moved.withColumn("shard", shard).select(*linked.columns)
+    return asked.filter("shard = goal").select(*columns).unionByName(
+        moved.withColumn("shard", shard).select(*columns)
     )
 
 
