@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zoneflow.llm.urls import LOWER, UPPER
+from zoneflow.session import materialize
 
 WINDOW = 10
 OTHER = r"\x00-\x2F\x3A-\x60\x7B-\x7F"  # what is in no word, after A-Z are lower case
@@ -140,7 +141,8 @@ def contamination(
         F.col(id_column).alias("id"), word_count(_text(text_column)).alias("n_words"),
         F.sha2(_text(text_column), 256).alias("digest"),
     )
-    hits = hits.select("digest", F.size("hit").cast("long").alias("n_hit"), "items")
+    # A written table: Spark can then split a digest that many rows share when it joins.
+    hits = materialize(hits.select("digest", F.size("hit").cast("long").alias("n_hit"), "items"))
     return rows.join(hits, "digest", "left").select(
         F.col("id").alias(id_column), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -155,8 +157,10 @@ def decontaminate(
 ) -> DataFrame:
     """``docs``, all columns as they were, without the rows that hold a window (``documents``) or
     without the hit words, each with what stands between it and the word before (``spans``)."""
-    hits = text_hits(docs, benchmark, text_column, item_column, item_text_column, window).select(
-        F.col("digest").alias("_digest"), F.col("hit").alias("_hit")
+    hits = materialize(
+        text_hits(docs, benchmark, text_column, item_column, item_text_column, window).select(
+            F.col("digest").alias("_digest"), F.col("hit").alias("_hit")
+        )
     )
     keyed = docs.withColumn("_digest", F.sha2(_text(text_column), 256))
     if remove == "documents":

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.session import new_folder
+from zoneflow.session import materialize, new_folder
 
 CACHE_SCHEMA = "version string, digest string, n_tokens long"
 MEMO_WORDS = 100_000  # counts of single words a worker keeps; it starts anew when they are more
@@ -86,7 +86,8 @@ def token_counts(
         F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("content")
     ).withColumn("digest", F.sha2("content", 256))
     _encode_missing(spark, rows, cache, version, content, by_word)
-    counts = _stored(spark, cache, version)
+    # A written table: Spark can then split a digest that many rows share when it joins.
+    counts = materialize(_stored(spark, cache, version))
     slim = rows.select("id", F.octet_length("content").cast("long").alias("n_bytes"), "digest")
     return slim.join(counts, "digest").select(
         F.col("id").alias(id_column), "n_bytes", "n_tokens",
