@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -91,8 +92,10 @@ def ship_code(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="zoneflow-code-")  # on the driver, which serves the archive
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = shutil.make_archive(
-        os.path.join(tempfile.mkdtemp(prefix="zoneflow-code-"), "zoneflow"), "zip",
+        os.path.join(folder, "zoneflow"), "zip",
         root_dir=os.path.dirname(package), base_dir=os.path.basename(package),
     )
     context.addPyFile(archive)
