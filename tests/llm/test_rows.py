@@ -288,3 +288,13 @@ def test_sharding_keeps_copies_together(spark):
         if r["doc_id"] < 100:
             shards[r["doc_id"] // 10].add(r["shard"])
     assert sum(len(s) - 1 for s in shards.values()) == 0
+
+
+def test_targets_with_ties_and_nulls(spark):
+    """Sources of equal room per weight, one of them null, and empty ones."""
+    for sizes in ({"a": 10, "b": 20, None: 30}, {"a": 1, "b": 2, "c": 300, None: 1},
+                  {"a": 0, None: 0}, {"a": 5, "b": 0, "c": 0, "d": 1, None: 4}, {None: 3}):
+        table = spark.createDataFrame([(k, v) for k, v in sizes.items()], "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.water_fill(table, (1, 2, 3), 3.0).collect()}
+        expected = brute_targets(sizes) if sum(sizes.values()) else dict.fromkeys(sizes, 0)
+        assert got == pytest.approx(expected)

@@ -41,8 +41,8 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], cap: float) -> Data
     per source.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
-    place = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), place % len(weights) + 1)
+    nth = F.row_number().over(order) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), nth % len(weights) + 1)
     weighed = sources.withColumn("weight", weight)
     room = F.lit(float(cap)) * F.col("source_size")
     ratio = W.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -54,10 +54,12 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], cap: float) -> Data
         / F.sum("weight").over(after)
     )
     # Sources fill up in the order of room per weight; the level is final at the first that does not.
+    place = F.struct("ratio", F.isnull("source").alias("last"), "source", "level")
+    unfilled = F.when(F.col("ratio") >= F.col("level"), place)
     levels = (
         weighed.withColumn("room", room).withColumn("ratio", F.col("room") / F.col("weight"))
         .withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "source", "level"))).over(everywhere)["level"])
+        .withColumn("level", F.min(unfilled).over(everywhere)["level"])
     )
     target = F.least(F.col("room"), F.coalesce(F.col("weight") * F.col("level"), F.col("room")))
     return levels.withColumn("target", target).drop("weight", "room", "ratio", "level")

@@ -118,8 +118,8 @@ class Model:
 
 
 def _newton(measured, mean, scale, positives: float, others: float, prior: float | None, weights):
-    """Newton steps on the risk, halved where it grows; without a prior, on the loss of telling positives from unlabelled
-    documents, both classes of equal weight."""
+    """Newton steps on the risk, halved where it grows; without a prior, on the loss of telling
+    positives from unlabelled documents, both classes of equal weight."""
     d = SIZE + 1
 
     def statistic(x: np.ndarray, trusted: np.ndarray) -> np.ndarray:

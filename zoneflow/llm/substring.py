@@ -18,8 +18,6 @@ The blocks recompute their windows in each step, so nothing but bits comes back
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
