@@ -84,7 +84,8 @@ def explode_alerts(metrics: DataFrame, cameras: DataFrame) -> DataFrame:
     """One row per alert with zone and tenant of its camera.
 
     ``metrics`` has camera_id, frame_id, ts_ms, current_count, risk and alerts; ``cameras`` has
-    one row per camera_id with user_id and zone_name. The id is a hash of camera, frame, type and place in the array.
+    one row per camera_id with user_id and zone_name. The id is a hash of camera, frame, type and
+    place in the array.
     """
     places = cameras.select("camera_id", "user_id", "zone_name")
     raised = metrics.select("camera_id", "frame_id", "ts_ms", "current_count", "risk", "alerts")

@@ -36,7 +36,8 @@ def reset_statuses(cameras: DataFrame) -> DataFrame:
 def camera_state(events: DataFrame) -> DataFrame:
     """State of every camera that is not deleted, from add / start / stop / delete events.
 
-    A start of a camera that runs already does nothing. Both a start and a stop zero the metrics, so only status and times survive from the events.
+    A start of a camera that runs already does nothing. Both a start and a stop zero the metrics, so
+    only status and times survive from the events.
     Columns: camera_id, tenant_id, status, last_started_ms, last_event_ms, and the zero metrics.
     """
     order = F.struct("ts_ms", "seq")
