@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from zoneflow.functions.risk import ESCALATED, risk_by_count
 from zoneflow.functions.rounding import fixed_text
 from zoneflow.functions.values import filled
+from zoneflow.operators.ordered import with_running
 from zoneflow.operators.pacing import keep_paced
 from zoneflow.params import DEFAULTS, Params
 
 
+RESET_SPAN_MS = 3_600_000
+
 # The names of the alerts and the wording of their messages, below.
 
 
@@ -123,19 +126,40 @@ def suppress_repeats(
     tie: Sequence[str] = ("alert_id",),
     window_ms: int = DEFAULTS.suppress_ms,
     span_ms: int | None = None,
+    resets: DataFrame | None = None,
+    reset_keys: Sequence[str] = ("camera_id",),
 ) -> DataFrame:
     """Drop an alert that repeats an accepted one of the same key less than the window ago.
 
-    A dropped alert does not extend the window; exactly the window later passes.
+    A dropped alert does not extend the window; exactly the window later passes. ``resets`` has rows
+    of ``reset_keys`` and ``time``, for instance the stops of cameras: what was accepted before a
+    reset, or at its time, does not hold back what comes after it.
     """
-    signed = alerts
+    signed, keys = alerts, list(keys)
     if "signature" in keys and "signature" not in alerts.columns:
         signed = alerts.withColumn("signature", alert_signature())
+    if resets is not None:
+        signed = _with_generation(signed, resets, list(reset_keys), time)
+        keys.append("_generation")
     return keep_paced(signed, keys, time, tie, interval=window_ms, span=span_ms).select(
         *alerts.columns
     )
 
 
+def _with_generation(
+    rows: DataFrame, resets: DataFrame, keys: list[str], time: str
+) -> DataFrame:
+    """``_generation``: how many resets lie before a row or at its time."""
+    marked = rows.withColumn("_row", F.lit(1)).unionByName(
+        resets.select(*keys, F.col(time).cast(rows.schema[time].dataType).alias(time))
+        .withColumn("_row", F.lit(0)), allowMissingColumns=True,
+    )
+    counted = with_running(
+        marked, keys, [time, "_row"], sums={"_generation": 1 - F.col("_row")}, span=RESET_SPAN_MS
+    )
+    return counted.filter("_row = 1").drop("_row")
+
+
 def throttle(
     attempts: DataFrame,
     keys: Sequence[str],
@@ -143,9 +167,11 @@ def throttle(
     tie: Sequence[str] = (),
     window_ms: int = DEFAULTS.start_cooldown_ms,
     span_ms: int | None = None,
+    resets: DataFrame | None = None,
+    reset_keys: Sequence[str] = ("camera_id",),
 ) -> DataFrame:
     """The same rule for failure logging and stream (re)start attempts."""
-    return suppress_repeats(attempts, keys, time, tie, window_ms, span_ms)
+    return suppress_repeats(attempts, keys, time, tie, window_ms, span_ms, resets, reset_keys)
 
 
 def append_alerts(log: DataFrame, new: DataFrame, params: Params = DEFAULTS) -> DataFrame:

@@ -443,6 +443,24 @@ def sample_every(d):
     )
 
 
+@query("""with recursive keyed as (
+      select *, camera_id || '/' || "type" || ':' || message || ':' || risk || '#' || sum(case
+        when "type" = 'click' then 1 else 0 end) over (partition by camera_id order by created_ms) k
+      from alert_log),
+    walk as (
+      select k, min(created_ms) t from keyed group by k
+      union all
+      select w.k, (select min(a.created_ms) from keyed a where a.k = w.k
+        and a.created_ms >= w.t + 15000) t
+      from walk w where w.t is not null)
+    select a.alert_id from keyed a join walk w on w.k = a.k and w.t = a.created_ms""")
+def suppress_with_resets(d):
+    """Each click of the log stands for a stop of its camera."""
+    log = d.alert_log()
+    stops = log.filter(F.col("type") == "click").select("camera_id", "created_ms")
+    return al.suppress_repeats(log, span_ms=400_000, resets=stops).select("alert_id")
+
+
 @query("""with recursive ordered as (
       select user_id % 25 camera_id, event_id, row_number() over (partition by user_id % 25
         order by event_id) rn from events),
