@@ -12,6 +12,7 @@ from zoneflow.llm import decontaminate, mixing, sharding, simhash, toxicity
 from zoneflow.session import materialize, ship_code
 
 SHARDS = 40
+ALIKE = 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -22,9 +23,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Fingerprints at most two bits apart and texts with a Jaccard similarity of ``ALIKE`` are linked.
+    """
     ship_code(spark)
-    return simhash.simhash_dedup(docs)
+    return simhash.simhash_dedup(docs, jaccard=ALIKE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

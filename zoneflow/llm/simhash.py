@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zoneflow.llm import shingles
 from zoneflow.llm.components import components
 from zoneflow.session import materialize
 
@@ -52,6 +53,15 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def _fingerprints_and_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, keys = shingles.file_keys(batch.column("content").cast(pa.binary()))
+        for printed in _fingerprints(iter([batch])):
+            yield pa.RecordBatch.from_arrays(
+                [*printed.columns, n, keys], names=[*printed.schema.names, "n", "keys"]
+            )
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("content").cast(pa.binary())
@@ -316,11 +326,12 @@ def near_links(prints: DataFrame) -> DataFrame:
 # ---- operators ---------------------------------------------------------------------------
 
 
-def _labelled(rows: DataFrame) -> DataFrame:
+def _labelled(rows: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(print, component, first): each distinct fingerprint, its component, and the smallest id in
-    the component."""
+    the component. ``more`` adds to the links of fingerprints."""
     first = materialize(rows.groupBy("print").agg(F.min("id").alias("first")))
-    roots = components(near_links(first.select("print"))).select(
+    links = near_links(first.select("print"))
+    roots = components(links if more is None else more(links)).select(
         F.col("a").alias("print"), F.col("b").alias("root")
     )
     joined = first.join(roots, "print", "left").select(
@@ -330,12 +341,18 @@ def _labelled(rows: DataFrame) -> DataFrame:
     return joined.drop("first").join(least, "component")
 
 
-def _printed(docs: DataFrame, id_column: str, text_column: str, digest: bool) -> DataFrame:
+def _printed(
+    docs: DataFrame, id_column: str, text_column: str, digest: bool, keys: bool = False
+) -> DataFrame:
     content = F.coalesce(F.col(text_column), F.lit(""))
     more = [F.sha2(content, 256).alias("digest")] if digest else []
     rows = docs.select(F.col(id_column).alias("id"), *more, content.alias("content"))
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, {'digest string, ' if digest else ''}print long"
+    if keys:
+        return materialize(
+            rows.mapInArrow(_fingerprints_and_keys, f"{schema}, n long, keys array<long>")
+        )
     return materialize(rows.mapInArrow(_fingerprints, schema))
 
 
@@ -358,15 +375,28 @@ def simhash_components(
 
 
 def simhash_dedup(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+    jaccard: float | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` with one row of each component left, all columns as they were.
 
+    With ``jaccard``, texts whose sets of five-word shingles are alike to that share or more are joined
+    as well, however many bits their fingerprints differ in (``shingles``; every link is checked on
+    the whole sets).
+
     The row with the smallest id stays (a null id is larger than any other), of equal ids the one
     with the smallest digest of its text; of rows equal in both, any one.
     """
-    rows = _printed(docs, id_column, text_column, digest=True)
-    labels = _labelled(rows).select("print", "component")
+    rows = _printed(docs, id_column, text_column, digest=True, keys=jaccard is not None)
+    more = None
+    if jaccard is not None:
+        node = F.xxhash64("digest").alias("node")
+        content = F.coalesce(F.col(text_column), F.lit(""))
+        contents = docs.select(F.xxhash64(F.sha2(content, 256)).alias("node"), content.alias("content"))
+        more = lambda links: shingles.similar_links(
+            rows.select(node, "print", "n", "keys"), contents, links, jaccard
+        )
+    labels = _labelled(rows, more).select("print", "component")
     order = F.struct(F.isnull("id").alias("missing"), "id", "digest")
     keep = rows.join(labels, "print").groupBy("component").agg(F.min(order).alias("keep")).select(
         F.col("keep.id").alias("_keep_id"), F.col("keep.digest").alias("_keep_digest")
