@@ -3,8 +3,10 @@
 Documents are linked through hubs: here the digest of their text, so that copies are neighbours. Every
 document begins in a shard that its id names. In each round a hub votes for the shard that holds most
 of its members; members elsewhere ask to move there, and a quota per shard and lot of the free
-capacity decides how many may. Links cut become fewer while no shard passes its capacity. In the end
-documents without links, which may go anywhere, level the counts to at most one apart.
+capacity decides how many may. Links cut become fewer while no shard passes its capacity. Hubs that are
+still cut, for instance as every shard is full, are laid side by side over the room that whole hubs
+leave. In the end documents without links, which may go anywhere, level the counts to at most one
+apart.
 
 Nothing is ordered or numbered in one task: ranks are taken inside lots of a bounded number of rows,
 and lots are added up in a table with a row per shard and lot.
@@ -12,7 +14,9 @@ and lots are added up in a table with a row per shard and lot.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,25 +89,106 @@ def propagate(
         moved = materialize(_moved(asked, [room.get(s, capacity) for s in range(shards)], lots))
         release(linked, asked)
         linked = moved
-    # A shard may begin with more linked rows than its goal; those are levelled like unlinked ones.
-    goal = F.lit(capacity) + (F.col("shard") < extra).cast("long")
-    lots = max(1, -(-total // (shards * rows_per_lot)))
-    linked = materialize(_ranked(linked, ["shard"], lots).withColumn("fits", F.col("rank") < goal))
-    kept = linked.filter("fits").drop("rank", "fits")
+    room = [capacity + (s < extra) for s in range(shards)]
+    kept = materialize(_packed(linked, room, total, rows_per_lot))
     held = _counts(kept, "shard")
-    ends, end = [], 0  # of the room of each shard: one number per shard
-    for shard in range(shards):
-        end += capacity + (shard < extra) - held.get(shard, 0)
-        ends.append(F.lit(end).cast("long"))
-    free = rows.join(linked_hubs, "hub", "left_anti").unionByName(
-        linked.filter("not fits").drop("rank", "fits", "shard")
-    )
+    ends = _ends([n - held.get(s, 0) for s, n in enumerate(room)])
+    free = rows.join(linked_hubs, "hub", "left_anti")
     levelled = _ranked(free, [], max(1, -(-total // rows_per_lot))).withColumn(
-        "shard", F.size(F.filter(F.array(*ends), lambda e: e <= F.col("rank"))).cast("int")
+        "shard", _shard_at(ends, F.col("rank"))
     ).drop("rank")
     return kept.unionByName(levelled), total
 
 
+def _ends(room: list[int]) -> list[int]:
+    """Where the room of each shard ends when that of all is laid in a row."""
+    return list(accumulate(room))
+
+
+def _shard_at(ends: list[int], at: Column) -> Column:
+    ends = F.array(*[F.lit(end).cast("long") for end in ends])
+    return F.size(F.filter(ends, lambda e: e <= at)).cast("int")
+
+
+def _packed(linked: DataFrame, room: list[int], total: int, rows_per_lot: int) -> DataFrame:
+    """``linked`` with shards that hold whole hubs as far as any can.
+
+    Hubs that rounds brought together stay where they fit. The others are laid side by side over the
+    room left, so at most one in a shard passes its end; those few are planned one by one.
+    """
+    columns = linked.columns
+    hubs = materialize(linked.groupBy("hub").agg(
+        F.count("*").alias("members"), F.min("shard").alias("shard"), F.max("shard").alias("high")
+    ))
+    lots = max(1, -(-total // rows_per_lot))
+    whole = _offsets(hubs.filter("shard = high"), ["shard"], -(-lots // len(room)))
+    goal = F.element_at(F.array(*[F.lit(n).cast("long") for n in room]), F.col("shard") + 1)
+    stay = materialize(
+        whole.filter(F.col("offset") + F.col("members") <= goal).select("hub", "shard", "members")
+    )
+    left = _less(room, stay)
+    ends = _ends(left)
+    laid = materialize(
+        _offsets(hubs.join(stay, "hub", "left_anti").drop("shard", "high"), [], lots)
+        .withColumn("shard", _shard_at(ends, F.col("offset")))
+        .withColumn("last", _shard_at(ends, F.col("offset") + F.col("members") - 1))
+    )
+    inside = laid.filter("shard = last").select("hub", "shard", "members")
+    left = _less(left, inside)
+    across = laid.filter("shard < last").select("hub", "members").collect()  # fewer than shards
+    named = linked.drop("shard").join(
+        materialize(stay.union(inside).select("hub", "shard")), "hub"
+    ).select(*columns)
+    if not across:
+        return named
+    return named.unionByName(_in_pieces(linked.drop("shard"), across, left, rows_per_lot))
+
+
+def _less(room: list[int], hubs: DataFrame) -> list[int]:
+    """Room that is left beside ``hubs``: one number per shard comes to the driver."""
+    held = {r["shard"]: r["n"] for r in hubs.groupBy("shard").agg(F.sum("members").alias("n")).collect()}
+    return [n - held.get(s, 0) for s, n in enumerate(room)]
+
+
+def _in_pieces(
+    rows: DataFrame, hubs: list[Row], room: list[int], rows_per_lot: int
+) -> DataFrame:
+    """Rows of ``hubs``, at most about one per shard, with their shard. ``room`` is lessened.
+
+    The largest come first. Each takes the least room that holds it whole, and where there is none the
+    largest whole, then goes on with its rest.
+    """
+    shard = F.lit(None).cast("int")
+    for hub in sorted(hubs, key=lambda h: (-h["members"], h["hub"])):
+        rest, taken, ends = hub["members"], [], []
+        while rest:
+            fits = [s for s, n in enumerate(room) if n >= rest]
+            best = min(fits, key=lambda s: (room[s], s)) if fits else room.index(max(room))
+            n = min(rest, room[best])
+            room[best] -= n
+            rest -= n
+            taken.append(best)
+            ends.append(hub["members"] - rest)
+        piece = F.element_at(F.array(*map(F.lit, taken)), _shard_at(ends, F.col("rank")) + 1)
+        shard = F.when(F.col("hub") == hub["hub"], piece).otherwise(shard)
+    chosen = rows.filter(F.col("hub").isin([h["hub"] for h in hubs]))
+    lots = -(-max(h["members"] for h in hubs) // rows_per_lot)
+    return _ranked(chosen, ["hub"], lots).withColumn("shard", shard).drop("rank")
+
+
+def _offsets(hubs: DataFrame, keys: list[str], lots: int) -> DataFrame:
+    """``offset``: members of the hubs before, in each key and a fixed order, by way of lots."""
+    dealt = hubs.withColumn("lot", F.pmod(F.xxhash64("hub"), F.lit(max(1, lots))))
+    counts = dealt.groupBy(*keys, "lot").agg(F.sum("members").alias("n"))
+    before = W.partitionBy(*keys).orderBy("lot").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    in_lot = W.partitionBy(*keys, "lot").orderBy("hub").rowsBetween(W.unboundedPreceding, -1)
+    run = dealt.withColumn("in_lot", F.coalesce(F.sum("members").over(in_lot), F.lit(0)))
+    return run.join(counts, [*keys, "lot"]).withColumn(
+        "offset", F.col("before") + F.col("in_lot")
+    ).drop("lot", "before", "in_lot")
+
+
 def _counts(rows: DataFrame, column: str) -> dict[int, int]:
     """Rows per shard: one number per shard comes to the driver."""
     return {r[column]: r["count"] for r in rows.groupBy(column).count().collect()}
