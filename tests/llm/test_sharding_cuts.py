@@ -29,3 +29,8 @@ def test_pairs_stay_together_in_full_shards(spark, singles):
 
 def test_no_more_cuts_than_shards(spark):
     assert cuts(spark, [3] * 1000, 8) <= 7
+
+
+def test_hub_larger_than_a_shard_fills_whole_shards(spark):
+    """A third in one hub: only what a full shard cannot hold of it is cut, and no pair is."""
+    assert cuts(spark, [1000] + [2] * 500 + [1] * 1000, 30) == 1000 - 100

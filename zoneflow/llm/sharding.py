@@ -1,12 +1,12 @@
 """Shards by balanced label propagation.
 
-Documents are linked through hubs: here the digest of their text, so that copies are neighbours. Every
-document begins in a shard that its id names. In each round a hub votes for the shard that holds most
-of its members; members elsewhere ask to move there, and a quota per shard and lot of the free
-capacity decides how many may. Links cut become fewer while no shard passes its capacity. Hubs that are
-still cut, for instance as every shard is full, are laid side by side over the room that whole hubs
-leave. In the end documents without links, which may go anywhere, level the counts to at most one
-apart.
+Documents are linked through hubs: here the digest of their text, so that copies are neighbours. Hubs
+larger than a shard fill whole shards first. Every other document begins in a shard that its id names.
+In each round a hub votes for the shard that holds most of its members; members elsewhere ask to move
+there, and a quota per shard and lot of the free capacity decides how many may. Links cut become fewer
+while no shard passes its capacity. Hubs that are still cut, for instance as every shard is full, are
+laid side by side over the room that whole hubs leave. In the end documents without links, which may
+go anywhere, level the counts to at most one apart.
 
 Nothing is ordered or numbered in one task: ranks are taken inside lots of a bounded number of rows,
 and lots are added up in a table with a row per shard and lot.
@@ -75,21 +75,27 @@ def propagate(
     capacity, extra = divmod(total, shards)
     linked_hubs = rows.groupBy("hub").agg(F.count("*").alias("members")).filter("members > 1")
     # Written tables: Spark can then split a hub that many rows share when it joins.
-    linked_hubs = materialize(linked_hubs.select("hub"))
-    begin = F.pmod(F.col("place"), F.lit(shards)).cast("int").alias("shard")
-    linked = materialize(rows.join(linked_hubs, "hub", "left_semi").select("*", begin))
+    linked_hubs = materialize(linked_hubs)
+    room = [capacity + (s < extra) for s in range(shards)]
+    # Hubs that no shard holds, which are fewer than shards, come first and fill as few as they can.
+    large = linked_hubs.filter(F.col("members") > capacity).collect()
+    filled = materialize(_in_pieces(rows, large, room, rows_per_lot)) if large else None
+    small_hubs = linked_hubs.filter(F.col("members") <= capacity)
+    at = F.pmod(F.col("place"), F.lit(max(1, sum(room))))
+    begin = _shard_at(_ends(room), at).alias("shard")
+    linked = materialize(rows.join(small_hubs, "hub", "left_semi").select("*", begin))
     for _ in range(rounds):
         asked = materialize(_asked(linked))
         calls = _counts(asked.filter("shard <> goal"), "goal")
         if not calls:
             release(asked)
             break
-        room = {s: max(0, capacity - n) for s, n in _counts(asked, "shard").items()}
+        there = _counts(asked, "shard")
+        spare = [max(0, n - there.get(s, 0)) for s, n in enumerate(room)]
         lots = [-(-calls.get(s, 0) // rows_per_lot) for s in range(shards)]
-        moved = materialize(_moved(asked, [room.get(s, capacity) for s in range(shards)], lots))
+        moved = materialize(_moved(asked, spare, lots))
         release(linked, asked)
         linked = moved
-    room = [capacity + (s < extra) for s in range(shards)]
     kept = materialize(_packed(linked, room, total, rows_per_lot))
     held = _counts(kept, "shard")
     ends = _ends([n - held.get(s, 0) for s, n in enumerate(room)])
@@ -97,7 +103,8 @@ def propagate(
     levelled = _ranked(free, [], max(1, -(-total // rows_per_lot))).withColumn(
         "shard", _shard_at(ends, F.col("rank"))
     ).drop("rank")
-    return kept.unionByName(levelled), total
+    placed = kept.unionByName(levelled)
+    return placed if filled is None else placed.unionByName(filled), total
 
 
 def _ends(room: list[int]) -> list[int]:
