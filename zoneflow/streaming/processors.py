@@ -11,11 +11,13 @@ of the query's progress.
 
 from __future__ import annotations
 
+import sys
 from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,7 @@ from zoneflow.operators.detections import nms_frames
 from zoneflow.operators.tracker import Live
 from zoneflow.operators.tracking import _live_from, _live_rows
 from zoneflow.params import DEFAULTS, Params
+from zoneflow.session import ROCKSDB, STATE_STORE
 
 EVENT_TIME = "_event_time"
 LONGS = T.ArrayType(T.LongType())
@@ -234,6 +237,27 @@ def _watermarked(df: DataFrame, time: str, delay: str) -> DataFrame:
     return df.withColumn(EVENT_TIME, F.timestamp_millis(time)).withWatermark(EVENT_TIME, delay)
 
 
+def _stateful(
+    rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: T.StructType
+) -> DataFrame:
+    """``rows`` by ``keys`` through ``processor``, in any session and from any folder.
+
+    Spark starts one Python worker for this on the driver, which sees neither shipped archives nor
+    the path of the caller, so the processor goes by value: its code is part of the plan. Several
+    states per key need RocksDB, which is set on the session.
+    """
+    rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    package = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        return rows.groupBy(*keys).transformWithStateInPandas(
+            statefulProcessor=processor, outputStructType=schema, outputMode="append",
+            timeMode="EventTime",
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
+
 class CameraProcessor(_InOrder):
     def __init__(self, held: T.StructType, params: Params = DEFAULTS) -> None:
         super().__init__(held, "ts_ms", ["frame_id"])
@@ -282,13 +306,9 @@ def camera_processor(
         "user_id", "camera_id", "frame_id", "ts_ms", "width", "height", *boxes, *said
     )
     held = T.StructType([f for f in given.schema if f.name not in ("user_id", "camera_id")])
-    counted = (
-        _watermarked(given, "ts_ms", delay)
-        .groupBy("user_id", "camera_id")
-        .transformWithStateInPandas(
-            statefulProcessor=CameraProcessor(held, params), outputStructType=OUTPUT,
-            outputMode="append", timeMode="EventTime",
-        )
+    counted = _stateful(
+        _watermarked(given, "ts_ms", delay), ("user_id", "camera_id"),
+        CameraProcessor(held, params), OUTPUT,
     )
     detections = F.transform(
         F.arrays_zip(*[f"_{c}" for c in TRACKED]),
@@ -355,14 +375,11 @@ def suppress_stream(
     signed = alerts
     if "signature" in keys and "signature" not in columns:
         signed = alerts.withColumn("signature", alert_signature())
-    return (
-        _watermarked(signed, time, delay).groupBy(*keys)
-        .transformWithStateInPandas(
-            statefulProcessor=_Pace(signed.schema, time, tie, window_ms),
-            outputStructType=signed.schema, outputMode="append", timeMode="EventTime",
-        )
-        .select(*columns)
+    paced = _stateful(
+        _watermarked(signed, time, delay), keys,
+        _Pace(signed.schema, time, tie, window_ms), signed.schema,
     )
+    return paced.select(*columns)
 
 
 class _Arrivals(_InOrder):
@@ -389,7 +406,6 @@ def count_stream(
 ) -> DataFrame:
     """``running_arrivals`` on a stream whose rows are at most ``delay`` late by ``time``."""
     schema = T.StructType([*series.schema.fields, T.StructField("total_count", T.LongType())])
-    return _watermarked(series, time, delay).groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=_Arrivals(series.schema, time, [order]), outputStructType=schema,
-        outputMode="append", timeMode="EventTime",
+    return _stateful(
+        _watermarked(series, time, delay), keys, _Arrivals(series.schema, time, [order]), schema
     )
