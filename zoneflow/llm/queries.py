@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import decontaminate, exact, mixing, quality, sharding, simhash, substring
+from zoneflow.llm import decontaminate, exact, language, mixing, quality, sharding, simhash, substring
 from zoneflow.llm import tokens, toxicity, urls
 from zoneflow.session import ship_code
 
@@ -145,3 +145,9 @@ def op9_substring_dedup(spark, folder):
 @query()
 def op10_mixing(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source", "rate", "copies")
+
+
+@query()
+def op13_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    return language.predict_languages(docs, language.fit_languages(docs))
