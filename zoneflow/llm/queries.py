@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zoneflow.llm import decontaminate, exact, language, mixing, quality, sharding, simhash, substring
-from zoneflow.llm import tokens, toxicity, urls
+from zoneflow.llm import tokens, toxicity, urls, whitening
 from zoneflow.session import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,12 @@ def op10_mixing(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source", "rate", "copies")
 
 
+@query()
+def op12_whitening(spark, folder):
+    rows, model = whitening.whiten(table(spark, folder, "embeddings"))
+    return whitening.explode_components(rows, model)
+
+
 @query()
 def op13_language_id(spark, folder):
     docs = table(spark, folder, "documents")
