@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zoneflow.llm import decontaminate, exact, language, mixing, quality, sharding, simhash, substring
-from zoneflow.llm import tokens, toxicity, urls, whitening
+from zoneflow.llm import decontaminate, exact, language, mixing, negatives, quality, sharding, simhash
+from zoneflow.llm import substring, tokens, toxicity, urls, whitening
 from zoneflow.session import ship_code
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,27 @@ def op10_mixing(spark, folder):
     return mixing.mix_sources(table(spark, folder, "documents")).drop("source", "rate", "copies")
 
 
+@query("""with v as (select vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+    list_transform(embedding, lambda c: floor(256 * cast(c as double))) x from embeddings
+    where vec_id is not null and label is not null and len(embedding) > 0
+      and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = len(embedding)),
+  s as (select a.vec_id anchor_id, o.vec_id as other, a.label = o.label as same,
+      cast(list_dot_product(a.x, o.x) as bigint) score
+    from v a join v o on o.vec_id <> a.vec_id where a.vec_id % 50 = 0),
+  p as (select anchor_id, other positive_id, score positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+  select anchor_id, positive_id, cast(row_number() over g as integer) as rank, other negative_id,
+    positive_score, score negative_score
+  from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score
+    and 100 * score <= 95 * positive_score
+  window g as (partition by anchor_id, positive_id order by score desc, other)
+  qualify row_number() over g <= 3""")
+def op11_hard_negatives(spark, folder):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, folder, "embeddings").withColumn("label", moved)
+    return negatives.mine_hard_negatives(rows, F.col("id") % 50 == 0)
+
+
 @query()
 def op12_whitening(spark, folder):
     rows, model = whitening.whiten(table(spark, folder, "embeddings"))
