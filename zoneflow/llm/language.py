@@ -144,8 +144,8 @@ def _sample(
         F.col(lang_column).alias("lang")).count().collect())
     share = -(-max_rows // max(1, len(sizes)))
     parts = docs.sparkSession.createDataFrame(
-        [(k, -(-n // share)) for k, n in sizes.items()], "lang string, parts long")
-    drawn = rows.join(parts, "lang").filter(F.pmod("draw", "parts") == 0).drop("parts")
+        [(k, -(-n // share)) for k, n in sizes.items()], "lang string, parts long")  # one row per language
+    drawn = rows.join(F.broadcast(parts), "lang").filter(F.pmod("draw", "parts") == 0).drop("parts")
     # One of each, as a row that repeats without end would break the bound.
     sample = materialize(drawn.groupBy("lang", "draw").agg(F.first("content").alias("content")))
     return sorted(r["lang"] for r in sample.select("lang").distinct().collect()), sample
