@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,7 @@ from zoneflow.operators import alerts, detections, frames, series, tracking
 from zoneflow.params import Params
 from zoneflow.schemas import FRAME_STREAM
 from zoneflow.sources import readers, sinks
-from zoneflow.streaming import processors, tables
+from zoneflow.streaming import jobs, processors, tables
 
 FIELDS = ("user_id", "camera_id", "frame_id", "current_count", "zone_left", "zone_center", "zone_right",
           "line_entry", "line_exit", "total_count", "last_count", "base_count", "density_score",
@@ -160,24 +163,24 @@ def test_count_stream_equals_batch(spark, tmp_path):
 
 
 def test_latest_table_and_dashboard(spark, replay, tmp_path):
+    """After each batch the sums of the tenants are those of all their cameras."""
     folder, table = replay
     cameras = spark.createDataFrame(
-        [(1, 1, "running"), (2, 0, "running"), (3, 1, "stopped")],
+        [(1, 1, "running"), (2, 0, "running"), (3, 1, "stopped"), (4, 7, "running")],
         "camera_id long, user_id long, status string")
     stream = readers.read_detections_stream(spark, folder, files_per_batch=2)
     results = frames.with_results(
         processors.camera_processor(stream, Params(dense_count=DENSE), delay="0 seconds"),
         Params(dense_count=DENSE))
     latest, summary = str(tmp_path / "latest"), str(tmp_path / "summary")
-    drain(tables.dashboard_stream(results, cameras, latest, summary, str(tmp_path / "c")))
-    current = {r.camera_id: r for r in sinks.read_table(spark, latest).collect()}
+    drain(tables.dashboard_stream(results, cameras, latest, summary, str(tmp_path / "c"), buckets=4))
+    current = {r.camera_id: r for r in tables.read_keyed(spark, latest).collect()}
     expected = {r.camera_id: r for r in frames.latest_per_camera(batch_metrics(table)).collect()}
     for camera in (1, 2):
         assert (current[camera].frame_id, current[camera].total_count) == (80, expected[camera].total_count)
-    boards = spark.read.parquet(summary)
-    last = boards.filter(F.col("batch") == boards.agg(F.max("batch")).first()[0])
-    got = {r.user_id: (r.total_zones, r.active_zones, r.total_count) for r in last.collect()}
-    assert got == {1: (2, 1, expected[1].current_count), 0: (1, 1, expected[2].current_count)}
+    got = {r.user_id: (r.total_zones, r.active_zones, r.total_count)
+           for r in tables.read_keyed(spark, summary).collect()}
+    assert got == {1: (2, 1, expected[1].current_count), 0: (1, 1, expected[2].current_count), 7: (1, 1, 0)}
 
 
 def test_fanout_has_a_folder_per_tenant(spark, replay, tmp_path):
@@ -194,3 +197,211 @@ def test_messages_become_frames(spark):
     df = spark.createDataFrame([(text,)], "value string")
     row = readers.parse_frames(df).first()
     assert (row.camera_id, row.frame_id, row.detections[0].x1) == (1, 2, 1.5)
+
+
+def in_files(df, folder, parts):
+    """One file per filter, written one after the other."""
+    for part in parts:
+        df.filter(part).coalesce(1).write.mode("append").parquet(folder)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+STRANGER = """
+import importlib.util, sys
+spec = importlib.util.spec_from_file_location("__spark_entry__", {entry!r})
+module = importlib.util.module_from_spec(spec)
+spec.loader.exec_module(module)
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2")
+         .config("spark.ui.enabled", "false").getOrCreate())
+rows = module.queries()["suppress_stream"](spark, {data!r})
+assert rows.count() > 100
+print("fine")
+"""
+
+
+def test_streams_run_in_a_strange_session_and_folder(tmp_path):
+    """Without the package on the path of the driver's worker, and with Spark's own state store."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no data")
+    code = STRANGER.format(entry=os.path.join(here, "__spark_entry__.py"), data=data)
+    (tmp_path / "run.py").write_text(code)
+    clean = {k: v for k, v in os.environ.items() if not k.startswith("PYTHONPATH")}
+    done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=clean, capture_output=True, timeout=600)
+    assert done.returncode == 0 and b"fine" in done.stdout, done.stderr[-3000:]
+
+
+def test_kept_and_late_rows_are_the_input(spark, tmp_path):
+    schema = "source string, frame_id long, current_count long, updated_ms long, _own string"
+    rows = [(f"s{i % 2}", i, i % 9, 1000 * i, f"r{i}") for i in range(1, 101)]
+    rows += [("s0", 200, 5, None, "none")]
+    df = spark.createDataFrame(rows, schema)
+    order = [F.col("frame_id").between(1, 40), F.col("frame_id").between(61, 100),
+             F.col("frame_id").between(41, 60) | (F.col("frame_id") == 200)]
+    stream = in_files(df, str(tmp_path / "in"), order)
+    out = processors.count_stream(stream, delay="10 seconds", late="why")
+    path = to_folder(out, tmp_path, "out")
+    got = sinks.read_results(spark, path).collect()
+    late = {r["frame_id"] for r in got if r["why"] is not None}
+    kept = {r["frame_id"] for r in got if r["why"] is None}
+    # Rows beyond the last watermark still wait; all others are either handled or given out as late.
+    assert late == set(range(41, 61)) | {200} and kept == set(range(1, 41)) | set(range(61, 91))
+    assert all(r["_own"] == f"r{r['frame_id']}" for r in got if r["frame_id"] < 200)
+    assert all((r["total_count"] is None) == (r["why"] is not None) for r in got)
+
+
+def test_late_and_repeated_frames_are_given_out(spark, replay, tmp_path):
+    _, table = replay
+    folder = str(tmp_path / "in")
+    parts = [F.col("frame_id").between(1, 30), F.col("frame_id").between(51, 80), F.col("frame_id").between(26, 50)]
+    in_files(table, folder, parts)
+    wrong = table.filter("frame_id = 80").withColumn("ts_ms", F.lit(80_500).cast("long")).withColumn(
+        "frame_id", F.lit(7).cast("long"))  # a later time with a number that has been
+    end = table.filter("frame_id = 80").withColumn("ts_ms", F.lit(10**9).cast("long")).withColumn(
+        "frame_id", F.lit(1000).cast("long"))
+    wrong.unionByName(end).coalesce(1).write.mode("append").parquet(folder)
+    stream = readers.read_detections_stream(spark, folder, files_per_batch=1)
+    out = processors.camera_processor(stream, delay="2 seconds", late="why")
+    got = sinks.read_results(spark, to_folder(out, tmp_path, "out")).filter("frame_id < 1000")
+    by = {r["why"]: r["n"] for r in got.groupBy("why").agg(F.count("*").alias("n")).collect()}
+    assert sum(by.values()) == 2 * (30 + 30 + 25 + 1)
+    assert by[processors.REPEATED] == 2 and by["late"] >= 2 * 20
+    assert got.filter("why is not null and current_count is not null").count() == 0
+
+
+def test_sampling_in_the_camera_state(spark, replay, tmp_path):
+    """The camera stream with sampling is the plain one over the frames that the batch sampler keeps."""
+    folder, table = replay
+    params = Params(dense_count=DENSE, frame_skip=2, target_fps=0.6)
+    stream = readers.read_detections_stream(spark, folder, files_per_batch=2)
+    out = processors.camera_processor(stream, params, delay="0 seconds", sample=True)
+    got = sinks.read_results(spark, to_folder(out, tmp_path, "out"))
+    kept = detections.sample_frames(table, params, span=20_000).withColumn("frame_id", F.col("sample_id")).drop("sample_id")
+    clean = detections.nms_frames(kept)
+    rows = clean.select("camera_id", "frame_id", F.inline("detections"))
+    tracks = tracking.confirmed_tracks(tracking.track(rows, Params(frames_per_span=32), warm_up=20))
+    batch = frames.frame_counts(tracks, kept.drop("detections"), Params(frames_per_span=32))
+    columns = ("camera_id", "frame_id", "ts_ms", "current_count", "zone_left")
+    expected = sorted(tuple(r) for r in batch.select(*columns).collect())
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == expected and 20 < len(expected) < 100
+
+
+def test_a_stop_clears_what_was_accepted(spark, tmp_path):
+    rng = random.Random(12)
+    schema = ("alert_id string, camera_id long, created_ms long, type string, message string, "
+              "risk string, count long")
+    rows = [(f"a{i:03}", i % 3, 1000 + 500 * i, "spike", f"m{i % 2}", "Low", 9) for i in range(300)]
+    stops = [(rng.randrange(3), 1000 + 500 * rng.randrange(300)) for _ in range(15)] + [(0, 1000 + 500 * 30)]
+    df, resets = spark.createDataFrame(rows, schema), spark.createDataFrame(stops, "camera_id long, created_ms long")
+    parts = [F.pmod(F.xxhash64("created_ms"), F.lit(3)) == k for k in range(3)]
+    end = spark.createDataFrame([("end", 9, 10**9, "x", "m", "Low", None)], schema)
+    alerts_in = in_files(df.unionByName(end), str(tmp_path / "a"), [*(p & (F.col("camera_id") < 9) for p in parts),
+                                                                   F.col("camera_id") == 9])
+    far = spark.createDataFrame([(9, 10**9)], resets.schema)
+    resets_in = in_files(resets.unionByName(far), str(tmp_path / "r"), [*(p & (F.col("camera_id") < 9) for p in parts),
+                                                                       F.col("camera_id") == 9])
+    out = processors.suppress_stream(alerts_in, delay="5 minutes", resets=resets_in)
+    got = {r.alert_id for r in sinks.read_results(spark, to_folder(out, tmp_path, "out")).collect()} - {"end"}
+    expected = {r.alert_id for r in alerts.suppress_repeats(df, span_ms=60_000, resets=resets).collect()}
+    assert got == expected
+    assert expected != {r.alert_id for r in alerts.suppress_repeats(df, span_ms=60_000).collect()}
+
+
+def test_jobs_that_never_finish_are_given_out_once(spark, tmp_path):
+    schema = "job_id string, status string, ts_ms long, seq long"
+    day = jobs.DAY_MS
+    rows = [("a", "processing_started", 1, 1), ("a", "completed", 50, 2), ("a", "processing_started", 90, 3),
+            ("b", "processing_started", 10, 4), ("c", "processing_started", 20, 5), ("c", "failed", day * 5, 6),
+            ("z", "processing_started", 9 * day, 7), ("z", "completed", 20 * day, 8)]
+    df = spark.createDataFrame(rows, schema)
+    stream = in_files(df, str(tmp_path / "in"), [F.col("seq") < 6, F.col("seq") == 7, F.col("seq") == 6, F.col("seq") == 8])
+    out = jobs.job_ledger_stream(stream, overdue_ms=2 * day, keep_ms=8 * day, delay="5 days", late="why")
+    got = sinks.read_results(spark, to_folder(out, tmp_path, "out")).collect()
+    seen = sorted((r["job_id"], r["change"], r["status"], r["overdue"]) for r in got if r["why"] is None)
+    assert [s for s in seen if s[0] == "a"] == [("a", 1, "processing_started", False), ("a", 2, "completed", False)]
+    assert [s for s in seen if s[0] == "b"] == [("b", 1, "processing_started", False), ("b", 2, "processing_started", True)]
+    last = [s for s in seen if s[0] == "c"][-1]
+    assert last[2] == "failed" or last[3]
+
+
+def written_bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    rows = spark.range(20_000).select(F.col("id").alias("camera_id"), F.lit(1).alias("frame_id"),
+                                      F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    path = str(tmp_path / "table")
+    table = tables.KeyedTable(spark, path, ["camera_id"], [F.desc("frame_id")], buckets=50)
+    table.apply(rows, 0)
+    whole = written_bytes(path)
+    new = rows.filter("camera_id in (3, 4)").withColumn("frame_id", F.lit(2))
+    change = table.apply(new, 1)
+    assert written_bytes(path) - whole < 0.1 * whole
+    assert sorted(r["frame_id"] for r in change.before.collect()) == [1, 1]
+    assert sorted(r["frame_id"] for r in change.after.collect()) == [2, 2]
+    now = tables.read_keyed(spark, path)
+    assert now.count() == 20_000 and now.filter("frame_id = 2").count() == 2
+    again = table.apply(new, 1)  # repeated after a failure: the same change, nothing written
+    assert written_bytes(path) - whole < 0.1 * whole
+    assert [r["frame_id"] for r in again.before.collect()] == [1, 1]
+    old = rows.filter("camera_id = 3").withColumn("frame_id", F.lit(0))
+    table.apply(old, 2)
+    assert tables.read_keyed(spark, path).filter("camera_id = 3").first()["frame_id"] == 2
+    for k in range(3, 9):
+        table.apply(new.withColumn("frame_id", F.lit(k)), k)
+    assert tables.read_keyed(spark, path).count() == 20_000
+    assert not os.path.exists(f"{path}/batch-3") and os.path.exists(f"{path}/batch-0")
+
+
+def test_a_reader_sees_all_of_a_batch_or_nothing(spark, tmp_path):
+    path = str(tmp_path / "table")
+    table = tables.KeyedTable(spark, path, ["k"], [F.desc("v")], keep=2, buckets=4)
+    table.apply(spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k long, v long"), 0)
+    broken = spark.createDataFrame([(1, 5), (2, 0)], "k long, v long").withColumn(
+        "v", F.when(F.col("v") == 0, F.raise_error(F.lit("no"))).otherwise(F.col("v")).cast("long"))
+    with pytest.raises(Exception, match="no"):
+        table.apply(broken, 1)
+    assert sorted(map(tuple, tables.read_keyed(spark, path).collect())) == [(1, 1), (1, 2), (2, 1)]
+    table.apply(spark.createDataFrame([(1, 5), (2, 3)], "k long, v long"), 1)
+    assert sorted(map(tuple, tables.read_keyed(spark, path).collect())) == [(1, 2), (1, 5), (2, 1), (2, 3)]
+
+
+def test_results_of_a_failed_batch_are_not_seen(spark, tmp_path):
+    df = spark.createDataFrame([(i, i // 4) for i in range(12)], "id long, part long")
+    stream = in_files(df, str(tmp_path / "in"), [F.col("part") == k for k in range(3)])
+    path, state = str(tmp_path / "out"), str(tmp_path / "state")
+    flag = tmp_path / "broken"
+    flag.write_text("")
+
+    @F.udf("long")
+    def fragile(i):
+        if i == 6 and os.path.exists(str(flag)):
+            raise ValueError("half-way")
+        return i
+
+    failing = stream.withColumn("id", fragile("id"))
+    with pytest.raises(Exception, match="half-way"):
+        drain(sinks.write_results(failing, path, state))
+    assert sorted(r["id"] for r in sinks.read_results(spark, path).collect()) == [0, 1, 2, 3]
+    flag.unlink()
+    drain(sinks.write_results(failing, path, state))
+    assert sorted(r["id"] for r in sinks.read_results(spark, path).collect()) == list(range(12))
+    assert sinks.read_results(spark, str(tmp_path / "none")) is None
+
+
+def test_newest_alerts_of_all_and_of_each_tenant(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"a{i}", rng.randrange(5), rng.randrange(500), i % 3) for i in range(400)]
+    df = spark.createDataFrame(rows, "alert_id string, user_id long, created_ms long, part long")
+    params = Params(alerts_kept=30, alerts_per_user=7)
+    parts = [F.col("part") == k for k in range(3)]
+    log, mine = str(tmp_path / "log"), str(tmp_path / "mine")
+    drain(tables.alert_log_table(in_files(df, str(tmp_path / "in"), parts), log, str(tmp_path / "c1"), params))
+    drain(tables.tenant_alerts_table(in_files(df, str(tmp_path / "in2"), parts), mine, str(tmp_path / "c2"), params, 3))
+    got = {r.alert_id for r in tables.read_keyed(spark, log).collect()}
+    assert got == {r.alert_id for r in alerts.append_alerts(df.limit(0), df, params).collect()} and len(got) == 30
+    got = {r.alert_id for r in tables.read_keyed(spark, mine).collect()}
+    assert got == {r.alert_id for r in alerts.alerts_for_tenant(df, params).collect()} and len(got) == 35

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
 
 from zoneflow.functions import risk, text
 from zoneflow.functions.geometry import CORNERS, box_geometry
@@ -19,10 +18,6 @@ from zoneflow.operators import series, tables, tracking
 from zoneflow.params import Params
 from zoneflow.plans.derived import Derived
 from zoneflow.plans.oracle import rounded, with_steps
-from zoneflow.session import new_folder
-from zoneflow.sources import readers, sinks
-from zoneflow.streaming import processors
-from zoneflow.streaming import tables as stream_tables
 
 Query = Callable[[Derived], DataFrame]
 
@@ -1047,87 +1042,3 @@ def risk_by_count(d):
     return d.table("lineitem").select("l_orderkey", "l_linenumber", level.alias("risk")).select(
         "*", risk.risk_ordinal(F.col("risk")).cast("int").alias("level")
     )
-
-
-# ---- sources, sinks and streams: the tables written, replayed in micro-batches, and read back ----
-
-
-FAR_MS = 9_000_000_000_000
-WHOLE = "100 years"  # of delay: whatever the order of the files, no row is late
-
-
-def _replayed(d: Derived, rows: DataFrame, time: str, files: int = 3) -> DataFrame:
-    """``rows`` as a stream of files, and a last row far ahead, which lets all others pass."""
-    folder = f"{new_folder(d.spark)}/in"
-    rows.repartition(files).write.parquet(folder)
-    end = rows.limit(1).withColumn(time, F.lit(FAR_MS).cast(rows.schema[time].dataType))
-    end.write.mode("append").parquet(folder)
-    return d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-
-
-def _drained(writer: DataStreamWriter) -> None:
-    writer.trigger(availableNow=True).start().awaitTermination()
-
-
-def _results(d: Derived, stream: DataFrame) -> DataFrame:
-    """What ``write_results`` has written when the stream has ended."""
-    folder = new_folder(d.spark)
-    _drained(sinks.write_results(stream, f"{folder}/out", f"{folder}/state"))
-    return d.spark.read.parquet(f"{folder}/out")
-
-
-@query(ARRIVALS_SQL)
-def count_stream(d):
-    timed = d.count_series().withColumn("updated_ms", F.col("frame_id") + 1)
-    stream = processors.count_stream(_replayed(d, timed, "updated_ms"), delay=WHOLE)
-    return _results(d, stream).select("source", "frame_id", "current_count", "total_count")
-
-
-@query(SUPPRESS_SQL.format(window=15000))
-def suppress_stream(d):
-    log = d.alert_log().withColumn("created_ms", F.col("created_ms") + 1)  # the watermark begins at 0
-    stream = processors.suppress_stream(_replayed(d, log, "created_ms"), delay=WHOLE)
-    return _results(d, stream).select("alert_id")
-
-
-@query("""select camera_id, alert_id from alert_log
-    qualify row_number() over (partition by camera_id order by created_ms desc) = 1""")
-def latest_table(d):
-    folder = new_folder(d.spark)
-    stream = _replayed(d, d.alert_log(), "created_ms").filter(F.col("created_ms") < FAR_MS)
-    _drained(stream_tables.latest_table(
-        stream, f"{folder}/table", f"{folder}/state", order=["created_ms"]
-    ))
-    return sinks.read_table(d.spark, f"{folder}/table").select("camera_id", "alert_id")
-
-
-@query("""select user_id, alert_id, message from alert_log""")
-def fanout_by_tenant(d):
-    folder = new_folder(d.spark)
-    stream = _replayed(d, d.alert_log(), "created_ms").filter(F.col("created_ms") < FAR_MS)
-    _drained(sinks.fanout_by_tenant(stream, f"{folder}/channel", f"{folder}/state"))
-    written = d.spark.read.parquet(f"{folder}/channel")
-    return written.select(F.col("user_id").cast("long"), "alert_id", "message")
-
-
-@query("select camera_id, name, status from cameras")
-def write_table(d):
-    """The second version of a table made from the first."""
-    folder = f"{new_folder(d.spark)}/table"
-    sinks.write_table(d.cameras(), folder)
-    sinks.write_table(sinks.read_table(d.spark, folder), folder)
-    return sinks.read_table(d.spark, folder).select("camera_id", "name", "status")
-
-
-@query("""select alert_id, created_ms, "type", message, risk from alert_log""")
-def read_alerts(d):
-    folder = f"{new_folder(d.spark)}/alerts"
-    iso = F.date_format(F.timestamp_millis("created_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    d.alert_log().select(
-        F.col("alert_id").alias("id"), F.col("user_id").cast("string").alias("userId"),
-        F.col("camera_id").cast("string").alias("cameraId"), iso.alias("createdAt"), "type",
-        "message", "risk", "count",
-    ).write.json(folder)
-    return readers.read_alerts(d.spark, f"{folder}/*.json", one_per_line=True).select(
-        "alert_id", "created_ms", "type", "message", "risk"
-    )

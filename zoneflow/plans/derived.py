@@ -107,6 +107,31 @@ class Derived:
             "who",
         )
 
+    def calm_people(self) -> DataFrame:
+        """People who stand on one of twelve places; every 25,000 events five more cameras."""
+        event, user = F.col("event_id"), F.col("user_id")
+        return self.table("events").select(
+            (_div("event_id", 25_000) * 5 + user % 5).alias("camera_id"),
+            (F.floor(event % 25_000 / 20) + 1).cast("long").alias("frame_id"),
+            (F.floor(user / 5) % 12).cast("long").alias("place"),
+        ).distinct()
+
+    def calm_frames(self) -> DataFrame:
+        """``calm_people`` as a stream of frames has them: boxes of one size that never meet."""
+        x, y = F.col("place") % 4 * 320 + 60, F.floor(F.col("place") / 4) * 240 + 40
+        box = F.struct(
+            F.col("place").alias("det_idx"), F.lit(0).alias("class_id"), x.cast("double").alias("x1"),
+            y.cast("double").alias("y1"), (x + 80).cast("double").alias("x2"),
+            (y + 160).cast("double").alias("y2"), F.lit(0.9).alias("confidence"))
+        frames = self.calm_people().groupBy("camera_id", "frame_id").agg(
+            F.sort_array(F.collect_list(box)).alias("detections"))
+        return frames.select(
+            (F.col("camera_id") % 3).alias("user_id"), "camera_id", "frame_id",
+            (F.col("frame_id") * 250).alias("ts_ms"), F.lit(1280).alias("width"), F.lit(720).alias("height"),
+            "detections", F.lit(None).cast("long").alias("density_count"),
+            F.lit(None).cast("double").alias("predicted"),
+        )
+
     def job_events(self) -> DataFrame:
         status = F.col("o_orderstatus")
         return self.table("orders").select(

@@ -51,6 +51,9 @@ DERIVED_SQL = {
           cast(30 + (e * 7) % 69 - k.k * 5 as double) / 100.0 confidence, who
         from boxes join (select 0 k union all select 1) k on k.k = 0 or e % 3 = 0""",
     "persons": "select * from detections where class_id = 0 and confidence > 0.4",
+    "calm_people": """
+        select distinct event_id // 25000 * 5 + user_id % 5 camera_id,
+          event_id % 25000 // 20 + 1 frame_id, user_id // 5 % 12 place from events""",
     "job_events": """
         select o_orderkey seq, o_orderkey % 500 job_id, o_custkey % 25 user_id,
           case o_orderstatus when 'P' then 'processing_started' when 'F' then 'completed'
@@ -230,8 +233,11 @@ def with_steps(sql: str) -> str:
     visit(sql)
     body = sql.strip()
     recursive = body.lower().startswith("with recursive")
+    own = not recursive and body.lower().startswith("with ")
     steps = ",\n".join(f"{name} as ({text.strip()})" for name, text in needed.items())
     if recursive:
         rest = body[len("with recursive"):]
         return f"with recursive {steps}{',' if steps else ''}\n{rest}"
+    if own and steps:
+        return f"with {steps},\n{body[len('with'):]}"
     return f"with {steps}\n{body}" if steps else body

@@ -45,18 +45,18 @@ def epoch_ms(text: Column) -> Column:
     return F.unix_millis(F.try_to_timestamp(text))
 
 
-def read_camera_documents(spark: SparkSession, path: str) -> DataFrame:
-    return _documents(spark, path, schemas.CAMERA_DOCUMENT)
+def read_camera_documents(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    return _documents(spark, path, schemas.CAMERA_DOCUMENT, one_per_line)
 
 
-def read_cameras(spark: SparkSession, path: str) -> DataFrame:
+def read_cameras(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
     """Cameras with flat metrics, in the column names the operators use."""
     m = F.col("metrics")
     flat = ("count", "current_count", "total_count", "people_count", "density_count", "base_count",
             "smoothed_count", "final_count", "frame_id", "predicted_crowd", "risk_score",
             "active_track_ids", "detections", "heatmap_points", "alerts", "risk",
             "processing_status")
-    return read_camera_documents(spark, path).select(
+    return read_camera_documents(spark, path, one_per_line).select(
         F.col("id").alias("camera_id"), F.col("userId").alias("user_id"), "name",
         F.col("zoneName").alias("zone_name"), "location", F.col("streamUrl").alias("stream_url"),
         F.col("sourceType").alias("source_type"), "status",

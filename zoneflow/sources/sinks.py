@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 MARK = "_version-"  # an empty file per finished version
+DONE = "_done-"  # an empty file per finished batch
 KEEP_MS = 3_600_000
 
 
@@ -74,17 +75,39 @@ def write_results(
 ) -> DataStreamWriter:
     """Writer that appends finished results with the time they were received.
 
-    Each batch has a folder of its own which a repeated batch overwrites.
+    Each batch has a folder of its own and, once it is complete, a mark. ``read_results`` sees marked
+    batches only; a batch that failed is written again, one that has its mark is left as it is.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if batch_id in committed_batches(spark, path):
+            return
         writer = batch.withColumn("received_at", F.current_timestamp()).write.mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(f"{path}/batch={batch_id}")
+        _system(spark, path).create(_path(spark, path, f"{DONE}{batch_id}"), True).close()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
 
 
+def committed_batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete batches of ``write_results``."""
+    fs, folder = _system(spark, path), _path(spark, path)
+    if not fs.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    return sorted(int(n.removeprefix(DONE)) for n in names if n.startswith(DONE))
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of all complete batches, with their number in ``batch``; None before the first."""
+    done = committed_batches(spark, path)
+    if not done:
+        return None
+    return spark.read.option("basePath", path).parquet(*[f"{path}/batch={b}" for b in done])
+
+
 def fanout_by_tenant(stream: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Writer of one channel (dashboards, cameras or alerts) with a folder per tenant."""
     return (

@@ -1,38 +1,34 @@
 """Keyed stateful operators: the ordered operators of the batch side, on a stream.
 
 State lives in RocksDB and is bounded: live tracks and their positions, the last few movements,
-counts and points, and counters. A micro-batch gives a key only its new rows.
-
-Rows are held until the watermark has passed them and are then handled in the order of their times,
-so rows of one key may come in any order and in any micro-batch within the delay. What comes later
-than that Spark leaves out before it reaches an operator, and counts in ``numRowsDroppedByWatermark``
-of the query's progress.
+counts and points, and counters. A micro-batch gives a key only its new rows; ``ordered`` hands them
+over in the order of their times. Each operator can give out late rows instead of dropping them:
+``late`` names a column that holds the reason, and is null in all other rows.
 """
 
 from __future__ import annotations
 
-import sys
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from zoneflow.functions.geometry import CORNERS
 from zoneflow.operators.alerts import alert_signature
-from zoneflow.operators.detections import nms_frames
+from zoneflow.operators.detections import frame_signature, nms_frames
 from zoneflow.operators.tracker import Live
 from zoneflow.operators.tracking import _live_from, _live_rows
 from zoneflow.params import DEFAULTS, Params
-from zoneflow.session import ROCKSDB, STATE_STORE
+from zoneflow.streaming.ordered import InOrder, keyed, longs
 
-EVENT_TIME = "_event_time"
 LONGS = T.ArrayType(T.LongType())
+SIGNATURE, ALERT = "zoneflow_signature", "zoneflow_alert"
+REPEATED = "frame number does not rise"
 
 COUNTERS = ("last_frame", "next_slot", "entry", "exit", "total", "last_count")
 STATE = T.StructType([
@@ -153,148 +149,89 @@ class _Camera:
         }
 
 
-def _plain(value, kind: T.DataType):
-    """A value of a pandas column as the state store takes it."""
-    if isinstance(kind, T.ArrayType):
-        return None if value is None else [_plain(v, kind.elementType) for v in value]
-    if value is None or pd.isna(value):
-        return None
-    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return int(value)
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return float(value)
-    if isinstance(kind, T.BooleanType):
-        return bool(value)
-    if isinstance(kind, T.TimestampType):
-        return value.to_pydatetime() if isinstance(value, pd.Timestamp) else value
-    return value
-
-
-class _InOrder(StatefulProcessor):
-    """Holds the rows of a key until the watermark has passed them; ``ready`` gets them in order.
-
-    One timer is set, for the earliest row that waits or for ``forget_at``.
-    """
-
-    def __init__(self, held: T.StructType, time: str, order: Sequence[str]) -> None:
-        self.held, self.time = held, held.names.index(time)
-        self.order = [held.names.index(c) for c in order]
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.held)
-        self.start(handle)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for batch in rows:
-            columns = [[_plain(v, f.dataType) for v in batch[f.name]] for f in self.held]
-            new = list(zip(*columns, strict=True))
-            self.waiting.appendList(new)
-            first = min(r[self.time] for r in new)
-            earliest = first if earliest is None else min(earliest, first)
-        if earliest is not None:
-            self.handle.registerTimer(earliest)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.waiting.get()) if self.waiting.exists() else []
-        now = [r for r in rows if r[self.time] <= passed]
-        later = [r for r in rows if r[self.time] > passed]
-        if now:
-            if later:
-                self.waiting.put(later)
-            else:
-                self.waiting.clear()
-            now.sort(key=lambda r: tuple((r[i] is not None, r[i]) for i in self.order))
-            yield self.ready(key, now)
-        else:
-            yield pd.DataFrame()
-        following = [r[self.time] for r in later]
-        forget = self.forget_at(passed)
-        if forget is not None:
-            following.append(forget)
-        if following:
-            self.handle.registerTimer(min(following))
-
-    def start(self, handle: StatefulProcessorHandle) -> None:
-        """Open the state of the processor."""
-        raise NotImplementedError
-
-    def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
-        raise NotImplementedError
+# ---- frames ------------------------------------------------------------------------------
 
-    def forget_at(self, passed: int) -> int | None:
-        """When the state of the key may be dropped; drops it if that time has passed."""
-        return None
 
-    def close(self) -> None:
-        pass
+class Sampling:
+    """Which frames of a live camera are handled: of those at least ``interval`` after the last one that
+    was, each ``every``-th."""
 
+    STATE = longs("last", "eligible", "kept")
 
-def _watermarked(df: DataFrame, time: str, delay: str) -> DataFrame:
-    return df.withColumn(EVENT_TIME, F.timestamp_millis(time)).withWatermark(EVENT_TIME, delay)
+    def __init__(self, interval: int, every: int, state: tuple | None = None) -> None:
+        self.interval, self.every = interval, max(every, 1)
+        self.last, self.eligible, self.kept = state or (None, 0, 0)
 
+    def take(self, time: int) -> int | None:
+        """The number of the frame among the handled ones, from 1; None if it is passed over."""
+        if self.last is not None and time - self.last < self.interval:
+            return None
+        self.eligible += 1
+        if self.eligible % self.every:
+            return None
+        self.last, self.kept = time, self.kept + 1
+        return self.kept
 
-def _stateful(
-    rows: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: T.StructType
-) -> DataFrame:
-    """``rows`` by ``keys`` through ``processor``, in any session and from any folder.
+    def state(self) -> tuple:
+        return self.last, self.eligible, self.kept
 
-    Spark starts one Python worker for this on the driver, which sees neither shipped archives nor
-    the path of the caller, so the processor goes by value: its code is part of the plan. Several
-    states per key need RocksDB, which is set on the session.
-    """
-    rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
-    package = sys.modules[__name__.partition(".")[0]]
-    cloudpickle.register_pickle_by_value(package)
-    try:
-        return rows.groupBy(*keys).transformWithStateInPandas(
-            statefulProcessor=processor, outputStructType=schema, outputMode="append",
-            timeMode="EventTime",
-        )
-    finally:
-        cloudpickle.unregister_pickle_by_value(package)
 
+class CameraProcessor(InOrder):
+    """Frames of a camera in the order of their times. With ``sampling`` (interval and share) only some
+    are handled, numbered anew; otherwise those whose number does not rise are given out as refused."""
 
-class CameraProcessor(_InOrder):
-    def __init__(self, held: T.StructType, params: Params = DEFAULTS) -> None:
-        super().__init__(held, "ts_ms", ["frame_id"])
-        self.params = params
+    def __init__(self, held: T.StructType, params: Params, late: str | None,
+                 sampling: tuple[int, int] | None = None) -> None:
+        super().__init__(held, "ts_ms", ["ts_ms", "frame_id"] if sampling else ["frame_id"], OUTPUT, late)
+        self.params, self.sampling = params, sampling
 
     def start(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("camera", STATE)
+        if self.sampling:
+            self.sampled = handle.getValueState("sampled", Sampling.STATE)
+
+    def key_values(self, key) -> dict:
+        return {"user_id": key[0], "camera_id": key[1]}
 
     def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
-        stored = None
-        if self.state.exists():
-            stored = dict(zip(STATE.names, self.state.get()))
-        camera, out = _Camera(self.params, stored), []
+        stored = dict(zip(STATE.names, self.state.get())) if self.state.exists() else None
+        camera, out, repeated = _Camera(self.params, stored), [], []
+        sampler = None
+        if self.sampling:
+            sampler = Sampling(*self.sampling, self.sampled.get() if self.sampled.exists() else None)
         for values in rows:
             row = dict(zip(self.held.names, values))
-            if row["frame_id"] <= camera.last_frame:
-                continue  # a repeated frame, or one whose time contradicts its number
+            number = sampler.take(row["ts_ms"]) if sampler else row["frame_id"]
+            if number is None:
+                continue
+            if number <= camera.last_frame:
+                repeated.append(values)
+                continue
             boxes = np.array([row[c] for c in CORNERS], dtype=np.float32).T.reshape(-1, 4)
-            result = camera.frame(
-                row["frame_id"], row["width"], row["height"], boxes, row["density_count"]
-            )
+            result = camera.frame(number, row["width"], row["height"], boxes, row["density_count"])
             own = {c: row[c] for c in ("ts_ms", "density_count", "predicted")}
-            out.append({"user_id": key[0], "camera_id": key[1], **own, **result})
+            done = {"user_id": key[0], "camera_id": key[1], **own, **result}
+            out.append(tuple(done[c] for c in OUTPUT.names))
         self.state.update(camera.stored())
-        return pd.DataFrame(out, columns=OUTPUT.names).astype(
-            {"density_count": "Int64", "predicted": "Float64"}
-        )
+        if sampler:
+            self.sampled.update(sampler.state())
+        if self.late is None or not repeated:
+            return self.given(out)
+        return pd.concat([self.given(out), self.refused(key, repeated, REPEATED)], ignore_index=True)
 
 
 def camera_processor(
-    frames: DataFrame, params: Params = DEFAULTS, delay: str = "10 seconds"
+    frames: DataFrame, params: Params = DEFAULTS, delay: str = "10 seconds", sample: bool = False,
+    late: str | None = None,
 ) -> DataFrame:
     """Frames with raw detections in, frames with tracks and history out (see ``with_results``).
 
     ``frames`` is a stream in the shape of ``schemas.FRAME_STREAM``; ``ts_ms`` is its event time.
     Filtering and overlap suppression run before the only shuffle. A frame is handled once the
-    watermark has passed it; a repeated frame is dropped.
+    watermark has passed it; a repeated frame is dropped. With ``sample`` the frames of a camera are
+    thinned first, as ``sample_frames`` does, in the same state; ``frame_id`` then numbers what is left.
+    ``late`` names a column: frames that came too late or whose number does not rise are then given
+    out too, without results, and with the reason in it.
     """
     clean = nms_frames(frames, params)
     boxes = [F.col("detections")[c].alias(c) for c in CORNERS]
@@ -306,10 +243,9 @@ def camera_processor(
         "user_id", "camera_id", "frame_id", "ts_ms", "width", "height", *boxes, *said
     )
     held = T.StructType([f for f in given.schema if f.name not in ("user_id", "camera_id")])
-    counted = _stateful(
-        _watermarked(given, "ts_ms", delay), ("user_id", "camera_id"),
-        CameraProcessor(held, params), OUTPUT,
-    )
+    paced = (params.frame_interval_ms, params.frame_skip) if sample else None
+    counted = keyed(
+        given, ("user_id", "camera_id"), "ts_ms", delay, CameraProcessor(held, params, late, paced))
     detections = F.transform(
         F.arrays_zip(*[f"_{c}" for c in TRACKED]),
         lambda t: F.struct(
@@ -328,34 +264,133 @@ def camera_processor(
     )
 
 
-class _Pace(_InOrder):
-    def __init__(self, held: T.StructType, time: str, tie: Sequence[str], window_ms: int) -> None:
-        super().__init__(held, time, [time, *tie])
-        self.window_ms = window_ms
+class _Sample(InOrder):
+    """Rows left by one of the samplers, with the number of each."""
+
+    def __init__(self, held: T.StructType, time: str, order: Sequence[str], late: str | None,
+                 interval: int, every: int) -> None:
+        out = T.StructType([*held.fields, T.StructField("sample_id", T.LongType())])
+        super().__init__(held, time, order, out, late)
+        self.interval, self.every = interval, every
 
     def start(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "accepted", T.StructType([T.StructField("last", T.LongType())])
-        )
+        self.state = handle.getValueState("sampled", Sampling.STATE)
+
+    def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
+        sampler = Sampling(self.interval, self.every, self.state.get() if self.state.exists() else None)
+        kept = [(*row, number) for row in rows if (number := sampler.take(row[self.time])) is not None]
+        self.state.update(sampler.state())
+        return self.given(kept)
+
+
+def sample_stream(
+    frames: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = ("camera_id",),
+    time: str = "ts_ms", tie: Sequence[str] = ("frame_id",), interval: int | None = None,
+    delay: str = "10 seconds", late: str | None = None,
+) -> DataFrame:
+    """``sample_frames`` on a stream whose rows are at most ``delay`` late."""
+    interval = params.frame_interval_ms if interval is None else interval
+    return keyed(frames, keys, time, delay, _Sample(
+        frames.schema, time, [time, *tie], late, interval, params.frame_skip))
+
+
+class _EveryNth(_Sample):
+    def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
+        _, seen, kept = self.state.get() if self.state.exists() else (None, 0, 0)
+        out = []
+        for row in rows:
+            seen += 1
+            if seen % self.every == 0:
+                kept += 1
+                out.append((*row, kept))
+        self.state.update((None, seen, kept))
+        return self.given(out)
+
+
+def sample_every_stream(
+    frames: DataFrame, every: int = DEFAULTS.frame_skip, keys: Sequence[str] = ("camera_id",),
+    order: Sequence[str] = ("frame_id",), time: str = "ts_ms", delay: str = "10 seconds",
+    late: str | None = None,
+) -> DataFrame:
+    """``sample_every`` on a stream: each ``every``-th frame, in the order of ``order`` within the delay."""
+    return keyed(frames, keys, time, delay, _EveryNth(frames.schema, time, order, late, 0, max(every, 1)))
+
+
+class _Fresh(InOrder):
+    def __init__(self, held: T.StructType, time: str, order: Sequence[str], late: str | None) -> None:
+        super().__init__(held, time, order, held, late)
+        self.signed = held.names.index(SIGNATURE)
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("signature", T.StructType([T.StructField("last", T.StringType())]))
 
     def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
         last, kept = self.state.get()[0] if self.state.exists() else None, []
         for row in rows:
-            if last is None or row[self.time] - last >= self.window_ms:
-                last = row[self.time]
+            if row[self.signed] is None or row[self.signed] != last:
                 kept.append(row)
-        self.state.update((int(last),))
-        return pd.DataFrame(kept, columns=self.held.names, dtype=object)
+            last = row[self.signed]
+        self.state.update((last,))
+        return self.given(kept)
+
+
+def dedup_stream(
+    results: DataFrame, keys: Sequence[str] = ("camera_id",), order: Sequence[str] = ("seq",),
+    time: str = "ts_ms", delay: str = "10 seconds", late: str | None = None,
+) -> DataFrame:
+    """``dedup_consecutive`` on a stream whose rows are at most ``delay`` late."""
+    signed = results.withColumn(SIGNATURE, frame_signature())
+    return keyed(signed, keys, time, delay, _Fresh(signed.schema, time, order, late)).drop(SIGNATURE)
+
+
+# ---- alerts ------------------------------------------------------------------------------
+
+
+class _Pace(InOrder):
+    """Rows at least a window after the last accepted one of their kind; a reset forgets all kinds.
+
+    ``kind``: columns that tell the kinds of a key apart, none where the key is the kind.
+    """
+
+    def __init__(self, held: T.StructType, time: str, tie: Sequence[str], window_ms: int,
+                 late: str | None, kind: Sequence[str] = (), reset: str | None = None) -> None:
+        super().__init__(held, time, [time, *([reset] if reset else []), *tie], held, late)
+        self.window_ms = window_ms
+        self.kind = [held.names.index(c) for c in kind]
+        self.reset = held.names.index(reset) if reset else None
+
+    def start(self, handle: StatefulProcessorHandle) -> None:
+        names = T.StructType([T.StructField("kind", T.StringType())])
+        self.state = handle.getMapState("accepted", names, longs("last"))
+
+    def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
+        last = {k[0]: v[0] for k, v in self.state.iterator()}
+        kept, touched = [], set()
+        for row in rows:
+            if self.reset is not None and not row[self.reset]:
+                last.clear()
+                self.state.clear()
+                touched.clear()
+                continue
+            kind = repr([row[i] for i in self.kind])
+            if kind not in last or row[self.time] - last[kind] >= self.window_ms:
+                last[kind] = row[self.time]
+                touched.add(kind)
+                kept.append(row)
+        for kind in touched:
+            self.state.updateValue((kind,), (int(last[kind]),))
+        return self.given(kept)
 
     def forget_at(self, passed: int) -> int | None:
         # Whatever comes after the watermark is then accepted without knowing the last one.
-        if not self.state.exists():
-            return None
-        over = self.state.get()[0] + self.window_ms
-        if over <= passed:
-            self.state.clear()
-            return None
-        return over
+        over = {k[0]: v[0] + self.window_ms for k, v in self.state.iterator()}
+        for kind, time in over.items():
+            if time <= passed:
+                self.state.removeKey((kind,))
+        left = [time for time in over.values() if time > passed]
+        if not left and over:
+            self.forgotten()
+        return min(left, default=None)
 
 
 def suppress_stream(
@@ -365,27 +400,48 @@ def suppress_stream(
     tie: Sequence[str] = ("alert_id",),
     window_ms: int = DEFAULTS.suppress_ms,
     delay: str = "10 minutes",
+    resets: DataFrame | None = None,
+    reset_keys: Sequence[str] = ("camera_id",),
+    late: str | None = None,
 ) -> DataFrame:
     """``suppress_repeats`` on a stream whose rows are at most ``delay`` late.
 
-    An alert is decided on once the watermark has passed it. The state of a key is dropped when the
-    watermark has passed its window.
+    An alert is decided on once the watermark has passed it. The state of a kind is dropped when the
+    watermark has passed its window. ``resets`` is a stream with ``reset_keys`` (some of ``keys``) and
+    ``time``, for instance the stops of cameras: what was accepted before a reset, or at its time, does
+    not hold back what comes after it. Both streams are then one, by ``reset_keys``.
     """
     columns = alerts.columns
     signed = alerts
     if "signature" in keys and "signature" not in columns:
         signed = alerts.withColumn("signature", alert_signature())
-    paced = _stateful(
-        _watermarked(signed, time, delay), keys,
-        _Pace(signed.schema, time, tie, window_ms), signed.schema,
-    )
-    return paced.select(*columns)
+    shown = [*columns, *([late] if late else [])]
+    if resets is None:
+        return keyed(signed, keys, time, delay, _Pace(signed.schema, time, tie, window_ms, late)).select(*shown)
+    kind = [c for c in keys if c not in reset_keys]
+    stops = resets.select(*reset_keys, F.col(time).cast(signed.schema[time].dataType).alias(time))
+    both = signed.withColumn(ALERT, F.lit(1)).unionByName(
+        stops.withColumn(ALERT, F.lit(0)), allowMissingColumns=True)
+    both = both.select(*[F.col(f"`{c}`") for c in both.columns])
+    paced = keyed(both, reset_keys, time, delay, _Pace(both.schema, time, tie, window_ms, late, kind, ALERT))
+    return paced.filter(F.col(ALERT) == 1).select(*shown)
+
+
+def throttle_stream(
+    attempts: DataFrame, keys: Sequence[str], time: str, tie: Sequence[str] = (),
+    window_ms: int = DEFAULTS.start_cooldown_ms, delay: str = "10 minutes",
+    resets: DataFrame | None = None, reset_keys: Sequence[str] = ("camera_id",), late: str | None = None,
+) -> DataFrame:
+    """The same rule for failure logging and stream (re)start attempts."""
+    return suppress_stream(attempts, keys, time, tie, window_ms, delay, resets, reset_keys, late)
 
 
-class _Arrivals(_InOrder):
+# ---- counts ------------------------------------------------------------------------------
+
+
+class _Arrivals(InOrder):
     def start(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField(c, T.LongType()) for c in ("last", "total")])
-        self.state = handle.getValueState("arrivals", schema)
+        self.state = handle.getValueState("arrivals", longs("last", "total"))
         self.count = self.held.names.index("current_count")
 
     def ready(self, key, rows: list[tuple]) -> pd.DataFrame:
@@ -397,15 +453,13 @@ class _Arrivals(_InOrder):
             last = count
             out.append((*row[:self.count], count, *row[self.count + 1:], total))
         self.state.update((int(last), int(total)))
-        return pd.DataFrame(out, columns=[*self.held.names, "total_count"], dtype=object)
+        return self.given(out)
 
 
 def count_stream(
     series: DataFrame, keys: Sequence[str] = ("source",), order: str = "frame_id",
-    time: str = "updated_ms", delay: str = "10 seconds",
+    time: str = "updated_ms", delay: str = "10 seconds", late: str | None = None,
 ) -> DataFrame:
     """``running_arrivals`` on a stream whose rows are at most ``delay`` late by ``time``."""
-    schema = T.StructType([*series.schema.fields, T.StructField("total_count", T.LongType())])
-    return _stateful(
-        _watermarked(series, time, delay), keys, _Arrivals(series.schema, time, [order]), schema
-    )
+    out = T.StructType([*series.schema.fields, T.StructField("total_count", T.LongType())])
+    return keyed(series, keys, time, delay, _Arrivals(series.schema, time, [order], out, late))
