@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 import naive
-from zoneflow.operators import detections, matching, tracking
+from zoneflow.operators import chains, detections, matching, tracking
 from zoneflow.params import Params
 from zoneflow.schemas import DETECTION_ROWS
 
@@ -143,6 +143,21 @@ def test_parallel_spans_equal_one_sequential_run(spark):
             assert (r.track_id, r.hits, [r.x1, r.y1, r.x2, r.y2]) == (track_id, hits, box)
 
 
+def test_numbers_over_composed_spans(spark, monkeypatch):
+    """One camera of 300 spans with pauses, whose numbering is composed over several levels."""
+    monkeypatch.setattr(chains, "GROUP", 4)
+    rows = [r for r in crowd(seed=6, frames=300 * 16, noise=8.0, people=4, cameras=(1,))
+            if not 900 < r[1] < 1100 and not 3000 < r[1] < 3016]
+    frames, expected = {}, {}
+    for r in rows:
+        frames.setdefault(r[1], []).append(r[3:7])
+    for frame, items in naive.tracker(frames, max(frames)).items():
+        for i, item in enumerate(items):
+            expected[(frame, i)] = item[:2]
+    got = run(spark, rows, 16, 16).collect()
+    assert {(r.frame_id, r.det_idx): (r.track_id, r.hits) for r in got} == expected
+
+
 def test_wrong_guesses_take_few_rounds(spark):
     """64 spans of a jittering crowd, followed without a warm-up: each guess is wrong at first."""
     rows = crowd(seed=2, frames=64 * 16 - 1, noise=12.0, people=5, cameras=(1,), pauses=False)

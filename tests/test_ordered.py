@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import naive
-from zoneflow.operators import alerts, detections, series
+from zoneflow.operators import alerts, chains, detections, series
 from zoneflow.operators.ordered import with_recent, with_running
 from zoneflow.operators.pacing import keep_paced
 
@@ -24,8 +24,9 @@ def test_running_values_cross_spans_and_gaps(spark):
 
 
 @pytest.mark.parametrize("every", [1, 4])
-@pytest.mark.parametrize("span", [50, 173, 100_000])
-def test_pacing_equals_the_sequential_rule(spark, every, span):
+@pytest.mark.parametrize(("span", "group"), [(50, 256), (50, 3), (13, 5), (173, 2), (100_000, 256)])
+def test_pacing_equals_the_sequential_rule(spark, monkeypatch, every, span, group):
+    monkeypatch.setattr(chains, "GROUP", group)  # few, so that summaries are composed several times
     rng = random.Random(every * span)
     rows = []
     for key, step in (("dense", 3), ("sparse", 90), ("mixed", 25)):
@@ -69,6 +70,15 @@ def test_one_key_is_spread_over_tasks(spark):
     assert kept.count() == len(naive.paced([i * 5 for i in range(20_000)], 15))
 
 
+def test_ten_thousand_spans_of_one_key(spark):
+    """Summaries are composed over two levels; no task holds more than a group of them."""
+    df = spark.range(30_000).select(F.lit(1).alias("k"), (F.col("id") * 7).alias("t"))
+    kept = keep_paced(df, ["k"], "t", interval=15, every=2, span=21, index="n")
+    expected = naive.paced([i * 7 for i in range(30_000)], 15, 2)
+    got = sorted((r["n"], r["t"] // 7) for r in kept.collect())
+    assert got == list(enumerate(expected, 1))
+
+
 def test_every_fourth(spark):
     df = spark.createDataFrame([(1, i) for i in range(1, 10)], "camera_id long, frame_id long")
     got = sorted((r.frame_id, r.sample_id) for r in detections.sample_every(df, 4, span=3).collect())
