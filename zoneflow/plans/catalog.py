@@ -17,7 +17,7 @@ from zoneflow.operators import density, detections, frames, heatmap, matching, p
 from zoneflow.operators import series, tables, tracking
 from zoneflow.params import Params
 from zoneflow.plans.derived import Derived
-from zoneflow.plans.oracle import rounded, with_steps
+from zoneflow.plans.oracle import NMS_SQL, rounded, with_steps
 
 Query = Callable[[Derived], DataFrame]
 
@@ -334,31 +334,6 @@ def filter_detections(d):
     )
 
 
-NMS_SQL = """with recursive ranked as (
-      select camera_id, frame_id, det_idx, confidence, cast(round_even(x1, 0) as int) ax,
-        cast(round_even(y1, 0) as int) ay,
-        cast(round_even(x1, 0) + greatest(round_even(x2 - x1, 0), 1) as int) bx,
-        cast(round_even(y1, 0) + greatest(round_even(y2 - y1, 0), 1) as int) by2,
-        row_number() over (partition by camera_id, frame_id order by confidence desc, det_idx) rn
-      from persons),
-    walk as (
-      select camera_id, frame_id, det_idx, rn, true ok,
-        [{'ax': ax, 'ay': ay, 'bx': bx, 'by2': by2}] kept from ranked where rn = 1
-      union all
-      select camera_id, frame_id, det_idx, rn, free,
-        case when free then list_append(kept, {'ax': ax, 'ay': ay, 'bx': bx, 'by2': by2})
-          else kept end
-      from (select b.*, w.kept, len(list_filter(w.kept, lambda k:
-          greatest(least(k.bx, b.bx) - greatest(k.ax, b.ax), 0)
-            * greatest(least(k.by2, b.by2) - greatest(k.ay, b.ay), 0)
-          / cast((k.bx - k.ax) * (k.by2 - k.ay) + (b.bx - b.ax) * (b.by2 - b.ay)
-            - greatest(least(k.bx, b.bx) - greatest(k.ax, b.ax), 0)
-            * greatest(least(k.by2, b.by2) - greatest(k.ay, b.ay), 0) as double) > 0.45e0)) = 0 free
-        from walk w join ranked b on b.camera_id = w.camera_id and b.frame_id = w.frame_id
-          and b.rn = w.rn + 1))
-    select camera_id, frame_id, det_idx from walk where ok"""
-
-
 @query(NMS_SQL)
 def nms(d):
     return detections.nms(detections.filter_detections(d.detections())).select(
@@ -492,13 +467,22 @@ def dedup_consecutive(d):
     return detections.dedup_consecutive(results, span=1000).select(F.col("seq").alias("event_id"))
 
 
-@query()
+@query("""select camera_id, frame_id, track_id, hits, confidence, x, y, w, h, cx, cy from tracks_seen""")
 def confirmed_tracks(d):
     clean = detections.nms(detections.filter_detections(d.detections()))
     return tracking.confirmed_tracks(tracking.track(clean, LONG, warm_up=32))
 
 
-@query()
+@query("""with recursive keyed as (
+      select r.*, r.camera_id || '/' || r."type" || ':' || r.message || ':' || r.risk || ':' || r."count" k
+      from raised_seen r join cameras c on c.camera_id = r.camera_id),
+    walk as (
+      select k, min(ts_ms) t from keyed group by k
+      union all
+      select w.k, (select min(a.ts_ms) from keyed a where a.k = w.k and a.ts_ms >= w.t + 15000) t
+      from walk w where w.t is not null)
+    select a.camera_id, a.frame_id, a."type", a.message, a.risk
+    from keyed a join walk w on w.k = a.k and w.t = a.ts_ms""")
 def end_to_end(d):
     """From raw detections to the alerts that are left: filter, overlap suppression, tracks, frame
     metrics, alerts, repeats."""

@@ -125,6 +125,105 @@ DERIVED_SQL = {
 }
 
 
+NMS_SQL = """with recursive ranked as (
+      select camera_id, frame_id, det_idx, confidence, cast(round_even(x1, 0) as int) ax,
+        cast(round_even(y1, 0) as int) ay,
+        cast(round_even(x1, 0) + greatest(round_even(x2 - x1, 0), 1) as int) bx,
+        cast(round_even(y1, 0) + greatest(round_even(y2 - y1, 0), 1) as int) by2,
+        row_number() over (partition by camera_id, frame_id order by confidence desc, det_idx) rn
+      from persons),
+    walk as (
+      select camera_id, frame_id, det_idx, rn, true ok,
+        [{'ax': ax, 'ay': ay, 'bx': bx, 'by2': by2}] kept from ranked where rn = 1
+      union all
+      select camera_id, frame_id, det_idx, rn, free,
+        case when free then list_append(kept, {'ax': ax, 'ay': ay, 'bx': bx, 'by2': by2})
+          else kept end
+      from (select b.*, w.kept, len(list_filter(w.kept, lambda k:
+          greatest(least(k.bx, b.bx) - greatest(k.ax, b.ax), 0)
+            * greatest(least(k.by2, b.by2) - greatest(k.ay, b.ay), 0)
+          / cast((k.bx - k.ax) * (k.by2 - k.ay) + (b.bx - b.ax) * (b.by2 - b.ay)
+            - greatest(least(k.bx, b.bx) - greatest(k.ax, b.ax), 0)
+            * greatest(least(k.by2, b.by2) - greatest(k.ay, b.ay), 0) as double) > 0.45e0)) = 0 free
+        from walk w join ranked b on b.camera_id = w.camera_id and b.frame_id = w.frame_id
+          and b.rn = w.rn + 1))
+    select camera_id, frame_id, det_idx from walk where ok"""
+
+
+def _overlap(a: str, b: str) -> str:
+    """IoU of two boxes of single-precision corners: sides are single, products double."""
+    def area(c: str) -> str:
+        return (f"greatest(cast({c}.x2 - {c}.x1 as double), 0) * greatest(cast({c}.y2 - {c}.y1 as double), 0)")
+
+    shared = " * ".join(
+        f"greatest(least(cast({a}.{q}2 as double), cast({b}.{q}2 as double))"
+        f" - greatest(cast({a}.{q}1 as double), cast({b}.{q}1 as double)), 0)" for q in "xy")
+    union = f"({area(a)} + {area(b)} - {shared})"
+    return f"case when {shared} > 0 and {union} > 0 then {shared} / {union} else 0.0e0 end"
+
+
+def _box(values: str, others: str) -> str:
+    return "{" + ", ".join(f"'{c}': {values.format(c=c)}" for c in ("x1", "y1", "x2", "y2")) + f", {others}" + "}"
+
+
+TRACK = ("struct(x1 float, y1 float, x2 float, y2 float, confidence double, id bigint, hits bigint, "
+         "misses bigint)[]")
+SMOOTHED = "cast(0.35 as float) * p.t.{c} + cast(0.65 as float) * d[p.m[1].j].{c}"
+# The live tracks of a camera as a list: each step takes one frame, pairs tracks and boxes greedily by
+# falling overlap (ties by the order of tracks, then of boxes), and smooths, ages, drops and begins tracks.
+TRACKER_SQL = f"""with recursive walk as (
+      select camera_id, cast(0 as bigint) rn, cast(0 as bigint) frame_id, cast([] as {TRACK}) live,
+        cast(0 as bigint) born, cast([] as {TRACK}) seen
+      from (select distinct camera_id from tracker_frames)
+      union all
+      select camera_id, rn, frame_id, list_filter(live, lambda t: t.misses <= 12), born,
+        list_filter(live, lambda t: t.misses = 0)
+      from (select camera_id, rn, frame_id, born + len(fresh) born, cast(list_concat(
+          list_transform(paired, lambda p: case when len(p.m) = 0 then
+            {_box("p.t.{c}", "'confidence': p.t.confidence, 'id': p.t.id, 'hits': p.t.hits, 'misses': p.t.misses + 1")}
+            else {_box(SMOOTHED, "'confidence': d[p.m[1].j].confidence, 'id': p.t.id, 'hits': p.t.hits + 1, 'misses': cast(0 as bigint)")} end),
+          list_transform(range(1, len(fresh) + 1), lambda k:
+            {_box("d[fresh[k]].{c}", "'confidence': d[fresh[k]].confidence, 'id': born + k, 'hits': cast(1 as bigint), 'misses': cast(0 as bigint)")}))
+          as {TRACK}) live
+        from (select *, list_transform(range(1, len(live) + 1), lambda i:
+              {{'t': live[i], 'm': list_filter(picks, lambda q: q.i = i)}}) paired,
+            list_filter(range(1, len(d) + 1), lambda j: len(list_filter(picks, lambda q: q.j = j)) = 0) fresh
+          from (select *, case when len(found) = 0 then [] else list_reduce(
+                list_transform(found, lambda c: {{'p': [{{'i': c.i, 'j': c.j}}]}}), lambda a, b: {{'p': case when
+                  len(list_filter(a.p, lambda q: q.i = b.p[1].i or q.j = b.p[1].j)) > 0 then a.p
+                  else list_append(a.p, b.p[1]) end}}).p end picks
+            from (select *, list_sort(list_filter(flatten(list_transform(range(1, len(live) + 1), lambda i:
+                list_transform(range(1, len(d) + 1), lambda j:
+                  {{'v': -({_overlap("live[i]", "d[j]")}), 'i': i, 'j': j}}))), lambda c: c.v <= -0.3e0)) found
+              from (select n.camera_id, n.rn, n.frame_id, n.d, w.born, list_filter(list_transform(w.live, lambda t:
+                  {_box("t.{c}", "'confidence': t.confidence, 'id': t.id, 'hits': t.hits, 'misses': t.misses + n.frame_id - w.frame_id - 1")}),
+                  lambda t: t.misses <= 12) live
+                from walk w join tracker_frames n on n.camera_id = w.camera_id and n.rn = w.rn + 1))))))
+    select camera_id, frame_id, unnest(seen) t from walk"""
+
+DERIVED_SQL |= {
+    "unsuppressed": NMS_SQL,
+    "tracker_frames": """
+        select camera_id, frame_id, d, row_number() over (partition by camera_id order by frame_id) rn
+        from (select p.camera_id, p.frame_id, list({'x1': cast(x1 as float), 'y1': cast(y1 as float),
+            'x2': cast(x2 as float), 'y2': cast(y2 as float), 'confidence': confidence} order by p.det_idx) d
+          from persons p join unsuppressed u on u.camera_id = p.camera_id and u.frame_id = p.frame_id
+            and u.det_idx = p.det_idx group by 1, 2)""",
+    "tracker_steps": TRACKER_SQL,
+    "tracks_seen": """
+        select camera_id, frame_id, track_id, hits, confidence, x, y, cast(x2 - x as int) w,
+          cast(y2 - y as int) h, (x + x2) // 2 cx, (y + y2) // 2 cy
+        from (select *, greatest(x2r, x) x2, greatest(y2r, y) y2 from (select camera_id, frame_id, t.id track_id,
+            t.hits hits, t.confidence confidence,
+            cast(greatest(round_even(cast(t.x1 as double), 0), 0) as int) x,
+            cast(greatest(round_even(cast(t.y1 as double), 0), 0) as int) y,
+            cast(round_even(cast(t.x2 as double), 0) as int) x2r,
+            cast(round_even(cast(t.y2 as double), 0) as int) y2r
+          from tracker_steps where t.hits >= 3))""",
+    "frames_seen": "select * from frames",
+}
+
+
 def _risk_by_count(n: str) -> str:
     return (f"case when {n} >= 180 then 'Critical' when {n} >= 130 then 'High' "
             f"when {n} >= 75 then 'Medium' else 'Low' end")
@@ -217,7 +316,7 @@ def frame_steps(suffix: str = "") -> dict[str, str]:
     }
 
 
-STEPS = {**DERIVED_SQL, **frame_steps(), **frame_steps("_big")}
+STEPS = {**DERIVED_SQL, **frame_steps(), **frame_steps("_big"), **frame_steps("_seen")}
 
 
 def with_steps(sql: str) -> str:
