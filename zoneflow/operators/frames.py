@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from zoneflow.functions import risk
 from zoneflow.functions.rounding import bind, exact_round
 from zoneflow.operators.alerts import frame_alerts
+from zoneflow.operators.density import normalize_density
+from zoneflow.operators.heatmap import heatmap_history
 from zoneflow.operators.ordered import SPAN, span_of
 from zoneflow.params import DEFAULTS, Params
 
@@ -378,8 +380,33 @@ def frame_metrics(
     return with_results(history, params, forecast)
 
 
+def with_pictures(
+    metrics: DataFrame, tracks: DataFrame, frames: DataFrame, params: Params = DEFAULTS,
+    keys: Sequence[str] = CAMERA,
+) -> DataFrame:
+    """Add ``heatmap_points``, the last track centres of the camera, and ``density_map``.
+
+    The map is that of ``frames`` (rows of cells, if there is such a column) scaled to 0..1, in dense
+    frames only, as the density model is not asked in others; empty elsewhere. Points are up to
+    ``heatmap_history`` to a frame, so this is kept apart from ``frame_metrics``.
+    """
+    at = [*keys, "frame_id"]
+    points = heatmap_history(tracks, frames, params, keys)
+    pictured = metrics.join(points, at, "left").withColumn(
+        "heatmap_points", F.coalesce("heatmap_points", F.array().cast(points.schema["heatmap_points"].dataType)))
+    empty = F.array().cast("array<array<double>>")
+    if "density_map" not in frames.columns:
+        return pictured.withColumn("density_map", empty)
+    maps = frames.select(*at, normalize_density(F.col("density_map")).alias("density_map"))
+    dense = F.col("current_count") >= params.dense_count
+    return pictured.join(maps, at, "left").withColumn(
+        "density_map", F.when(dense, F.coalesce("density_map", empty)).otherwise(empty))
+
+
 def result_document(metrics: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """``frame_metrics`` as the nested document described in ``schemas.FRAME_RESULT``."""
+    """``frame_metrics`` as the nested document described in ``schemas.FRAME_RESULT``, with the pictures
+    of ``with_pictures`` where there are some."""
+    pictures = [c for c in ("heatmap_points", "density_map") if c in metrics.columns]
     return metrics.select(
         *keep, "frame_id", "current_count", "total_count", "density_count", "base_count",
         "predicted_crowd", "smoothed_count", "final_count", "active_track_ids", "detections",
@@ -389,7 +416,7 @@ def result_document(metrics: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         .alias("line_crossing"),
         F.struct("density_score", "movement_score", "congestion_score", "hotspot_ratio")
         .alias("crowd_features"),
-        "risk", "risk_score", "alerts",
+        "risk", "risk_score", "alerts", *pictures,
     )
 
 

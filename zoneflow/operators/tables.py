@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zoneflow.functions.risk import LEVELS
@@ -40,16 +41,13 @@ def camera_state(events: DataFrame) -> DataFrame:
     only status and times survive from the events.
     Columns: camera_id, tenant_id, status, last_started_ms, last_event_ms, and the zero metrics.
     """
-    order = F.struct("ts_ms", "seq")
-    action = F.col("action")
-    starts = (action == "start") & ~F.col("_before").eqNullSafe("start")
-    last = _with_action_before(events).groupBy("camera_id").agg(
-        F.max_by("tenant_id", order).alias("tenant_id"),
-        F.max_by("action", order).alias("_action"),
-        F.max("ts_ms").alias("last_event_ms"),
-        F.max(F.when(starts, order)).alias("_started"),
-        F.max(F.when(action == "delete", order)).alias("_deleted"),
-    )
+    last = _spans_of(events).withColumn("_started", F.greatest("_inner", F.when(
+        (F.col("_first.action") == "start") & ~F.col("_before").eqNullSafe("start"), F.col("_first.at"))))
+    last = last.groupBy("camera_id").agg(
+        F.max_by("_last", "_last.at").alias("_end"), F.max("_started").alias("_started"),
+        F.max("_deleted").alias("_deleted"),
+    ).select("camera_id", F.col("_end.tenant_id").alias("tenant_id"), F.col("_end.action").alias("_action"),
+             F.col("_end.at.ts_ms").alias("last_event_ms"), "_started", "_deleted")
     # A deleted camera that is added again has not been started yet.
     alive = F.col("_deleted").isNull() | (F.col("_started") > F.col("_deleted"))
     return last.filter(F.col("_action") != "delete").select(
@@ -64,6 +62,27 @@ def camera_state(events: DataFrame) -> DataFrame:
     )
 
 
+def _spans_of(events: DataFrame) -> DataFrame:
+    """What the events of a camera and day come to: the first and the last one, the last delete, the last
+    start that follows no start within the day (``_inner``), and the action before the first one.
+
+    A row per camera and day is all that is ordered over a camera's life.
+    """
+    at = F.struct("ts_ms", "seq").alias("at")
+    listed = F.sort_array(F.collect_list(F.struct(at, "action", "tenant_id")))
+    day = F.floor(F.col("ts_ms") / DAY_MS)
+    spans = events.groupBy("camera_id", day.alias("_day")).agg(listed.alias("_events"))
+    starts = F.filter("_events", lambda e, i: (i > 0) & (e["action"] == "start") & (
+        F.get("_events", i - 1)["action"] != "start"))
+    deletes = F.filter("_events", lambda e: e["action"] == "delete")
+    life = W.partitionBy("camera_id").orderBy("_day")
+    return spans.select(
+        "camera_id", "_day", F.element_at("_events", 1).alias("_first"), F.element_at("_events", -1).alias("_last"),
+        F.try_element_at(starts, F.lit(-1))["at"].alias("_inner"),
+        F.try_element_at(deletes, F.lit(-1))["at"].alias("_deleted"),
+    ).withColumn("_before", F.lag("_last.action").over(life))
+
+
 def _with_action_before(events: DataFrame) -> DataFrame:
     return with_running(
         events, ["camera_id"], ["ts_ms", "seq"], previous={"_before": F.col("action")}, span=DAY_MS

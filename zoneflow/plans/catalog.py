@@ -178,6 +178,27 @@ def heatmap_history(d):
     )
 
 
+@query("""select u.camera_id, u.frame_id, u.n, cast(least(u.upto, 250) as bigint) points,
+      cast(case when u.n >= 15 then 2 else 0 end as bigint) map_rows,
+      case when u.n >= 15 and u.frame_id % 5 > 0 then 1.0e0 else 0.0e0 end top
+    from (select camera_id, frame_id, n, sum(n) over (partition by camera_id order by frame_id
+        rows between unbounded preceding and current row) upto from counted) u""")
+def frame_pictures(d):
+    """Frame results with their points and, in dense frames, the scaled map."""
+    number = F.col("frame_id") % 5
+    maps = F.array(F.array(F.lit(-1.0), number.cast("double")), F.array(F.lit(0.0), F.lit(0.0)))
+    spine = d.frames().withColumn("density_map", maps)
+    metrics = frames.frame_metrics(d.tracks(), spine.drop("density_map"), SHORT, boxes=False)
+    document = frames.result_document(
+        frames.with_pictures(metrics, d.tracks(), spine, SHORT).withColumns({
+            c: F.lit(None) for c in ("active_track_ids", "detections")}), keep=["camera_id"])
+    cells = F.flatten("density_map")
+    return document.select(
+        "camera_id", "frame_id", F.col("current_count").cast("long").alias("n"),
+        F.size("heatmap_points").cast("long").alias("points"), F.size("density_map").cast("long").alias("map_rows"),
+        F.coalesce(F.array_max(cells), F.lit(0.0)).alias("top"))
+
+
 LAST_POINTS_SQL = """(select camera_id, cx x, cy y, row_number() over (partition by camera_id
       order by frame_id, track_id) as position from
     (select * from tracks qualify row_number() over (partition by camera_id
@@ -301,6 +322,17 @@ def density_count(d):
     )
 
 
+@query("""select m.map_id, cast(case when m.map_id % 3 = 0 then greatest(round_even((m.map_id % 40 - 5) / 2.0e0, 0), 0)
+      when m.map_id % 3 = 1 then m.map_id % 50 else round_even(s, 0) end as bigint) people
+    from (select map_id, sum(v) s from cells group by 1) m""")
+def model_count(d):
+    """The model's count, else its current count, else the sum of its map."""
+    key = F.col("map_id")
+    people = density.model_count(
+        F.col("density_map"), F.when(key % 3 == 0, (key % 40 - 5) / 2), F.when(key % 3 < 2, key % 50))
+    return d.density_maps().select("map_id", people.alias("people"))
+
+
 @query(f"""select map_id, gy, cast(gx as bigint) gx, case when hi > lo
         then {rounded('(v - lo) / (hi - lo)', 4)} else 0.0e0 end v
     from (select *, min(v) over (partition by map_id) lo, max(v) over (partition by map_id) hi
@@ -514,12 +546,17 @@ def explode_alerts(d):
     return al.explode_alerts(_metrics(d), d.cameras())
 
 
-@query("""select m.camera_id, m.frame_id, c.zone_name || ' reported ' || m.risk || ' crowd density'
-      message, m.risk, m.n as "count"
-    from metrics m join cameras c on c.camera_id = m.camera_id
-    where m.risk in ('High', 'Critical')""")
+@query("""select p.camera_id, p.l_orderkey * 8 + p.l_linenumber frame_id,
+      c.zone_name || ' reported ' || p.risk || ' crowd density' message, p.risk,
+      cast(coalesce(p.current_count, 0) as bigint) "count"
+    from predictions p join cameras c on c.camera_id = p.camera_id where p.risk in ('High', 'Critical')""")
 def fallback_alert(d):
-    silent = _metrics(d).withColumn("alerts", F.filter("alerts", lambda a: F.lit(False)))
+    """What a live service says has a risk and no alerts."""
+    silent = d.predictions().select(
+        "camera_id", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("frame_id"),
+        F.lit(0).cast("long").alias("ts_ms"), F.col("current_count").cast("long").alias("current_count"), "risk",
+        F.array().cast("array<struct<type:string,message:string,risk:string,count:bigint>>").alias("alerts"),
+    )
     return al.explode_alerts(silent, d.cameras()).select(
         "camera_id", "frame_id", "message", "risk", "count"
     )

@@ -5,11 +5,13 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-CAMERAS_IN_VIEW = 25
+FEWEST_CAMERAS, CUSTOMERS_PER_CAMERA = 25, 600
 
 
 class Derived:
@@ -21,6 +23,11 @@ class Derived:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    @cached_property
+    def cameras_in_view(self) -> int:
+        """How many cameras have frames; grows with the customers."""
+        return max(FEWEST_CAMERAS, self.table("customer").count() // CUSTOMERS_PER_CAMERA)
+
     def cameras(self) -> DataFrame:
         key, name = F.col("c_custkey"), F.col("c_name")
         scheme = F.when(key % 3 == 0, "rtsp://h/").when(key % 3 == 1, "HTTP://h/").otherwise("file-")
@@ -36,7 +43,7 @@ class Derived:
     def frames(self) -> DataFrame:
         step = _div("event_id", 500)
         steps = self.table("events").select(step.alias("f")).distinct()
-        cameras = F.explode(F.expr(f"sequence(0L, {CAMERAS_IN_VIEW - 1}L)"))
+        cameras = F.explode(F.expr(f"sequence(0L, {self.cameras_in_view - 1}L)"))
         return steps.select(cameras.alias("camera_id"), "f").select(
             "camera_id",
             (F.col("f") + 1).alias("frame_id"),
@@ -50,7 +57,7 @@ class Derived:
         return (
             self.table("events")
             .groupBy(
-                (event * event % CAMERAS_IN_VIEW).alias("camera_id"),
+                (event * event % self.cameras_in_view).alias("camera_id"),
                 (step + 1).alias("frame_id"),
                 F.col("user_id").alias("track_id"),
             )
@@ -65,7 +72,7 @@ class Derived:
         people = (
             self.table("lineitem")
             .groupBy(
-                (F.col("l_suppkey") % CAMERAS_IN_VIEW).alias("camera_id"),
+                (F.col("l_suppkey") % self.cameras_in_view).alias("camera_id"),
                 (_div("l_orderkey", 50) + 1).alias("frame_id"),
                 F.col("l_partkey").alias("track_id"),
             )
@@ -75,7 +82,7 @@ class Derived:
 
     def frames_big(self) -> DataFrame:
         steps = self.table("lineitem").select(_div("l_orderkey", 50).alias("f")).distinct()
-        cameras = F.explode(F.expr(f"sequence(0L, {CAMERAS_IN_VIEW - 1}L)"))
+        cameras = F.explode(F.expr(f"sequence(0L, {self.cameras_in_view - 1}L)"))
         return steps.select(cameras.alias("camera_id"), "f").select(
             "camera_id",
             (F.col("f") + 1).alias("frame_id"),

@@ -11,13 +11,15 @@ DERIVED_SQL = {
           case c_custkey % 3 when 0 then 'rtsp://h/' when 1 then 'HTTP://h/' else 'file-' end
             || c_name as stream_url
         from customer""",
+    "in_view": "select greatest(25, count(*) // 600) cameras from customer",
     "frames": """
         select cast(c.camera_id as bigint) camera_id, s.f + 1 frame_id, (s.f + 1) * 5000 ts_ms,
           1280 width, 720 height
-        from (select distinct event_id // 500 f from events) s, unnest(range(25)) c(camera_id)""",
+        from (select distinct event_id // 500 f from events) s,
+          (select unnest(range(cameras)) camera_id from in_view) c""",
     "people": """
-        select (event_id * event_id) % 25 camera_id, event_id // 500 + 1 frame_id,
-          user_id track_id, max(event_id) e
+        select (event_id * event_id) % (select cameras from in_view) camera_id,
+          event_id // 500 + 1 frame_id, user_id track_id, max(event_id) e
         from events group by 1, 2, 3""",
     "tracks": """
         select camera_id, frame_id, track_id, cast((track_id * 41 + e * 13) % 1280 as int) cx,
@@ -25,8 +27,8 @@ DERIVED_SQL = {
           cast(80 + e % 120 as int) h, cast(cx - w // 2 as int) x, cast(cy - h // 2 as int) y
         from people""",
     "people_big": """
-        select l_suppkey % 25 camera_id, l_orderkey // 50 + 1 frame_id, l_partkey track_id,
-          max(l_orderkey * 7 + l_linenumber) e
+        select l_suppkey % (select cameras from in_view) camera_id, l_orderkey // 50 + 1 frame_id,
+          l_partkey track_id, max(l_orderkey * 7 + l_linenumber) e
         from lineitem group by 1, 2, 3""",
     "tracks_big": """
         select camera_id, frame_id, track_id, cast((track_id * 41 + e * 13) % 1280 as int) cx,
@@ -36,7 +38,8 @@ DERIVED_SQL = {
     "frames_big": """
         select cast(c.camera_id as bigint) camera_id, s.f + 1 frame_id, (s.f + 1) * 250 ts_ms,
           1280 width, 720 height
-        from (select distinct l_orderkey // 50 f from lineitem) s, unnest(range(25)) c(camera_id)""",
+        from (select distinct l_orderkey // 50 f from lineitem) s,
+          (select unnest(range(cameras)) camera_id from in_view) c""",
     "boxes": """
         select camera_id, frame_id, track_id who, e, 40 + track_id % 30 bw, 90 + track_id % 50 bh,
           (track_id * 97 + frame_id * (2 + track_id % 5)) % 1180 bx,
