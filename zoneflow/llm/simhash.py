@@ -1,6 +1,6 @@
 """SimHash fingerprints and their near-duplicates by deletion-variant signatures.
 
-Two 64-bit fingerprints with at most two differing bits agree, in one half of 32 bits, up to one bit.
+Two 64-bit fingerprints with at most three differing bits agree, in one half of 32 bits, up to one bit.
 Each distinct fingerprint is therefore filed under 64 signatures: for each half and each of its bits,
 the half with that bit deleted. Fingerprints that share a signature are compared in full. What a
 bucket yields is a star per group of linked members, not their pairs, which keeps components.
@@ -24,27 +24,28 @@ from pyspark.sql import functions as F
 
 from zoneflow.llm import shingles
 from zoneflow.llm.components import components
+from zoneflow.llm.stars import stars
 from zoneflow.session import materialize
 
 SEED = 42
-SHINGLE = 3
-MAX_BITS = 2
+SHINGLE = 3  # words
+MAX_BITS = 2  # three at most: with more, no half need agree up to one bit
 CHUNK = 200_000  # shingles counted at a time
 SMALL = 32  # runs up to this length are compared shifted, all at once
 DIRECT = 2048  # members of a bucket that are compared directly
 HOLD = 1_000_000  # members of a bucket kept in a task's memory before it is passed on
 
 
-def fingerprint(text: bytes) -> int:
-    """Unsigned 64-bit SimHash of the 3-word shingles, repeats included; 0 without words."""
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of the shingles, repeats included; 0 without words."""
     words = text.lower().split()
     if not words:
         return 0
-    if len(words) < SHINGLE:
+    if len(words) < shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    shingles = map(b" ".join, zip(*(islice(words, k, None) for k in range(SHINGLE)), strict=False))
-    hashes = map(xxhash.xxh64_intdigest, shingles, repeat(SEED))
-    n = len(words) - SHINGLE + 1
+    parts = map(b" ".join, zip(*(islice(words, k, None) for k in range(shingle)), strict=False))
+    hashes = map(xxhash.xxh64_intdigest, parts, repeat(SEED))
+    n = len(words) - shingle + 1
     ones = np.zeros(64, np.int64)
     for start in range(0, n, CHUNK):
         part = np.fromiter(islice(hashes, CHUNK), np.uint64, min(CHUNK, n - start))
@@ -53,23 +54,21 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints_and_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, keys = shingles.file_keys(batch.column("content").cast(pa.binary()))
-        for printed in _fingerprints(iter([batch])):
+def _fingerprints(
+    shingle: int, keys: bool
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("content").cast(pa.binary())
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64)
+            columns = [batch.column(k) for k in range(batch.num_columns - 1)]
+            more = shingles.file_keys(texts) if keys else ()
             yield pa.RecordBatch.from_arrays(
-                [*printed.columns, n, keys], names=[*printed.schema.names, "n", "keys"]
+                [*columns, pa.array(prints), *more],
+                names=[*batch.schema.names[:-1], "print", *(("node", "n", "keys") if keys else ())],
             )
 
-
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("content").cast(pa.binary())
-        prints = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
-        columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-        yield pa.RecordBatch.from_arrays(
-            [*columns, pa.array(prints)], names=[*batch.schema.names[:-1], "print"]
-        )
+    return printed
 
 
 # ---- signatures --------------------------------------------------------------------------
@@ -146,37 +145,14 @@ def _file_again(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 # ---- buckets -----------------------------------------------------------------------------
 
 
-def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For linked pairs: each node that is not the smallest of its group, and that smallest."""
-    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = place[: len(a)], place[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        np.minimum.at(new, label, new)  # the whole old group moves with any of its members
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    moved = label != np.arange(len(nodes))
-    return nodes[moved], nodes[label[moved]]
-
-
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= MAX_BITS
-
-
-def _compared(left: np.ndarray, right: np.ndarray, same: bool) -> list[np.ndarray]:
+def _compared(left: np.ndarray, right: np.ndarray, same: bool, bits: int) -> list[np.ndarray]:
     """Linked pairs of two sets of fingerprints, or of one with itself, as two arrays."""
     found = [np.empty(0, np.uint64)] * 2
     rows = max(1, 4_000_000 // max(1, len(right)))
     pieces = [found]
     for start in range(0, len(left), rows):
         part = left[start:start + rows]
-        i, j = np.nonzero(_near(part[:, None], right[None, :]))
+        i, j = np.nonzero(np.bitwise_count(part[:, None] ^ right[None, :]) <= bits)
         if same:
             keep = i + start < j
             i, j = i[keep], j[keep]
@@ -187,8 +163,8 @@ def _compared(left: np.ndarray, right: np.ndarray, same: bool) -> list[np.ndarra
 class _Links:
     """Linked members of the buckets of a partition; buckets too large are handed on."""
 
-    def __init__(self, last: bool) -> None:
-        self.last = last
+    def __init__(self, last: bool, bits: int) -> None:
+        self.last, self.bits = last, bits
 
     def long_run(self, rows: dict[str, np.ndarray]):
         """Links of one bucket, or None if it must be filed again."""
@@ -197,12 +173,12 @@ class _Links:
         if rows["first"][0]:
             if len(prints) > DIRECT and not self.last:
                 return None
-            return _compared(prints, prints, True)
+            return _compared(prints, prints, True, self.bits)
         # Members that agree in the deleted bit meet in the bucket of the first bit as well.
         one, zero = prints[ones], prints[~ones]
         if len(one) * len(zero) > DIRECT * DIRECT and not self.last:
             return None
-        return _compared(one, zero, False)
+        return _compared(one, zero, False, self.bits)
 
     def batch(self, rows: dict[str, np.ndarray]):
         """Links of whole buckets; also the rows to be filed again."""
@@ -218,7 +194,7 @@ class _Links:
             if not len(i):
                 continue
             differ = prints[i] ^ prints[i + d]
-            ok = (np.bitwise_count(differ) <= MAX_BITS) & (
+            ok = (np.bitwise_count(differ) <= self.bits) & (
                 first[i] | ((differ >> bit[i]) & np.uint64(1) == 1)
             )
             a.append(prints[i[ok]])
@@ -243,11 +219,11 @@ OUT_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())
                        ("free", pa.int16())])
 
 
-def _bucket_links(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _bucket_links(width: int, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Over partitions sorted by key: links (a, b), and rows to file again (b is null)."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = _Links(last=width == 8)
+        links = _Links(width == 8, bits)
         kept: dict[str, np.ndarray] | None = None
         passing: int | None = None  # the key of a bucket too large to be held
         for batch in batches:
@@ -305,14 +281,16 @@ def _again(runs) -> pa.RecordBatch:
     )
 
 
-def near_links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that join all distinct fingerprints (column ``print``) at most two bits apart."""
+def near_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """Links (a, b) that join all distinct fingerprints (column ``print``) at most ``bits`` bits apart."""
+    if not 0 <= bits <= 3:
+        raise ValueError("halves agree up to one bit for at most three differing bits")
     signed = prints.mapInArrow(_file_first, SIGNED)
     links = None
     for width in (32, 16, 8):
         found = materialize(
             signed.repartition("key").sortWithinPartitions("key")
-            .mapInArrow(_bucket_links(width), OUT)
+            .mapInArrow(_bucket_links(width, bits), OUT)
         )
         level = found.filter("b is not null").select("a", "b")
         links = level if links is None else links.union(level)
@@ -326,12 +304,12 @@ def near_links(prints: DataFrame) -> DataFrame:
 # ---- operators ---------------------------------------------------------------------------
 
 
-def _labelled(rows: DataFrame, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _labelled(rows: DataFrame, bits: int, more: DataFrame | None = None) -> DataFrame:
     """(print, component, first): each distinct fingerprint, its component, and the smallest id in
-    the component. ``more`` adds to the links of fingerprints."""
+    the component. ``more``: further links of fingerprints."""
     first = materialize(rows.groupBy("print").agg(F.min("id").alias("first")))
-    links = near_links(first.select("print"))
-    roots = components(links if more is None else more(links)).select(
+    links = near_links(first.select("print"), bits)
+    roots = components(links if more is None else links.union(more)).select(
         F.col("a").alias("print"), F.col("b").alias("root")
     )
     joined = first.join(roots, "print", "left").select(
@@ -342,7 +320,7 @@ def _labelled(rows: DataFrame, more: Callable[[DataFrame], DataFrame] | None = N
 
 
 def _printed(
-    docs: DataFrame, id_column: str, text_column: str, digest: bool, keys: bool = False
+    docs: DataFrame, id_column: str, text_column: str, shingle: int, digest: bool, keys: bool = False
 ) -> DataFrame:
     content = F.coalesce(F.col(text_column), F.lit(""))
     more = [F.sha2(content, 256).alias("digest")] if digest else []
@@ -350,24 +328,23 @@ def _printed(
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, {'digest string, ' if digest else ''}print long"
     if keys:
-        return materialize(
-            rows.mapInArrow(_fingerprints_and_keys, f"{schema}, n long, keys array<long>")
-        )
-    return materialize(rows.mapInArrow(_fingerprints, schema))
+        schema += ", node binary, n long, keys array<long>"
+    return materialize(rows.mapInArrow(_fingerprints(shingle, keys), schema))
 
 
 def simhash_components(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE,
+    bits: int = MAX_BITS,
 ) -> DataFrame:
     """One row per input row: the id, ``fingerprint`` (16 hex digits), ``component_id``.
 
-    Components are joined by fingerprints at most two bits apart; ``component_id`` is the smallest
+    Components are joined by fingerprints at most ``bits`` (three or less) apart; ``component_id`` is the smallest
     id in it (null only if all its ids are null). Null and wordless texts have fingerprint zero,
     linked like any other. Ids may repeat; other columns are not read; an empty table gives an empty
     result.
     """
-    rows = _printed(docs, id_column, text_column, digest=False)
-    labels = _labelled(rows).select("print", F.col("first").alias("component_id"))
+    rows = _printed(docs, id_column, text_column, shingle, digest=False)
+    labels = _labelled(rows, bits).select("print", F.col("first").alias("component_id"))
     return rows.join(labels, "print").select(
         F.col("id").alias(id_column),
         F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id",
@@ -376,37 +353,36 @@ def simhash_components(
 
 def simhash_dedup(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-    jaccard: float | None = None,
+    shingle: int = SHINGLE, bits: int = MAX_BITS, jaccard: float | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` with one row of each component left, all columns as they were.
 
-    With ``jaccard``, texts whose sets of five-word shingles are alike to that share or more are joined
-    as well, however many bits their fingerprints differ in (``shingles``; every link is checked on
-    the whole sets).
+    Texts are linked whose fingerprints over shingles of ``shingle`` words differ in at most ``bits``
+    (three or less). With ``jaccard``, texts whose sets of five-word shingles are alike to that share or
+    more are linked as well, however many bits their fingerprints differ in (``shingles``; every such
+    link is checked on the whole sets).
 
     The row with the smallest id stays (a null id is larger than any other), of equal ids the one
-    with the smallest digest of its text; of rows equal in both, any one.
+    with the smallest digest of its text; of rows equal in both, any one. Null and wordless texts have
+    fingerprint zero and are one component. Columns may have any names; an empty table gives an empty one.
     """
-    rows = _printed(docs, id_column, text_column, digest=True, keys=jaccard is not None)
+    content = F.coalesce(F.col(text_column), F.lit(""))
+    rows = _printed(docs, id_column, text_column, shingle, digest=True, keys=jaccard is not None)
     more = None
     if jaccard is not None:
-        node = F.xxhash64("digest").alias("node")
-        content = F.coalesce(F.col(text_column), F.lit(""))
-        contents = docs.select(F.xxhash64(F.sha2(content, 256)).alias("node"), content.alias("content"))
-        more = lambda links: shingles.similar_links(
-            rows.select(node, "print", "n", "keys"), contents, links, jaccard
-        )
-    labels = _labelled(rows, more).select("print", "component")
+        contents = docs.select(F.col(id_column).alias("id"), F.sha2(content, 256).alias("digest"),
+                               content.alias("content"))
+        more = shingles.similar_links(rows, contents, jaccard)
+    labels = _labelled(rows, bits, more).select("print", "component")
     order = F.struct(F.isnull("id").alias("missing"), "id", "digest")
     keep = rows.join(labels, "print").groupBy("component").agg(F.min(order).alias("keep")).select(
-        F.col("keep.id").alias("_keep_id"), F.col("keep.digest").alias("_keep_digest")
+        F.col("keep.id").alias("keep_id"), F.col("keep.digest").alias("keep_digest")
     )
-    digest = F.sha2(F.coalesce(F.col(text_column), F.lit("")), 256)
-    kept = docs.withColumn("_digest", digest).join(
-        keep, F.col("_digest").eqNullSafe(F.col("_keep_digest"))
-        & F.col(id_column).eqNullSafe(F.col("_keep_id")), "left_semi",
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                         F.col(id_column).alias("id"), F.sha2(content, 256).alias("digest"))
+    kept = packed.join(
+        keep, F.col("digest").eqNullSafe(F.col("keep_digest")) & F.col("id").eqNullSafe(F.col("keep_id")),
+        "left_semi",
     )
-    repeats = W.partitionBy("_digest", id_column).orderBy(F.lit(1))
-    return kept.withColumn("_repeat", F.row_number().over(repeats)).filter(
-        F.col("_repeat") == 1
-    ).select(*docs.columns)
+    repeats = W.partitionBy("digest", "id").orderBy(F.lit(1))
+    return kept.withColumn("repeat", F.row_number().over(repeats)).filter("repeat = 1").select("row.*")
