@@ -1,7 +1,9 @@
 """The corpus pipeline: from raw documents to shards.
 
 Each stage takes the session, what the stage before kept, and the folder of the tables. All but the
-last give back the columns of ``documents``.
+last give back the columns of ``documents``. Null texts count as empty and stay in as far as a stage
+judges texts, ids may be null, rows may repeat, and an empty table goes through as an empty one; each
+operator says what it does with ties.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from zoneflow.llm import decontaminate, mixing, sharding, simhash, toxicity
 from zoneflow.session import materialize, ship_code
 
 SHARDS = 40
-ALIKE = 0.8
+SHINGLE, BITS, ALIKE = 5, 3, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -25,10 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    Fingerprints at most two bits apart and texts with a Jaccard similarity of ``ALIKE`` are linked.
+    Fingerprints over five-word shingles at most three bits apart and texts whose sets of such shingles
+    have a Jaccard similarity of ``ALIKE`` are linked. Null and wordless texts are copies of each other.
     """
     ship_code(spark)
-    return simhash.simhash_dedup(docs, jaccard=ALIKE)
+    return simhash.simhash_dedup(docs, shingle=SHINGLE, bits=BITS, jaccard=ALIKE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
