@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
+import numpy as np
 import odd
 import pytest
 
@@ -162,6 +164,42 @@ def test_substring_sketch_overestimates(spark, monkeypatch):
     assert count(got.collect()) == brute_removed(odd.rows(), 3)
 
 
+def test_windows_of_clashing_hashes_are_told_apart(spark):
+    """A Thue-Morse word of 1024 letters and its complement have one polynomial hash modulo 2**64,
+    whatever the base and the values of the letters."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    data = np.frombuffer(f"{word} {other}".encode(), np.uint8)
+    hashes = substring._word_hashes(data, np.array([0, 1025]), np.array([1024, 2049]))
+    assert hashes[0] == hashes[1]  # so the sketch holds them for one window
+    rows = [(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{other} {rest}")]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in got) == [(1, 0), (2, 0), (3, 20)]
+
+
+def test_substring_with_a_text_of_megabytes(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"q{i}" for i in range(25))
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    rows = [(1, f"{long} {passage}"), (2, f"x {passage} y"), (3, long), (4, None)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), texts=False)
+    assert len(long) > 3_000_000
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()) == [
+        (1, 400_025, 0), (2, 27, 25), (3, 400_000, 400_000), (4, 0, 0)]
+
+
+def test_occupied_slices_only():
+    cells = np.array([3, 4, 70, 71, 72, 900], np.uint64)
+    assert substring._cell_parts(cells, 10) == [(0, 0, 2), (7, 2, 5), (90, 5, 6)]
+    assert substring._cell_parts(cells[:0], 10) == []
+    high = np.array([0, 2**63 - 1, 2**63, 2**64 - 1], np.uint64)
+    assert substring._digest_parts(high, 2) == [(0, 0, 2), (1, 2, 4)]
+    assert substring._digest_parts(high, 1) == [(0, 0, 4)] or substring._digest_parts(high, 1)[0][0] == 0
+
+
 def test_tokens(spark, tmp_path):
     public_tokenizers = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer

@@ -7,31 +7,36 @@ block with numpy; what is shuffled are packed arrays per (block, slice of the ha
    data, stored sparsely as the sorted cells in use. Merged per slice, counts are overestimates, so
    each window that occurs twice lies in a cell with a count of two or more.
 2. The windows in such cells, each once per block with its first place there, are grouped exactly by
-   128-bit digests of their words, and the first place of each in all documents is found. A window
-   that thousands of documents share is one entry per block.
+   128-bit cryptographic digests of their words, and the first place of each in all documents is found.
+   A window that thousands of documents share is one entry per block.
 3. Each block learns which of its entries are first, and removes all other windows in such cells that
    repeat an earlier one.
 
-The blocks recompute their windows in each step, so nothing but bits comes back to them.
+The blocks recompute their windows in each step, so nothing but bits comes back to them. A block looks
+at the slices it has something in, not at all; blocks and slices grow with the root of the input, so
+that what a block sends to a slice stays worth packing.
 """
 
 from __future__ import annotations
 
 import hashlib
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 20
-BLOCK_BYTES = 4 << 20  # text of a block; a longer document is a block of its own size
-SLICE_WINDOWS = 2 << 20  # windows a slice has about
+BLOCK_BYTES = 4 << 20, 256 << 20  # text of a block, least and most; a longer document is a block itself
+SLICE_WINDOWS = 2 << 20, 32 << 20  # windows a slice has about, least and most
+USUAL_BYTES = 32 << 30  # input beyond which blocks and slices grow
 CELLS = 64  # cells of the sketch per window
 PIECE = 4 << 20  # bytes hashed at a time
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LETTER = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, (2, 256), dtype=np.uint64)
+_LETTER = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], np.uint64)  # odd
 
 
@@ -73,16 +78,14 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty((2, len(begin)), np.uint64)
+    out = np.empty(len(begin), np.uint64)
     first = 0
     while first < len(begin):
         last = max(first + 1, int(np.searchsorted(end, begin[first] + PIECE, "right")))
         low, high = begin[first], end[last - 1]
         part = data[low:high]
-        for k in range(2):
-            value = _spans(_LETTER[k][part], begin[first:last] - low, end[first:last] - low,
-                           int(_BASE[k]))
-            out[k, first:last] = _mix(value + (end - begin)[first:last].astype(np.uint64))
+        value = _spans(_LETTER[part], begin[first:last] - low, end[first:last] - low, int(_BASE[0]))
+        out[first:last] = _mix(value + (end - begin)[first:last].astype(np.uint64))
         first = last
     return out
 
@@ -105,35 +108,49 @@ class Block:
         self.begin, self.end = _words(self.data, self.offsets)
         self.first_word = np.searchsorted(self.begin, self.offsets)  # of each document, and the end
         self.window = window
-        hashes = _word_hashes(self.data, self.begin, self.end)
+        hashes = _word_hashes(self.data, self.begin, self.end) if len(self.begin) >= window else None
         doc = np.repeat(np.arange(len(texts)), np.diff(self.first_word))
         n = max(0, len(self.begin) - window + 1)
         self.start = np.flatnonzero(doc[:n] == doc[window - 1:window - 1 + n])  # whole windows
         self.doc = doc[self.start]
-        stop = self.start + window
+        # Says in which cell of the sketch a window counts; that two windows share it loses nothing.
+        self.hash = np.empty(0, np.uint64)
         if len(self.start):
-            self.high, self.low = (
-                _mix(_spans(hashes[k], self.start, stop, int(_BASE[1 - k]))) for k in range(2)
-            )
-        else:
-            self.high = self.low = np.empty(0, np.uint64)
+            self.hash = _mix(_spans(hashes, self.start, self.start + window, int(_BASE[1])))
 
     def cells(self, slices: int, per_slice: int) -> tuple[np.ndarray, np.ndarray]:
         """Cells in use, ascending, and the cell of each window as a place in them."""
-        cell = self.high % np.uint64(slices * per_slice)
+        cell = self.hash % np.uint64(slices * per_slice)
         return np.unique(cell, return_inverse=True)
 
-    def entries(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the windows ``kept`` (places): the first of each digest, in the order of the digests,
-        and for each window its entry."""
-        order = kept[np.lexsort((kept, self.low[kept], self.high[kept]))]
+    def digests(self, kept: np.ndarray) -> np.ndarray:
+        """For each of some windows (ascending) two numbers of a cryptographic digest of its words."""
+        first, last = (self.start[kept[0]], self.start[kept[-1]] + self.window) if len(kept) else (0, 0)
+        raw = self.data.tobytes()
+        words = [raw[i:j] for i, j in zip(
+            self.begin[first:last].tolist(), self.end[first:last].tolist(), strict=True)]
+        text = b" ".join(words)  # words hold no space, so joined they are told apart
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(size)
+        begin = self.start[kept] - first
+        view = memoryview(text)
+        out = b"".join([
+            blake2b(view[i:j], digest_size=16).digest() for i, j in zip(
+                (ends[begin] - size[begin]).tolist(), (ends[begin + self.window - 1] - 1).tolist(), strict=True)
+        ])
+        return np.frombuffer(out, np.uint64).reshape(-1, 2).T
+
+    def entries(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows ``kept`` (places): the first of each digest, in the order of the digests, and
+        these; and for each window its entry."""
+        digests = self.digests(kept)
+        order = np.lexsort((kept, digests[1], digests[0]))
+        digests = digests[:, order]
         new = np.ones(len(order), bool)
-        new[1:] = (self.high[order][1:] != self.high[order][:-1]) | (
-            self.low[order][1:] != self.low[order][:-1]
-        )
+        new[1:] = (digests[:, 1:] != digests[:, :-1]).any(0)
         entry = np.empty(len(self.start), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        return order[new], entry
+        entry[kept[order]] = np.cumsum(new) - 1
+        return kept[order][new], digests[:, new], entry
 
     def place(self, windows: np.ndarray) -> np.ndarray:
         """Start of windows inside their document."""
@@ -159,9 +176,20 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.cumsum(gaps, dtype=np.int64)[gaps != _FILL]
 
 
-def _cut(cells: np.ndarray, slices: int, per_slice: int) -> np.ndarray:
-    """Where each slice begins in ascending cells."""
-    return np.searchsorted(cells, np.arange(slices + 1, dtype=np.uint64) * np.uint64(per_slice))
+def _parts(slices: np.ndarray) -> list[tuple[int, int, int]]:
+    """The slices that occur in an ascending list, with begin and end of each."""
+    begin = np.flatnonzero(np.concatenate([[True], slices[1:] != slices[:-1]])) if len(slices) else []
+    ends = np.append(begin[1:], len(slices)) if len(slices) else []
+    return [(int(slices[b]), int(b), int(e)) for b, e in zip(begin, ends, strict=True)]
+
+
+def _cell_parts(cells: np.ndarray, per_slice: int) -> list[tuple[int, int, int]]:
+    return _parts(cells // np.uint64(per_slice))
+
+
+def _digest_parts(high: np.ndarray, slices: int) -> list[tuple[int, int, int]]:
+    """Slices of ascending digests are ranges of them."""
+    return _parts(high // np.uint64(min(2**64 - 1, -(-(1 << 64) // slices))))
 
 
 SENT = pa.schema([("slice", pa.int64()), ("block", pa.int64()), ("once", pa.binary()),
@@ -176,7 +204,7 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
 
-def _masks(table: pa.Table, step: int, slices: int) -> dict[int, np.ndarray]:
+def _masks(table: pa.Table, step: int) -> dict[int, np.ndarray]:
     """Bits of a step by slice."""
     return {
         s: np.unpackbits(np.frombuffer(b, np.uint8))
@@ -185,9 +213,9 @@ def _masks(table: pa.Table, step: int, slices: int) -> dict[int, np.ndarray]:
     }
 
 
-def _flags(masks: dict[int, np.ndarray], cut: np.ndarray) -> np.ndarray:
-    """Bits of all slices in a row, without the padding."""
-    parts = [masks[s][: cut[s + 1] - cut[s]] for s in range(len(cut) - 1) if cut[s + 1] > cut[s]]
+def _flags(masks: dict[int, np.ndarray], parts: list[tuple[int, int, int]]) -> np.ndarray:
+    """Bits of the slices in a row, without the padding."""
+    parts = [masks[s][:end - begin] for s, begin, end in parts]
     return np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
 
 
@@ -196,14 +224,11 @@ def _sketch(window: int, slices: int, per_slice: int):
         block = Block(table, window)
         cells, inverse = block.cells(slices, per_slice)
         several = np.bincount(inverse, minlength=len(cells)) > 1
-        cut, rows = _cut(cells, slices, per_slice), []
-        for s in range(slices):
-            part = slice(cut[s], cut[s + 1])
-            if cut[s + 1] > cut[s]:
-                local = cells[part] - np.uint64(s * per_slice)
-                rows.append((s, key[0].as_py(), pack(local), np.packbits(several[part]).tobytes(),
-                             None))
-        return _rows(SENT, rows)
+        return _rows(SENT, [
+            (s, key[0].as_py(), pack(cells[begin:end] - np.uint64(s * per_slice)),
+             np.packbits(several[begin:end]).tobytes(), None)
+            for s, begin, end in _cell_parts(cells, per_slice)
+        ])
 
     return sketch
 
@@ -233,28 +258,20 @@ def _entries(window: int, slices: int, per_slice: int):
             return _rows(SENT, [])
         block = Block(docs, window)
         kept = _suspects(block, bits, slices, per_slice)
-        first, _ = block.entries(kept)
-        cut, rows = _digest_cut(block.high[first], slices), []
-        for s in range(slices):
-            if cut[s + 1] > cut[s]:
-                part = first[cut[s]:cut[s + 1]]
-                places = np.stack([block.ids[block.doc[part]], block.place(part)])
-                rows.append((s, key[0].as_py(), block.high[part].tobytes(),
-                             block.low[part].tobytes(), places.tobytes()))
-        return _rows(SENT, rows)
+        first, digests, _ = block.entries(kept)
+        places = np.stack([block.ids[block.doc[first]], block.place(first)])
+        return _rows(SENT, [
+            (s, key[0].as_py(), digests[0, begin:end].tobytes(), digests[1, begin:end].tobytes(),
+             np.ascontiguousarray(places[:, begin:end]).tobytes())
+            for s, begin, end in _digest_parts(digests[0], slices)
+        ])
 
     return entries
 
 
-def _digest_cut(high: np.ndarray, slices: int) -> np.ndarray:
-    """Where each slice begins in ascending digests: slices are ranges of them."""
-    edges = [min(s * -(-(1 << 64) // slices), (1 << 64) - 1) for s in range(slices)]
-    return np.append(np.searchsorted(high, np.array(edges, np.uint64)), len(high))
-
-
 def _suspects(block: Block, bits: pa.Table, slices: int, per_slice: int) -> np.ndarray:
     cells, inverse = block.cells(slices, per_slice)
-    flags = _flags(_masks(bits, 1, slices), _cut(cells, slices, per_slice))
+    flags = _flags(_masks(bits, 1), _cell_parts(cells, per_slice))
     return np.flatnonzero(flags[inverse]) if len(inverse) else np.empty(0, np.int64)
 
 
@@ -287,8 +304,8 @@ def _removed(window: int, slices: int, per_slice: int, texts: bool):
                              else pa.array([], t) for c, t in OUT.items()})
         block = Block(docs, window)
         kept = _suspects(block, bits, slices, per_slice)
-        first, entry = block.entries(kept)
-        leads = _flags(_masks(bits, 2, slices), _digest_cut(block.high[first], slices))
+        first, digests, entry = block.entries(kept)
+        leads = _flags(_masks(bits, 2), _digest_parts(digests[0], slices))
         # A window stays if its entry is first and it begins at the very place of the entry.
         own = first[entry[kept]]
         stays = leads[entry[kept]] & (block.ids[block.doc[kept]] == block.ids[block.doc[own]]) & (
@@ -326,7 +343,7 @@ OUT = {"id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(),
 
 def substring_dedup(
     docs: DataFrame, window: int = WINDOW, texts: bool = True, id_column: str = "doc_id",
-    text_column: str = "text", block_bytes: int = BLOCK_BYTES, slice_windows: int = SLICE_WINDOWS,
+    text_column: str = "text", block_bytes: int | None = None, slice_windows: int | None = None,
 ) -> DataFrame:
     """One row per input row: the id, ``n_words``, ``n_removed``, ``kept_sha256`` and, with ``texts``,
     ``kept_text`` (the words left, joined by one space).
@@ -336,9 +353,15 @@ def substring_dedup(
     input. Rows that repeat an id are documents that begin together: of windows at the same place of
     the same id none is earlier. A null id is smaller than any other; ids are whole numbers. A null
     text has no words. Other columns are not read; an empty table gives an empty result.
+
+    ``block_bytes`` and ``slice_windows`` follow the size of the input where they are not given; a task
+    holds some twenty times the bytes of a block.
     """
     content = F.coalesce(F.col(text_column), F.lit(""))
     size, rows = docs.agg(F.sum(F.octet_length(content)), F.count("*")).first()
+    growth = max(1.0, (size or 0) / USUAL_BYTES) ** 0.5
+    block_bytes = block_bytes or int(min(BLOCK_BYTES[0] * growth, BLOCK_BYTES[1]))
+    slice_windows = slice_windows or int(min(SLICE_WINDOWS[0] * growth, SLICE_WINDOWS[1]))
     blocks = max(1, -(-(size or 0) // block_bytes))
     slices = max(1, -(-(size or 0) // (4 * slice_windows)))  # a word and its space: four bytes or so
     per_slice = CELLS * slice_windows
