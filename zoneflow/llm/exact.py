@@ -2,7 +2,8 @@
 
 Rows are grouped three times by (digest, content): inside each task before the shuffle, per salt,
 and over the salts. The content itself is part of every key, so equal digests alone never join two
-texts. A text that a third of all rows share meets in one task only as one row per salt.
+texts. A text that a third of all rows share meets in one task only as one row, without its ids, per
+task that grouped its salts; what came out goes back to the ids of each salt, which Spark can spread.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ def exact_dedup(
     # About rows_per_salt ids at most in an array: a salt holds its share of the largest group.
     salted = rows.groupBy("digest", "salt", "content").agg(
         F.sort_array(F.collect_list(F.struct("id")), asc=False).alias("ids")
-    )
-    group = W.partitionBy("digest", "content")
-    combined = salted.select(
-        "ids", "digest",
-        F.max(F.col("ids")[0]["id"]).over(group).alias("keep_id"),
-        F.sum(F.size("ids").cast("long")).over(group).alias("group_size"),
-    )
-    members = combined.select("digest", "keep_id", "group_size", F.posexplode("ids"))
+    ).withColumn("name", F.struct("digest", F.xxhash64("content"), F.length("content")))
+    # Winners of the salts meet without the other ids, first in the task that has several of them.
+    winners = salted.groupBy("name", "content").agg(
+        F.max(F.col("ids")[0]["id"]).alias("keep_id"),
+        F.sum(F.size("ids").cast("long")).alias("group_size"),
+    ).drop("content")
+    members = salted.select("name", "ids").join(winners, "name").select(
+        "name.digest", "keep_id", "group_size", F.posexplode("ids"))
     return members.select(
         F.col("col.id").alias(id_column), "keep_id", "group_size",
         ((F.col("pos") == 0) & F.col("col.id").eqNullSafe(F.col("keep_id"))).alias("kept"),
