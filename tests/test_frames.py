@@ -179,3 +179,30 @@ def test_density_is_the_track_count_in_sparse_frames(spark):
     spine = frames_df(spark, 1, [1]).withColumn("density_count", F.lit(40))
     row = frames.frame_metrics(tracks_df(spark, [(1, 1, 1, 10, 10)]), spine).first()
     assert (row.density_count, row.base_count) == (1, 1)
+
+
+def test_latest_metrics_are_those_of_the_last_frames(spark):
+    """The short way to current results gives what the whole way does, whatever the spans."""
+    rows, spine = [], []
+    for camera in (1, 2, 3):
+        for f in range(1, 90):
+            if camera == 3 and f > 5 or f % 11 == 0:
+                continue
+            spine.append((camera, f, f * 100, 1280, 720, (f * 7) % 40 if f % 3 else None))
+            for t in range((f * camera) % 19):
+                x, y = (t * 97 + f * 13) % 1200, (t * 53 + f * (t % 5)) % 640
+                rows.append((camera, f, t, x, y, 40, 80, x + 20, y + 40))
+    tracks = spark.createDataFrame(
+        rows, "camera_id long, frame_id long, track_id long, x int, y int, w int, h int, cx int, cy int")
+    frame_table = spark.createDataFrame(
+        spine, "camera_id long, frame_id long, ts_ms long, width int, height int, density_count long")
+    for span in (16, 40, 512):
+        params = Params(frames_per_span=span)
+        whole = frames.latest_per_camera(frames.frame_metrics(tracks, frame_table, params, boxes=False))
+        short = frames.latest_metrics(tracks, frame_table, params)
+        assert sorted(short.columns) == sorted(whole.columns)
+        columns = [c for c in whole.columns if c != "smoothed_movement"]
+        got = {r["camera_id"]: r for r in short.collect()}
+        for r in whole.collect():
+            assert [got[r["camera_id"]][c] for c in columns] == [r[c] for c in columns]
+            assert abs(got[r["camera_id"]]["smoothed_movement"] - r["smoothed_movement"]) < 1e-12

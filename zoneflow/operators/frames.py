@@ -430,6 +430,53 @@ def latest_per_camera(metrics: DataFrame, keys: Sequence[str] = CAMERA) -> DataF
     return latest_by(metrics, keys, "frame_id")
 
 
+def latest_metrics(
+    tracks: DataFrame, frames: DataFrame, params: Params = DEFAULTS, keys: Sequence[str] = CAMERA,
+    forecast: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """The last result of every camera: ``latest_per_camera`` of ``frame_metrics`` without the boxes.
+
+    Nothing is built for frames before the last few: a span gives its sums, its last frame and the
+    numbers of its last few, and a camera puts the last of its spans together.
+    """
+    counts = frame_counts(tracks, frames, params, keys, boxes=False)
+    reach = max(params.movement_history, params.count_history, 2)
+    density = F.col("density_count") if "density_count" in counts.columns else F.lit(None)
+    base = base_count(F.col("current_count"), density.cast("long"), params)
+    said = F.struct("frame_id", F.col("current_count").alias("n"), F.col("movement").alias("move"), base.alias("base"))
+    sums = ("entries", "exits", "first_seen")
+
+    def last(rows: Column, n: int) -> Column:
+        return F.slice(rows, F.greatest(F.size(rows) - (n - 1), F.lit(1)), n)
+
+    spans = counts.groupBy(*keys, SPAN).agg(
+        last(F.sort_array(F.collect_list(said)), reach).alias("rows"),
+        F.max_by(F.struct(*[c for c in counts.columns if c != SPAN]), "frame_id").alias("doc"),
+        *[F.sum(c).alias(f"_{c}") for c in sums],
+    )
+    # Every span has a frame, so as many spans hold the last frames.
+    newest = W.partitionBy(*keys).orderBy(F.desc(SPAN))
+    whole = W.partitionBy(*keys)
+    near = spans.select(
+        *keys, SPAN, "rows", "doc", F.row_number().over(newest).alias("_nth"),
+        *[F.sum(f"_{c}").over(whole).alias(f"_{c}") for c in sums],
+    ).filter(F.col("_nth") <= reach)
+    ends = near.groupBy(*keys).agg(
+        last(F.sort_array(F.flatten(F.collect_list("rows"))), reach).alias("rows"),
+        F.max_by("doc", SPAN).alias("doc"), *[F.first(f"_{c}").alias(f"_{c}") for c in sums],
+    )
+    moves = last(F.col("rows.move"), params.movement_history)
+    history = ends.select(
+        "doc.*", F.element_at("rows", -1)["base"].alias("base_count"),
+        F.col("_entries").alias("line_entry"), F.col("_exits").alias("line_exit"),
+        F.col("_first_seen").alias("total_count"),
+        (F.aggregate(moves, F.lit(0.0), lambda total, m: total + m) / F.size(moves)).alias("smoothed_movement"),
+        last(F.col("rows.base"), params.count_history).alias("count_history"),
+        F.coalesce(F.try_element_at("rows", F.lit(-2))["n"], F.lit(0).cast("long")).alias("last_count"),
+    )
+    return with_results(history, params, forecast)
+
+
 def last_result(
     metrics: DataFrame, sources: DataFrame, keys: Sequence[str] = ("job_id",)
 ) -> DataFrame:

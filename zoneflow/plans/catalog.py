@@ -55,7 +55,7 @@ def _metrics(d: Derived) -> DataFrame:
 
 
 def _current_cameras(d: Derived) -> DataFrame:
-    latest = frames.latest_per_camera(_metrics(d)).select(
+    latest = frames.latest_metrics(d.tracks(), d.frames(), SHORT).select(
         "camera_id", "frame_id", "current_count", "total_count", "congestion_score", "risk_score",
         "risk",
     )
