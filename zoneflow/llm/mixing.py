@@ -20,6 +20,7 @@ from zoneflow.session import materialize, release
 
 SEPARATORS = r" \t\n\x0B\f\r"
 ROWS_PER_SLOT = 1_000
+SOURCES_PER_RANGE = 10_000
 PHASES = 16
 MAX_STEPS = 80
 TOLERANCE = 1e-9
@@ -37,32 +38,47 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...], cap: float) -> Data
     """``target`` per source: shares of the total by weight, none above ``cap`` times its size.
 
     ``sources`` has one row per source (``source``, ``source_size``). Weights repeat along the
-    sources in the order of their code points, null last. The one ordered window runs over one row
-    per source.
+    sources in the order of their code points, null last. Sources are numbered and added up by ranges
+    of them; one ordered window runs over one row per range.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    nth = F.row_number().over(order) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), nth % len(weights) + 1)
-    weighed = sources.withColumn("weight", weight)
-    room = F.lit(float(cap)) * F.col("source_size")
-    ratio = W.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = ratio.rowsBetween(W.unboundedPreceding, -1)
-    after = ratio.rowsBetween(W.currentRow, W.unboundedFollowing)
-    everywhere = ratio.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    level = (
-        (F.sum("source_size").over(everywhere) - F.coalesce(F.sum("room").over(before), F.lit(0.0)))
-        / F.sum("weight").over(after)
-    )
+    by_name = _ranges(sources, F.col("source").asc_nulls_last())
+    inside = W.partitionBy("range").orderBy(F.col("source").asc_nulls_last())
+    counts = _before(by_name.groupBy("range").agg(F.count("*").alias("n")), {"n": "before"})
+    nth = F.row_number().over(inside) - 1 + F.col("before")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int"))
+    weighed = by_name.join(counts.select("range", "before"), "range").withColumn("weight", weight).drop(
+        "range", "before").withColumn("room", F.lit(float(cap)) * F.col("source_size")).withColumn(
+        "ratio", F.col("room") / F.col("weight"))
     # Sources fill up in the order of room per weight; the level is final at the first that does not.
+    order = [F.col("ratio").asc(), F.col("source").asc_nulls_last()]
+    by_ratio = _ranges(weighed, *order)
+    words, weight_sum = by_ratio.agg(F.sum("source_size"), F.sum("weight")).first()
+    sums = _before(by_ratio.groupBy("range").agg(F.sum("room").alias("room"), F.sum("weight").alias("weight")),
+                   {"room": "room_before", "weight": "weight_before"})
+    ahead = W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    run = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0.0)) + F.col(f"{c}_before")
+    leveled = by_ratio.join(sums.select("range", "room_before", "weight_before"), "range").withColumn(
+        "level", (F.lit(float(words or 0)) - run("room")) / (F.lit(float(weight_sum or 0)) - run("weight")))
     place = F.struct("ratio", F.isnull("source").alias("last"), "source", "level")
-    unfilled = F.when(F.col("ratio") >= F.col("level"), place)
-    levels = (
-        weighed.withColumn("room", room).withColumn("ratio", F.col("room") / F.col("weight"))
-        .withColumn("level", level)
-        .withColumn("level", F.min(unfilled).over(everywhere)["level"])
-    )
-    target = F.least(F.col("room"), F.coalesce(F.col("weight") * F.col("level"), F.col("room")))
-    return levels.withColumn("target", target).drop("weight", "room", "ratio", "level")
+    final = leveled.filter(F.col("ratio") >= F.col("level")).agg(F.min(place).alias("first")).first()["first"]
+    level = F.lit(float(final["level"])) if final is not None else F.lit(None).cast("double")
+    target = F.least(F.col("room"), F.coalesce(F.col("weight") * level, F.col("room")))
+    return weighed.withColumn("target", target).drop("weight", "room", "ratio")
+
+
+def _ranges(rows: DataFrame, *order: Column) -> DataFrame:
+    """A written table of ``rows`` with ``range``: ascending ranges of the order, of bounded size."""
+    parts = max(1, -(-rows.count() // SOURCES_PER_RANGE))
+    dealt = rows.repartitionByRange(parts, *order) if parts > 1 else rows.coalesce(1)
+    return materialize(dealt.withColumn("range", F.spark_partition_id()))
+
+
+def _before(totals: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Sums over the ranges before each; one row per range."""
+    ahead = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    return totals.select("*", *[
+        F.coalesce(F.sum(c).over(ahead), F.lit(0).cast(totals.schema[c].dataType)).alias(name)
+        for c, name in names.items()])
 
 
 def _rate(cap: float) -> Column:
@@ -170,27 +186,35 @@ def repeat_documents(
     id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
 ) -> DataFrame:
     """The rows of ``docs``, each as often as ``mix_sources`` has copies of it, all columns as they
-    were."""
+    were.
+
+    Null texts and sources, empty texts and ties are treated as there. Rows equal in all columns are
+    one row with the copies of all; of rows that differ but have one id, text and source, any may be
+    the ones with a copy more. Columns may have any names; an empty table gives an empty one.
+    """
     mixed = mix_sources(
         docs, weights, cap, id_column, text_column, source_column, keep_place=True
-    ).select(
-        F.col(id_column).alias("_id"), F.col("place").alias("_place"),
-        F.col("copies").cast("int").alias("_copies"),
-    )
-    same = W.partitionBy("_id", "_place").orderBy("_copies")
-    mixed = mixed.withColumn("_copy", F.row_number().over(same))
-    same_docs = W.partitionBy("_id", "_place").orderBy(F.lit(1))
+    ).groupBy(F.col(id_column).alias("id"), "place").agg(
+        F.min("copies").alias("base"), (F.sum("copies") - F.count("*") * F.min("copies")).alias("more"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(
-        "*", F.col(id_column).alias("_id"),
-        _place(id_column, text_column, source_column).alias("_place"),
-    ).withColumn("_copy", F.row_number().over(same_docs))
+        whole.alias("row"), F.col(id_column).alias("id"), _place(id_column, text_column, source_column),
+        F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in docs.columns]).alias("own"),
+    ).groupBy("id", "place", "own").agg(F.first("row").alias("row"), F.count("*").alias("same"))
+    rows = materialize(rows)
+    # Numbers go along the different rows of one id and text, without the rows themselves.
+    before = W.partitionBy("id", "place").orderBy("own").rowsBetween(W.unboundedPreceding, -1)
+    numbered = rows.select("id", "place", "own", "same").withColumn(
+        "begin", F.coalesce(F.sum("same").over(before), F.lit(0)))
+    counted = numbered.alias("n").join(
+        mixed.alias("m"), F.expr("n.id <=> m.id and n.place = m.place")
+    ).select("n.id", "n.place", "n.own", (F.col("same") * F.col("base") + F.greatest(
+        F.lit(0), F.least(F.col("same"), F.col("more") - F.col("begin")))).cast("int").alias("copies"))
     joined = rows.alias("r").join(
-        mixed.alias("m"), F.expr("r._id <=> m._id and r._place = m._place and r._copy = m._copy")
-    )
+        counted.filter("copies > 0").alias("c"),
+        F.expr("r.id <=> c.id and r.place = c.place and r.own = c.own"))
     return joined.select(
-        *[F.col(f"r.`{c}`") for c in docs.columns],
-        F.explode(F.array_repeat(F.lit(1), F.col("m._copies"))).alias("_again"),
-    ).drop("_again")
+        "r.row", F.explode(F.array_repeat(F.lit(1), F.col("c.copies"))).alias("again")).select("row.*")
 
 
 def _rounded(
