@@ -4,7 +4,10 @@ columns with clashing names."""
 import random
 
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, digest string, "
-          "key string, size int, shard int, hub string, score double, place long")
+          "key string, size int, shard int, hub string, score double, place long, _digest string, "
+          "_repeat int, _id long, _copy int, _place int, _hit string, row string, id string, "
+          "copies int, own string, hit string, items string, `a.b` string")
+OWN = ("dig", 7, 70, 8, 80, "hit", "row", "id", 9, "own", "h", "it", "dot")  # clash with names inside
 
 
 def rows(seed=1):
@@ -22,7 +25,7 @@ def rows(seed=1):
     out = []
     for i, t in enumerate(texts):
         out.append((i * 3 % 40, t, rng.choice(["en", None]), rng.choice(["a", "b", "Z", None, ""]),
-                    None, "clash", None, 7, 1, "h", 0.5, 3))
+                    None, "clash", None, 7, 1, "h", 0.5, 3, *OWN))
     out += [out[9], out[9], out[24], (None, base[5], None, None, None) + out[0][5:],
             (None, "only here", None, "a", None) + out[0][5:], (None, None, None, None, None) + out[0][5:]]
     return out

@@ -82,16 +82,17 @@ def text_hits(
     ).withColumn("words", _words(F.col("lowered"))).filter(F.size("words") > 0)
     grams = items.select(
         "item", F.inline(_windows(F.col("words"), F.least(F.lit(window), F.size("words"))))
-    ).groupBy("window").agg(F.first("length").alias("gram_length"),
-                            F.collect_set("item").alias("items"))
-    lengths = sorted(r[0] for r in grams.select("gram_length").distinct().collect())  # 1 to window
+    ).select("item", "window", F.col("length").alias("gram_length")).distinct()
+    grams = materialize(grams)
+    windows = grams.select("window", "gram_length").distinct()
+    lengths = sorted(r[0] for r in windows.select("gram_length").distinct().collect())  # 1 to window
     block = {n: (n + 1) // 2 for n in lengths}
 
     loose = F.split(_loosely_lowered(F.col("window")), " ")
     anchors = [
-        grams.filter(F.col("gram_length") == n).select(F.explode(_pieces(loose, block[n], 1)).alias("piece"))
+        windows.filter(F.col("gram_length") == n).select(F.explode(_pieces(loose, block[n], 1)).alias("piece"))
         for n in lengths
-    ] or [grams.select(F.lit(0).cast("long").alias("piece")).limit(0)]
+    ] or [windows.select(F.lit(0).cast("long").alias("piece")).limit(0)]
     pieces = anchors[0]
     for more in anchors[1:]:
         pieces = pieces.union(more)
@@ -111,17 +112,19 @@ def text_hits(
         F.sha2("content", 256).alias("digest"), "content"
     ).dropDuplicates(["digest"]).withColumn("words", _words(_lowered(F.col("content"))))
     none = F.array().cast("array<struct<start:int,length:int,window:string>>")
-    found = suspects.select(
+    found = materialize(suspects.select(
         "digest", F.inline(F.concat(none, *[_windows(F.col("words"), n) for n in lengths]))
-    ).join(grams, "window")
+    ).join(windows.select("window"), "window"))
     places = F.flatten(F.transform(
         F.collect_set(F.struct("start", "length")),
         lambda s: F.sequence(s["start"], s["start"] + s["length"] - 1),
     ))
-    return found.groupBy("digest").agg(
-        F.array_sort(F.array_distinct(places)).alias("hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    hit = found.groupBy("digest").agg(F.array_sort(F.array_distinct(places)).alias("hit"))
+    # An item counts once per text, however many of its windows the text has.
+    held = found.select("digest", "window").distinct().join(grams.select("window", "item"), "window")
+    items = held.select("digest", "item").distinct().groupBy("digest").agg(
+        F.array_sort(F.collect_list("item")).alias("items"))
+    return hit.join(items, "digest")
 
 
 def contamination(
@@ -156,24 +159,27 @@ def decontaminate(
     item_column: str = "item_id", item_text_column: str = "text", window: int = WINDOW,
 ) -> DataFrame:
     """``docs``, all columns as they were, without the rows that hold a window (``documents``) or
-    without the hit words, each with what stands between it and the word before (``spans``)."""
+    without the hit words, each with what stands between it and the word before (``spans``).
+
+    Null and wordless texts hold no window and stay as they are; rows that repeat are judged alike.
+    Columns may have any names. An empty table gives an empty one, an empty benchmark changes nothing.
+    """
     hits = materialize(
-        text_hits(docs, benchmark, text_column, item_column, item_text_column, window).select(
-            F.col("digest").alias("_digest"), F.col("hit").alias("_hit")
-        )
+        text_hits(docs, benchmark, text_column, item_column, item_text_column, window).select("digest", "hit")
     )
-    keyed = docs.withColumn("_digest", F.sha2(_text(text_column), 256))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+                        F.sha2(_text(text_column), 256).alias("digest"))
     if remove == "documents":
-        return keyed.join(hits.select("_digest"), "_digest", "left_anti").select(*docs.columns)
+        return keyed.join(hits.select("digest"), "digest", "left_anti").select("row.*")
     if remove != "spans":
         raise ValueError(f"remove is documents or spans, not {remove!r}")
+    text = F.col(f"row.`{text_column}`")
     upper_other = OTHER.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")  # the text as it is has A-Z
-    chunks = F.regexp_extract_all(
-        F.col(text_column), F.lit(f"[{upper_other}]*+[^{upper_other}]++"), F.lit(0)
-    )
+    chunks = F.regexp_extract_all(text, F.lit(f"[{upper_other}]*+[^{upper_other}]++"), F.lit(0))
     # Places are marked in a row as long as the words, so a long text takes one pass.
-    left = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("_hit"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(chunks) - 1), F.col("hit"))
     kept = F.array_join(F.transform(left, lambda i: F.element_at(chunks, i + 1)), "")
-    tail = F.regexp_extract(F.col(text_column), rf"[{upper_other}]*+\z", 0)
-    cut = F.when(F.col("_hit").isNull(), F.col(text_column)).otherwise(F.concat(kept, tail))
-    return keyed.join(hits, "_digest", "left").withColumn(text_column, cut).select(*docs.columns)
+    tail = F.regexp_extract(text, rf"[{upper_other}]*+\z", 0)
+    cut = F.when(F.col("hit").isNull(), text).otherwise(F.concat(kept, tail))
+    return keyed.join(hits, "digest", "left").select(*[
+        (cut if c == text_column else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
