@@ -13,6 +13,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zoneflow.session import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX_HEX = 8  # hexadecimal digits of the short digest
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -118,7 +120,8 @@ def url_filter(
 
     Repeated rows stay; ids may be null; other columns are not read.
     """
-    verdicts = url_verdicts(pages, rules, url_column, default)
+    # A written table: Spark can then split an address that many pages share when it joins.
+    verdicts = materialize(url_verdicts(pages, rules, url_column, default))
     return pages.select(
         F.col(id_column), url_host(F.col(url_column)).alias("host"),
         url_path(F.col(url_column)).alias("path"),
