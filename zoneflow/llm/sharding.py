@@ -2,14 +2,14 @@
 
 Documents are linked through hubs: here the digest of their text, so that copies are neighbours. Hubs
 larger than a shard fill whole shards first. Every other document begins in a shard that its id names.
-In each round a hub votes for the shard that holds most of its members; members elsewhere ask to move
-there, and a quota per shard and lot of the free capacity decides how many may. Links cut become fewer
-while no shard passes its capacity. Hubs that are still cut, for instance as every shard is full, are
-laid side by side over the room that whole hubs leave. In the end documents without links, which may
-go anywhere, level the counts to at most one apart.
+In each round a hub votes for the shard that holds most of its members, and members elsewhere ask to
+move there. How many may is settled for each pair of shards: full shards swap as many as both have for
+each other, and spare room is shared among the others. Rounds go on while they lower
+the number of cut links. Hubs that are still cut are laid side by side over the room that whole hubs
+leave. In the end documents without links, which may go anywhere, level the counts to at most one apart.
 
 Nothing is ordered or numbered in one task: ranks are taken inside lots of a bounded number of rows,
-and lots are added up in a table with a row per shard and lot.
+and lots are added up by groups of lots. What comes to the driver is a number per pair of shards.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from zoneflow.session import materialize, release
 
-ROUNDS = 4
+LEAST_GAIN = 0.01  # share of the cut links a round has to join for another one to follow
 ROWS_PER_LOT = 2_000
+LOTS_PER_GROUP = 1_000
 
 
 def _text(name: str) -> Column:
@@ -31,8 +32,8 @@ def _text(name: str) -> Column:
 
 
 def shard_documents(
-    docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, id_column: str = "doc_id",
-    text_column: str = "text", rows_per_lot: int = ROWS_PER_LOT,
+    docs: DataFrame, shards: int = 40, id_column: str = "doc_id", text_column: str = "text",
+    rows_per_lot: int = ROWS_PER_LOT,
 ) -> DataFrame:
     """One row per input row: the id, ``size`` (bytes of the text and 16), ``text_crc32``, ``law``
     (``rows``: counts are at most one apart), ``shard`` and ``slot`` (from 0 without gaps in each
@@ -49,7 +50,7 @@ def shard_documents(
         F.sha2(_text(text_column), 256).alias("hub"),
     ).select("*", F.xxhash64("id", "hub").alias("place"))
     rows = materialize(rows)
-    placed, total = propagate(rows, shards, rounds, rows_per_lot)
+    placed, total = propagate(rows, shards, rows_per_lot)
     slotted = _ranked(placed, ["shard"], -(-total // (shards * rows_per_lot)))
     slotted = slotted.withColumnRenamed("rank", "slot")
     return slotted.select(
@@ -67,10 +68,11 @@ def cut_links(placed: DataFrame) -> DataFrame:
 
 
 def propagate(
-    rows: DataFrame, shards: int, rounds: int = ROUNDS, rows_per_lot: int = ROWS_PER_LOT
+    rows: DataFrame, shards: int, rows_per_lot: int = ROWS_PER_LOT, phases: dict[str, int] | None = None
 ) -> tuple[DataFrame, int]:
     """``rows`` (id, hub, place, ...) with ``shard``, and their number; shards differ by one row at
-    most. Rounds end when no hub calls a member, after ``rounds`` at the latest."""
+    most. Rounds end when one joins less than ``LEAST_GAIN`` of the cut links. ``phases`` receives the
+    links cut at the beginning, after the rounds, and in the end, and the number of rounds."""
     total = rows.count()
     capacity, extra = divmod(total, shards)
     linked_hubs = rows.groupBy("hub").agg(F.count("*").alias("members")).filter("members > 1")
@@ -84,19 +86,26 @@ def propagate(
     at = F.pmod(F.col("place"), F.lit(max(1, sum(room))))
     begin = _shard_at(_ends(room), at).alias("shard")
     linked = materialize(rows.join(small_hubs, "hub", "left_semi").select("*", begin))
-    for _ in range(rounds):
+    rounds, before = 0, None
+    while True:
         asked = materialize(_asked(linked))
-        calls = _counts(asked.filter("shard <> goal"), "goal")
-        if not calls:
+        calls = {(r["shard"], r["goal"]): r["count"] for r in
+                 asked.filter("shard <> goal").groupBy("shard", "goal").count().collect()}
+        cut = sum(calls.values())
+        if phases is not None:
+            phases.setdefault("begin", cut)
+            phases["rounds"], phases["propagated"] = rounds, cut
+        if not cut or before is not None and before - cut < LEAST_GAIN * before:
             release(asked)
             break
         there = _counts(asked, "shard")
-        spare = [max(0, n - there.get(s, 0)) for s, n in enumerate(room)]
-        lots = [-(-calls.get(s, 0) // rows_per_lot) for s in range(shards)]
-        moved = materialize(_moved(asked, spare, lots))
+        granted = settled(calls, [n - there.get(s, 0) for s, n in enumerate(room)])
+        moved = materialize(_moved(asked, granted, calls, shards, rows_per_lot))
         release(linked, asked)
-        linked = moved
+        linked, before, rounds = moved, cut, rounds + 1
     kept = materialize(_packed(linked, room, total, rows_per_lot))
+    if phases is not None:
+        phases["packed"] = cut_links(kept).first()["cut"]
     held = _counts(kept, "shard")
     ends = _ends([n - held.get(s, 0) for s, n in enumerate(room)])
     free = rows.join(linked_hubs, "hub", "left_anti")
@@ -107,6 +116,25 @@ def propagate(
     return placed if filled is None else placed.unionByName(filled), total
 
 
+def settled(calls: dict[tuple[int, int], int], spare: list[int]) -> dict[tuple[int, int], int]:
+    """How many of the members that ask to go from one shard to another may.
+
+    Two shards swap as many as both have for each other. What is left may go where there is ``spare``
+    room (negative: too many rows), each origin by its share. So no shard that has room gets too full,
+    and none that is full gets fuller.
+    """
+    swapped = {(a, b): min(n, calls.get((b, a), 0)) for (a, b), n in calls.items()}
+    rest = {pair: n - swapped[pair] for pair, n in calls.items()}
+    coming: dict[int, int] = {}
+    for (_, b), n in rest.items():
+        coming[b] = coming.get(b, 0) + n
+    granted = {}
+    for (a, b), n in rest.items():
+        limit = max(0, spare[b])
+        granted[a, b] = swapped[a, b] + (n if coming[b] <= limit else n * limit // coming[b])
+    return {pair: n for pair, n in granted.items() if n}
+
+
 def _ends(room: list[int]) -> list[int]:
     """Where the room of each shard ends when that of all is laid in a row."""
     return list(accumulate(room))
@@ -186,9 +214,7 @@ def _in_pieces(
 def _offsets(hubs: DataFrame, keys: list[str], lots: int) -> DataFrame:
     """``offset``: members of the hubs before, in each key and a fixed order, by way of lots."""
     dealt = hubs.withColumn("lot", F.pmod(F.xxhash64("hub"), F.lit(max(1, lots))))
-    counts = dealt.groupBy(*keys, "lot").agg(F.sum("members").alias("n"))
-    before = W.partitionBy(*keys).orderBy("lot").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    counts = _before(dealt.groupBy(*keys, "lot").agg(F.sum("members").alias("n")), keys)
     in_lot = W.partitionBy(*keys, "lot").orderBy("hub").rowsBetween(W.unboundedPreceding, -1)
     run = dealt.withColumn("in_lot", F.coalesce(F.sum("members").over(in_lot), F.lit(0)))
     return run.join(counts, [*keys, "lot"]).withColumn(
@@ -211,24 +237,29 @@ def _asked(linked: DataFrame) -> DataFrame:
     return linked.join(called, "hub")
 
 
-def _moved(asked: DataFrame, room: list[int], lots: list[int]) -> DataFrame:
-    """One round: members move to the goal of their hub as far as there is room.
+def _moved(
+    asked: DataFrame, granted: dict[tuple[int, int], int], calls: dict[tuple[int, int], int], shards: int,
+    rows_per_lot: int,
+) -> DataFrame:
+    """One round: of the members of each pair of shards as many move as were granted.
 
-    Movers to a shard are dealt into lots, and each lot may move its part of the room there, those
-    with the strongest pull first. ``room`` and ``lots`` have one number per shard.
+    Those that ask are dealt into lots, and each lot may move its part, those with the strongest pull
+    first.
     """
     columns = [c for c in asked.columns if c not in ("goal", "pull")]
 
-    def of_goal(numbers: list[int]) -> Column:
-        return F.element_at(F.array(*[F.lit(n).cast("long") for n in numbers]), F.col("goal") + 1)
+    def of_pair(numbers: dict[tuple[int, int], int]) -> Column:
+        listed = F.array(*[F.lit(numbers.get((a, b), 0)).cast("long") for a in range(shards) for b in range(shards)])
+        return F.element_at(listed, F.col("shard") * shards + F.col("goal") + 1)
 
-    dealt = asked.filter("shard <> goal").withColumn("room", of_goal(room)).withColumn(
-        "lots", of_goal(lots)
+    lots = {pair: -(-n // rows_per_lot) for pair, n in calls.items()}
+    dealt = asked.filter("shard <> goal").withColumn("room", of_pair(granted)).withColumn(
+        "lots", of_pair(lots)
     ).withColumn("lot", F.pmod(F.xxhash64("place"), F.col("lots")))
     quota = F.floor(F.col("room") / F.col("lots")) + (
         F.col("lot") < F.col("room") % F.col("lots")
     ).cast("long")
-    in_lot = W.partitionBy("goal", "lot").orderBy(F.desc("pull"), "hub", "place", "id")
+    in_lot = W.partitionBy("shard", "goal", "lot").orderBy(F.desc("pull"), "hub", "place", "id")
     moved = dealt.withColumn("quota", quota).withColumn("rank", F.row_number().over(in_lot))
     shard = F.when(F.col("rank") <= F.col("quota"), F.col("goal")).otherwise(F.col("shard"))
     return asked.filter("shard = goal").select(*columns).unionByName(
@@ -239,11 +270,22 @@ def _moved(asked: DataFrame, room: list[int], lots: list[int]) -> DataFrame:
 def _ranked(rows: DataFrame, keys: list[str], lots: int) -> DataFrame:
     """``rank`` from 0 without gaps in each key, in a fixed order, by way of ``lots`` lots a key."""
     dealt = rows.withColumn("lot", F.pmod(F.col("place"), F.lit(max(1, lots))))
-    counts = dealt.groupBy(*keys, "lot").agg(F.count("*").alias("n"))
-    before = W.partitionBy(*keys).orderBy("lot").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    counts = _before(dealt.groupBy(*keys, "lot").agg(F.count("*").alias("n")), keys)
     in_lot = W.partitionBy(*keys, "lot").orderBy("place", "id", "hub")
     ranked = dealt.withColumn("in_lot", F.row_number().over(in_lot) - 1).join(counts, [*keys, "lot"])
     return ranked.withColumn("rank", F.col("before") + F.col("in_lot")).drop(
         "lot", "before", "in_lot"
     )
+
+
+def _before(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lot, before): what the lots before each hold, by way of groups of lots."""
+    group = F.floor(F.col("lot") / LOTS_PER_GROUP).alias("group")
+    counts = counts.select("*", group)
+    ahead = lambda *by: F.coalesce(F.sum("n").over(
+        W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy(*keys, "group").agg(F.sum("n").alias("n")).select(
+        *keys, "group", ahead(*keys, "group").alias("groups_before"))
+    inside = counts.withColumn("inside", ahead(*keys, "group", "lot"))
+    return inside.join(groups, [*keys, "group"]).select(
+        *keys, "lot", (F.col("inside") + F.col("groups_before")).alias("before"))
