@@ -282,4 +282,6 @@ def drop_toxic(
             keep = [scorer.score(t.as_py() or "") < threshold for t in batch.column(place)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    # Columns go by place, as a name may hold a dot.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.mapInArrow(clean, plain.schema).toDF(*docs.columns)
