@@ -1,8 +1,9 @@
 """Keyed state that handles the rows of a key in the order of their times.
 
 Rows are held until the watermark has passed them, so rows of one key may come in any order and in any
-micro-batch within the delay. They are held by short stretches of time; a timer reads the stretches the
-watermark has passed and no others. A row that comes later than the delay, or after its key has gone
+micro-batch within the delay. They are held in chunks: those of the last delay by short stretches of time,
+older ones, which the next watermark passes together, by some hundred rows. A timer reads the chunks the
+watermark has reached and no others, and a key waits for one timer, not for one per chunk. A row that comes later than the delay, or after its key has gone
 past its time, is late: it changes no state, and is given out as it is if the caller names a column for
 the reason.
 """
@@ -23,6 +24,7 @@ from zoneflow.session import ROCKSDB, STATE_STORE
 
 EVENT_TIME = "_event_time"
 STRETCHES = 16  # of time, in one delay
+CHUNK = 512  # rows of times before the last delay that are held together, at least
 LATE = "late"
 
 
@@ -54,7 +56,7 @@ class InOrder(StatefulProcessor):
                  late: str | None = None) -> None:
         self.held, self.time, self.out, self.late = held, held.names.index(time), out, late
         self.order = [held.names.index(c) for c in order]
-        self.stretch, self.places = 1000, {c: i for i, c in enumerate(held.names)}
+        self.stretch, self.delay, self.places = 1000, 0, {c: i for i, c in enumerate(held.names)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -66,7 +68,7 @@ class InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
         passed = self.passed.get()[0] if self.passed.exists() else watermark - 1
-        new, late = {}, []
+        new, late = [], []
         for batch in rows:
             # By place: pandas gets other names for columns that begin with an underscore.
             columns = [[_plain(v, f.dataType) for v in batch.iloc[:, self.places[f.name]]] for f in self.held]
@@ -75,18 +77,39 @@ class InOrder(StatefulProcessor):
                 if time is None or time < watermark or time <= passed:
                     late.append(row)
                 else:
-                    new.setdefault(time // self.stretch, []).append(row)
-        for stretch, more in new.items():
+                    new.append(row)
+        for stretch, more in self.chunks(new):
             before = self.waiting.getValue((stretch,))[0] if self.waiting.containsKey((stretch,)) else []
             self.waiting.updateValue((stretch,), ([*map(tuple, before), *more],))
-            begin = stretch * self.stretch
-            self.handle.registerTimer(begin if begin > watermark else min(r[self.time] for r in more))
+        if new:
+            first = min(r[self.time] for r in new)
+            begin = first // self.stretch * self.stretch
+            self.handle.registerTimer(begin if begin > watermark else first)
         yield self.refused(key, late, LATE)
 
+    def stretch_of(self, row: tuple) -> int:
+        return row[self.time] // self.stretch
+
+    def chunks(self, rows: list[tuple]) -> list[tuple[int, list[tuple]]]:
+        """``rows``, sorted here by stretches, under the first stretch of each chunk; no two have the same."""
+        rows.sort(key=self.stretch_of)
+        old = max((r[self.time] for r in rows), default=0) - self.delay
+        found, last = [], None
+        for row in rows:
+            stretch, recent = self.stretch_of(row), row[self.time] > old
+            if last is None or stretch != last and (recent or len(found[-1][1]) >= CHUNK):
+                found.append((stretch, []))
+            found[-1][1].append(row)
+            last = stretch
+        return found
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark, now = timerValues.getCurrentWatermarkInMs(), []
+        wanted = None
         for stretch in sorted(k[0] for k in self.waiting.keys()):
-            if stretch * self.stretch > watermark:
+            begin = stretch * self.stretch
+            if begin > watermark:
+                wanted = begin if wanted is None else min(wanted, begin)
                 break
             rows = [tuple(r) for r in self.waiting.getValue((stretch,))[0]]
             later = [r for r in rows if r[self.time] > watermark]
@@ -97,8 +120,13 @@ class InOrder(StatefulProcessor):
                 else:
                     self.waiting.removeKey((stretch,))
             if later:
-                self.handle.registerTimer(min(r[self.time] for r in later))
+                first = min(r[self.time] for r in later)
+                wanted = first if wanted is None else min(wanted, first)
+        # One timer for the earliest row or chunk that waits; the timers before are gone or as early.
+        if wanted is not None:
+            self.handle.registerTimer(int(wanted))
         if now:
+            now.sort(key=self.stretch_of)  # chunks may overlap
             now.sort(key=lambda r: tuple((r[i] is not None, r[i]) for i in self.order))
             self.passed.update((int(watermark),))
             yield self.ready(key, now)
@@ -159,7 +187,8 @@ def keyed(rows: DataFrame, keys: Sequence[str], time: str, delay: str, processor
     spark = rows.sparkSession
     spark.conf.set(STATE_STORE, ROCKSDB)
     # Some stretches to a delay, whole milliseconds each.
-    processor.stretch = max(1, min(_milliseconds(spark, delay) // STRETCHES, 3_600_000))
+    processor.delay = _milliseconds(spark, delay)
+    processor.stretch = max(1, min(processor.delay // STRETCHES, 3_600_000))
     processor.places = {c: i for i, c in enumerate(rows.columns)}
     marked = rows.withColumn(EVENT_TIME, F.timestamp_millis(F.coalesce(time, F.lit(0)))).withWatermark(
         EVENT_TIME, delay).select(*rows.columns)
