@@ -143,3 +143,19 @@ def test_arrivals_read_their_input_twice_at_most(spark, tmp_path):
             count = max(count, 0)
             total, last = total + max(count - last, 0), count
             assert got[frame] == (run, total)
+
+
+def test_running_values_sort_their_rows_once(spark):
+    """Values within spans come before the join with those of earlier spans, in the order that it wants."""
+    df = spark.range(100).selectExpr("id % 3 k", "id n", "id % 7 v")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = with_running(df, ["k"], ["n"], sums={"s": F.col("v")}, previous={"p": F.col("v")}, span=8)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = {r.n: (r.s, r.p) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.index("SortMergeJoin") < plan.index("sum(v#")  # the join reads what the window gives
+    for n in range(100):
+        before = range(n % 3, n + 1, 3)
+        assert rows[n] == (sum(i % 7 for i in before), (n - 3) % 7 if n >= 3 else None)
