@@ -141,6 +141,32 @@ def test_heatmap_keeps_points_over_empty_frames_and_spans(spark):
     assert [(r.x, r.y) for r in latest] == points[60]
 
 
+def test_histories_are_not_sorted_to_find_the_last_one(spark):
+    """A history is up to 250 points to a frame: an aggregate over cameras takes them as they come."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        points = heatmap.heatmap_history(
+            tracks_df(spark, [(1, 2, 1, 10, 20), (1, 9, 1, 30, 40)]), frames_df(spark, 1, range(1, 11)),
+            Params(frames_per_span=4))
+        last = frames.latest_by(points, ["camera_id"], "frame_id")
+        lines = plan(last).splitlines()
+        first = next(i for i, line in enumerate(lines) if "partial_max_by" in line)
+        below = "\n".join(lines[first:]).split("SortMergeJoin")[0]
+        assert "Sort [" not in below and "SortMergeJoin" in plan(last)
+        row = last.first()
+        assert row.frame_id == 10 and [(p.x, p.y) for p in row.heatmap_points] == [(10, 20), (30, 40)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_points_of_frames_without_spine_and_repeated_frames(spark):
+    rows = [(1, 1, 1, 10, 20), (1, 2, 1, 11, 21), (1, 5, 2, 12, 22), (1, 5, 1, 13, 23)]
+    spine = frames_df(spark, 1, [1, 5, 6]).unionByName(frames_df(spark, 1, [5]))
+    got = heatmap.heatmap_history(tracks_df(spark, rows), spine, Params(frames_per_span=4)).collect()
+    assert sorted((r.frame_id, [(p.x, p.y) for p in r.heatmap_points]) for r in got) == [
+        (1, [(10, 20)]), (5, [(10, 20), (13, 23), (12, 22)]), (6, [(10, 20), (13, 23), (12, 22)])]
+
+
 def test_fallback_alert_needs_escalated_risk(spark):
     rows = [(1, 1, 1000, 5, "High"), (1, 2, 2000, 6, "Medium")]
     metrics = spark.createDataFrame(
