@@ -1,9 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas import group_ops
 
 import naive
-from zoneflow.operators import chains, detections, matching, tracking
+from zoneflow.operators import chains, detections, matching, tracker, tracking
 from zoneflow.params import Params
 from zoneflow.schemas import DETECTION_ROWS
 
@@ -171,3 +174,49 @@ def test_wrong_guesses_take_few_rounds(spark):
     assert {(r.frame_id, r.det_idx): (r.track_id, r.hits, [r.x1, r.y1, r.x2, r.y2])
             for r in got.collect()} == expected
     assert rounds[0] >= 40 and len(rounds) <= 7
+
+
+def test_spans_are_not_handed_over_one_by_one(spark, monkeypatch):
+    """Most spans hold a few boxes: a task follows them as they come, without a data frame for each."""
+    def refuse(*_, **__):
+        raise AssertionError("one call for each group")
+
+    monkeypatch.setattr(group_ops.PandasGroupedOpsMixin, "applyInPandas", refuse)
+    monkeypatch.setattr(group_ops.PandasCogroupedOps, "applyInPandas", refuse)
+    rows, rounds, expected = crowd(seed=2, frames=12 * 16, noise=12.0, people=5, cameras=(1,), pauses=False), [], {}
+    frames = {}
+    for r in rows:
+        frames.setdefault(r[1], []).append(r[3:7])
+    for frame, items in naive.tracker(frames, max(frames)).items():
+        for i, item in enumerate(items):
+            expected[(frame, i)] = item
+    got = tracking.track(make(spark, rows), Params(frames_per_span=16), warm_up=1, wrong_guesses=rounds)
+    assert {(r.frame_id, r.det_idx): (r.track_id, r.hits, [r.x1, r.y1, r.x2, r.y2])
+            for r in got.collect()} == expected
+    assert rounds[0] > 2
+
+
+def test_groups_go_on_over_batches():
+    batches = [pa.RecordBatch.from_pydict({"c": c, "s": s, "v": v}) for c, s, v in (
+        ([None, 1, 1], [1, 1, 2], [1, 2, 3]), ([1, 1], [2, 2], [4, 5]), ([], [], []), ([1, 2], [3, 3], [6, 7]))]
+    batches = [b.cast(pa.schema([(n, pa.int64()) for n in "csv"])) for b in batches]
+    got = [(k["c"], k["s"], rows["v"].to_pylist()) for k, rows in tracking._groups(iter(batches), ["c", "s"])]
+    assert got == [(None, 1, [1]), (1, 1, [2]), (1, 2, [3, 4, 5]), (1, 3, [6]), (2, 3, [7])]
+
+
+def test_frames_with_few_and_many_pairs_agree_bit_for_bit(monkeypatch):
+    rng = random.Random(12)
+    frames = []
+    for _ in range(80):
+        boxes = []
+        for place in rng.sample(range(9), 6):
+            x, y = place % 3 * 60 + rng.choice([0, 0, 7.3]), place // 3 * 60 + rng.choice([0, 5.1])
+            boxes.append([x, y, x + rng.uniform(-2, 90), y + 80])
+        boxes[0][2] = rng.choice([float("nan"), float("inf"), 3.4e38, 50.0])
+        frames.append(np.array(boxes, dtype=np.float32).tolist())
+    seen = []
+    for limit in (0, 10**9):
+        monkeypatch.setattr(tracker, "FEW_PAIRS", limit)
+        live = tracker.Live()
+        seen.append(repr([live.see(boxes) for boxes in frames]))
+    assert seen[0] == seen[1]
