@@ -232,3 +232,21 @@ def test_latest_metrics_are_those_of_the_last_frames(spark):
         for r in whole.collect():
             assert [got[r["camera_id"]][c] for c in columns] == [r[c] for c in columns]
             assert abs(got[r["camera_id"]]["smoothed_movement"] - r["smoothed_movement"]) < 1e-12
+
+
+def test_scores_are_built_only_where_they_are_asked_for(spark):
+    """What a query does not name is left out, and a filter copies no features below their columns."""
+    counts = frames.frame_counts(tracks_df(spark, [(1, 1, 1, 5, 5)]), frames_df(spark, 1, [1, 2]), boxes=False)
+    scored = frames.with_scores(frames.with_history(counts))
+    risks = scored.select("risk")._jdf.queryExecution().optimizedPlan().toString()
+    assert "People count reached" not in risks
+    alerting = scored.filter(F.size("alerts") > 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert alerting.count("2.4") == 1
+    assert [r.risk for r in scored.collect()] == ["Low", "Low"]
+
+
+def test_frames_without_alerts_have_empty_ones(spark):
+    got = sorted(people(spark, [1, 30, 30]).collect(), key=lambda r: r.frame_id)
+    assert [[a.type for a in r.alerts][:2] for r in got][0] == ["density_hotspot"]
+    quiet = frames.frame_metrics(tracks_df(spark, []), frames_df(spark, 1, [1, 2])).collect()
+    assert [r.alerts for r in quiet] == [[], []]

@@ -86,3 +86,16 @@ def test_large_numbers_stay_as_they_are(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = [r.r for r in df.select(exact_round(F.col("v"), 2).alias("r")).collect()]
     assert got == values
+
+
+def test_quick_rounding_equals_the_exact_one(spark):
+    rng = random.Random(5)
+    numbers = [0.0, -0.0, -1e-9, 2.0**30, 2.0**52, 1e300, float("inf"), float("nan"), None]
+    for k in range(2000):
+        midpoint = (rng.randrange(200_000) + 0.5) / 1e4
+        numbers += [midpoint, midpoint * (1 + rng.choice([-1, 1]) * 2.0 ** -rng.randrange(15, 53)), -midpoint]
+    df = spark.createDataFrame([(v,) for v in numbers], "v double")
+    wrong = df.filter(~rounding.exact_round(F.col("v"), 4).eqNullSafe(rounding._exact(F.col("v"), 4)))
+    assert wrong.collect() == []
+    plan = df.select(rounding.exact_round(F.col("v"), 4))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("rint") < plan.index("transform")
