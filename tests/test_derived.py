@@ -35,3 +35,10 @@ def test_frame_counts_broadcast_no_frames(derived):
     counts = frames.frame_counts(derived.tracks(), derived.frames(), catalog.SHORT)
     plan = counts._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["frames", "frames_big"])
+def test_frames_are_made_in_more_than_one_task(derived, name):
+    """Steps are few, and what Spark puts together in one task would make all frames."""
+    tasks = getattr(derived, name)().selectExpr("spark_partition_id() task").distinct().count()
+    assert tasks > 1

@@ -250,3 +250,34 @@ def test_frames_without_alerts_have_empty_ones(spark):
     assert [[a.type for a in r.alerts][:2] for r in got][0] == ["density_hotspot"]
     quiet = frames.frame_metrics(tracks_df(spark, []), frames_df(spark, 1, [1, 2])).collect()
     assert [r.alerts for r in quiet] == [[], []]
+
+
+def test_pictures_shuffle_no_points(spark):
+    """A frame's points are up to ``heatmap_history`` times its row, so they are built after the last shuffle."""
+    tracks, spine = tracks_df(spark, [(1, n, t, 10 * n, t) for n in (1, 2, 4) for t in (1, 2)]), frames_df(
+        spark, 1, [1, 2, 3, 4, 40])
+    maps = spine.withColumn("density_map", F.array(F.array(F.lit(0.0), F.lit(2.0))))
+    metrics = frames.frame_metrics(tracks, spine, Params(frames_per_span=2))
+    unknown = metrics.unionByName(metrics.filter("frame_id = 4").withColumn("frame_id", F.lit(9).cast("long")))
+    pictured = frames.with_pictures(unknown, tracks, maps, Params(frames_per_span=2, heatmap_history=3))
+    plan = pictured.select("frame_id", "heatmap_points")._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("arrays_zip")]
+    assert "Exchange" not in above
+    got = {r.frame_id: [(p.x, p.y) for p in r.heatmap_points] for r in pictured.collect()}
+    assert got == {1: [(10, 1), (10, 2)], 2: [(10, 2), (20, 1), (20, 2)], 3: [(10, 2), (20, 1), (20, 2)],
+                   4: [(20, 2), (40, 1), (40, 2)], 40: [(20, 2), (40, 1), (40, 2)], 9: []}
+
+
+def test_a_track_twice_in_a_frame_counts_once(spark):
+    """Frames reach the rows of tracks after earlier positions are found, so no frame is sorted by track."""
+    rows = [(1, 1, 7, 5, 5), (1, 1, 7, 5, 5), (1, 1, 8, 6, 6), (1, 2, 7, 9, 9), (1, 50, 7, 9, 9), (1, 3, 7, 9, 9)]
+    for boxes in (True, False):
+        counts = frames.frame_counts(
+            tracks_df(spark, rows), frames_df(spark, 1, [1, 2, 4, 50]), Params(frames_per_span=8), boxes=boxes)
+        got = sorted(counts.collect(), key=lambda r: r.frame_id)
+        assert [(r.frame_id, r.current_count, r.first_seen) for r in got][1:] == [(2, 1, 0), (4, 0, 0), (50, 1, 0)]
+        assert got[0].current_count == 2
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan
+    windows = [line for line in plan.splitlines() if "Window" in line and "track_id" in line]
+    assert windows and all("_frame" not in line.split("],")[0] for line in windows)
